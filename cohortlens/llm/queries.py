@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from cohortlens.llm.language import op10
+from cohortlens.llm.mixing import op6
+from cohortlens.llm.packing import op4
+from cohortlens.llm.quality import OP9_SQL, op9
 from cohortlens.llm.simhash import op1
 from cohortlens.llm.token_store import op5
+from cohortlens.llm.toxicity import op8
 
-QUERIES = {"op1_simhash": op1, "op5_token_files": op5}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1, "op4_best_fit_packing": op4, "op5_token_files": op5, "op6_mixing": op6, "op8_toxicity": op8, "op9_quality_ledger": op9, "op10_language": op10}
+ORACLE_SQL: dict[str, str] = {"op9_quality_ledger": OP9_SQL}

@@ -12,8 +12,6 @@ the count ends is ranked, so a length that holds a third of all documents does n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,55 +99,49 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return w.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("cap")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
-def _choose(groups: Iterator[pd.DataFrame], programme: int) -> Iterator[pd.DataFrame]:
-    for g in groups:
-        yield g
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, programme: int = PROGRAMME_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """(keep..., source, size, source_size, target, copies): how often the mix takes each row of docs, 0 to `most` times.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, programme: int = PROGRAMME_WORDS, keep: list[str] | None = None, store: bool = True) -> DataFrame:
+    """(keep..., mix_source, size, source_size, target, copies): how often the mix takes each row of docs, 0 to `most` times.
 
-    Null texts have size 0 and are taken in whole rounds only; a null source is a source of its own; repeated rows are
-    rows of their own, of which as many are taken as their length's count says. A source without words has target 0.
+    Null texts have size 0 and are taken in whole rounds only; a null source is a source of its own. A source without
+    words has target 0. Of a length that is taken in part, the rows with the least seeded hashes of (id, text) are taken,
+    so rows repeated with the same id and text are taken alike, and such a group at the border can pass the budget.
+    store: whether sizes are written once; without it texts are counted twice and kept columns are not stored.
     """
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*keep, F.col(source_col).alias("__s"), word_count(text_col).alias("__n"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
-    rows = written(rows, "mix-sizes")
-    lengths = rows.groupBy("__s", "__n").agg(F.count("*").alias("c"))
-    lengths = written(lengths, "mix-lengths")
-    sources = lengths.groupBy(F.col("__s").alias("source")).agg(F.sum(F.col("__n") * F.col("c")).alias("source_size"))
+    rows = docs.select(*keep, F.col(source_col).alias("mix_source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
+    if store:
+        rows = written(rows, "mix-sizes")
+    slim = rows.select("mix_source", "size", "__h")
+    lengths = written(slim.groupBy("mix_source", "size").agg(F.count("*").alias("c")), "mix-lengths")
+    sources = lengths.groupBy(F.col("mix_source").alias("source")).agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
     aims = written(targets(sources, weights, most), "mix-targets")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("__n")
+        g = g.sort_values("n")
         size, target = int(g["source_size"].iloc[0]), float(g["target"].iloc[0])
-        rounds, rest = 0, 0
-        if size:
-            budget = round(target)
-            rounds, rest = divmod(min(budget, most * size), size)
-        extra = fill(g["__n"].to_numpy(), g["c"].to_numpy(), rest, programme) if rest else np.zeros(len(g), np.int64)
-        return pd.DataFrame({"s": g["__s"], "n": g["__n"], "c": g["c"], "source_size": size, "target": target, "rounds": rounds, "extra": extra})
-
-    kind = lengths.schema["__s"].dataType.simpleString()
-    plan = lengths.join(aims, lengths["__s"].eqNullSafe(aims["source"])).select("__s", "__n", "c", "source_size", "target")
-    plan = written(plan.groupBy("__s").applyInPandas(choose, f"s {kind}, n bigint, c bigint, source_size bigint, target double, rounds bigint, extra bigint"), "mix-plan")
-    joined = rows.join(plan, rows["__s"].eqNullSafe(plan["s"]) & (rows["__n"] == plan["n"])).drop("s", "n")
-    # A cell is a hash range of about CELL_ROWS rows of one (source, length); cells below the border are taken whole.
-    cells = F.ceil(F.col("c") / CELL_ROWS)
-    joined = joined.withColumn("cell", F.when((F.col("extra") == 0) | (F.col("extra") == F.col("c")), F.lit(0)).otherwise(F.pmod("__h", cells)))
-    part = F.col("extra").between(1, F.col("c") - 1)
-    sized = joined.where(part).groupBy("__s", "__n", "cell").agg(F.count("*").alias("k"), F.first("extra").alias("x"))
-    upto = F.sum("k").over(Window.partitionBy("__s", "__n").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    border = sized.withColumn("upto", upto).select(F.col("__s").alias("bs"), F.col("__n").alias("bn"), F.col("cell").alias("bc"), F.greatest(F.lit(0), F.least(F.col("k"), F.col("x") - F.col("upto") + F.col("k"))).alias("of_cell"), "k")
-    border = written(border, "mix-cells")
-    sure = joined.where(~part).withColumn("copies", F.col("rounds") + (F.col("extra") > 0).cast("bigint"))
-    celled = joined.where(part).join(border, joined["__s"].eqNullSafe(border["bs"]) & (joined["__n"] == border["bn"]) & (joined["cell"] == border["bc"]))
-    rank = F.row_number().over(Window.partitionBy("__s", "__n", "cell").orderBy("__h", *[F.col(k) for k in keep if k == id_col]))
-    whole = celled.where("of_cell = 0 or of_cell = k").withColumn("copies", F.col("rounds") + (F.col("of_cell") > 0).cast("bigint"))
-    cut = celled.where("of_cell > 0 and of_cell < k").withColumn("copies", F.col("rounds") + (rank <= F.col("of_cell")).cast("bigint"))
-    columns = [*keep, F.col("__s").alias("source") if "source" not in keep else None, F.col("__n").alias("size"), "source_size", "target", "copies"]
-    columns = [c for c in columns if c is not None]
-    return sure.select(*columns).unionByName(whole.select(*columns)).unionByName(cut.select(*columns))
+        rounds, rest = divmod(min(round(target), most * size), size) if size else (0, 0)
+        extra = fill(g["n"].to_numpy(), g["c"].to_numpy(), rest, programme) if rest else np.zeros(len(g), np.int64)
+        return pd.DataFrame({"s": g["s"], "n": g["n"], "c": g["c"], "source_size": size, "target": target, "rounds": rounds, "extra": extra})
+
+    kind = lengths.schema["mix_source"].dataType.simpleString()
+    plan = lengths.join(aims, lengths["mix_source"].eqNullSafe(aims["source"])).select(F.col("mix_source").alias("s"), F.col("size").alias("n"), "c", "source_size", "target")
+    plan = written(plan.groupBy("s").applyInPandas(choose, f"s {kind}, n bigint, c bigint, source_size bigint, target double, rounds bigint, extra bigint"), "mix-plan")
+    # The hash up to which a part of a length is taken: cells of hashes are counted, then the cell is ranked in which the count ends.
+    part = plan.where("extra > 0 and extra < c").select("s", "n", "c", "extra")
+    cell = F.floor((F.col("__h").cast("double") / float(2**64) + 0.5) * F.ceil(F.col("c") / CELL_ROWS))
+    inside = slim.join(part, slim["mix_source"].eqNullSafe(part["s"]) & (slim["size"] == part["n"])).select("s", "n", "extra", cell.alias("cell"), "__h")
+    inside = written(inside, "mix-cells")
+    counted = inside.groupBy("s", "n", "cell").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("s", "n").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("k")
+    cells = written(counted.withColumn("before", before).select(F.col("s").alias("cs"), F.col("n").alias("cn"), F.col("cell").alias("cc"), "k", "before"), "mix-counted")
+    last = inside.join(cells, inside["s"].eqNullSafe(cells["cs"]) & (inside["n"] == cells["cn"]) & (inside["cell"] == cells["cc"])).where("before < extra and extra <= before + k")
+    rank = F.row_number().over(Window.partitionBy("s", "n").orderBy("__h")) + F.col("before")
+    border = last.withColumn("rank", rank).where("rank = extra").select(F.col("s").alias("bs"), F.col("n").alias("bn"), F.col("__h").alias("upto"))
+    upto = F.when(F.col("extra") == 0, F.lit(None)).when(F.col("extra") == F.col("c"), F.lit((1 << 63) - 1)).otherwise(F.col("upto"))
+    plan = plan.join(border, plan["s"].eqNullSafe(border["bs"]) & (plan["n"] == border["bn"]), "left").select("s", "n", "source_size", "target", "rounds", upto.alias("upto"))
+    plan = written(plan, "mix-borders")
+    copies = F.col("rounds") + F.coalesce(F.col("__h") <= F.col("upto"), F.lit(False)).cast("bigint")
+    return rows.join(plan, rows["mix_source"].eqNullSafe(plan["s"]) & (rows["size"] == plan["n"])).select(*keep, "mix_source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A word's vector is the mean of its subwords' embeddings (the word itself and its character n-grams, hashed to buckets), so
 an unseen misspelling shares most of its vectors with the word it stands for. A bag is a window of words, its vector the
 mean of theirs; the linear softmax reads bags. A document's score is its most toxic window's, so a few words count in a
-long document too. Training starts from all windows alike, then follows a toxic document's most toxic one.
+long document too. Training starts from all windows alike, then follows each document's most toxic one.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ WORD = re.compile(r"[^\W_](?:[^\s]*[^\W_])?")
 #: Expected labelled documents of each class that training reads, on the driver.
 TRAIN_DOCS = 1200
 MAX_WORDS = 600_000
-#: A bag of fewer words is averaged as if blank words made it up to so many.
-LEAST_BAG = 16
 
 
 @dataclass
@@ -38,6 +36,7 @@ class Model:
     shortest: int
     longest: int
     scale: float = 1.0
+    blank: float = 0.0
 
 
 def buckets_of(word: str, buckets: int, shortest: int, longest: int) -> list[int]:
@@ -48,6 +47,11 @@ def buckets_of(word: str, buckets: int, shortest: int, longest: int) -> list[int
     return [x % buckets for x in out]
 
 
+def least_bag(window: int) -> int:
+    """A bag of fewer words is made up to so many with blanks, each with the typical margin of clean bags."""
+    return max(1, window // 2)
+
+
 def bag_starts(n: int, window: int) -> np.ndarray:
     """Where n words are cut into bags of even sizes, of at most window words."""
     k = -(-n // window)
@@ -58,15 +62,19 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int = 8, window: int = 48, shortest: int = 3, longest: int = 5, epochs: int = 120, rate: float = 0.05, decay: float = 3e-5, seed: int = 11) -> Model:
-    """Trains on four fifths of the documents and sets the score's scale and offset on the others, which it never saw."""
+def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int = 8, window: int = 6, shortest: int = 3, longest: int = 5, epochs: int = 120, rate: float = 0.05, decay: float = 1e-5, seed: int = 11, prior: float | None = None) -> Model:
+    """Trains on four fifths of the documents and sets the score's scale and offset on the others, which it never saw; then trains on all.
+
+    prior: the share of label 1 where scores are wanted, as sampling may have changed it; that of labels by default.
+    """
     if len(texts) < 50:
         return train_bags(texts, labels, buckets, dim, window, shortest, longest, epochs, rate, decay, seed)
     model = train_bags([t for i, t in enumerate(texts) if i % 5], [y for i, y in enumerate(labels) if i % 5], buckets, dim, window, shortest, longest, epochs, rate, decay, seed)
     z = np.array(Scorer(model).margins(texts[::5]))
     y = np.array(labels[::5], dtype=float)
     if 0 < y.sum() < len(y):
-        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        prior = float(y.mean()) if prior is None else prior
+        weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum())
         unit = max(1e-6, float(np.abs(z - np.median(z)).mean()))
         x, ab = np.stack([z / unit, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
         for _ in range(60):  # Newton steps of a ridged logistic fit
@@ -74,6 +82,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int =
             grad = x.T @ (weight * (p - y)) + 1e-3 * ab * [1, 0]
             hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-6])
             ab = ab - 0.5 * np.linalg.solve(hess, grad)
+        model = train_bags(texts, labels, buckets, dim, window, shortest, longest, epochs, rate, decay, seed)
         if ab[0] > 0:
             model.scale, model.bias = float(ab[0] / unit), float(ab[1] + ab[0] / unit * model.bias)
     return model
@@ -97,7 +106,7 @@ def train_bags(texts: list[str], labels: list[int], buckets: int, dim: int, wind
     starts = np.concatenate([s + bag_starts(n, window) for s, n in zip(np.r_[0, np.cumsum(sizes)[:-1]], sizes, strict=True)])
     bag_size = np.diff(np.r_[starts, len(flat)])
     bag_of = np.repeat(np.arange(len(starts)), bag_size)
-    bag_size = np.maximum(bag_size, LEAST_BAG)
+    bag_size = np.maximum(bag_size, least_bag(window))
     subs = [buckets_of(w, buckets, shortest, longest) for w in index]
     ids, sub_n = np.concatenate([np.array(s, np.int32) for s in subs]), np.array([len(s) for s in subs])
     sub_start, word_of = np.r_[0, np.cumsum(sub_n)[:-1]], np.repeat(np.arange(len(subs)), sub_n)
@@ -114,8 +123,7 @@ def train_bags(texts: list[str], labels: list[int], buckets: int, dim: int, wind
         else:
             best = np.maximum.reduceat(margin, first_bag)
             top = margin == best[bag_doc]
-            # A toxic document's label is its most toxic bag's; every bag of another document is known not to be toxic.
-            pick = np.where(y[bag_doc] == 1, top / np.bincount(bag_doc, weights=top)[bag_doc], 1.0)
+            pick = top / np.bincount(bag_doc, weights=top)[bag_doc]
         g = (p - y[bag_doc]) * pick * weight[bag_doc]
         by_word = np.bincount(flat, weights=(g / bag_size)[bag_of], minlength=len(subs)) / sub_n
         h = np.bincount(ids, weights=by_word[word_of], minlength=buckets).astype(np.float32)
@@ -125,7 +133,8 @@ def train_bags(texts: list[str], labels: list[int], buckets: int, dim: int, wind
             m[0] += 0.1 * (grad - m[0])
             m[1] += 0.001 * (grad * grad - m[1])
             x -= (rate * (m[0] / (1 - 0.9**epoch)) / (np.sqrt(m[1] / (1 - 0.999**epoch)) + 1e-8)).astype(np.float32)
-    return Model(e @ w, float(b[1] - b[0]), buckets, window, shortest, longest)
+    blank = float(np.median(margin[y[bag_doc] == 0])) - float(b[1] - b[0])
+    return Model(e @ w, float(b[1] - b[0]), buckets, window, shortest, longest, blank=min(0.0, blank))
 
 
 class Scorer:
@@ -136,7 +145,7 @@ class Scorer:
         self.margin = model.subwords[:, 1] - model.subwords[:, 0]
 
     def margins(self, texts: list[str | None]) -> list[float]:
-        """The largest margin of a document's windows, with the bias; that of no words is the bias."""
+        """The largest margin of a document's windows, with the bias; that of no words is a clean bag's."""
         m = self.m
         if len(self.store) > self.max_words:
             self.store.clear()
@@ -149,11 +158,12 @@ class Scorer:
             self.store.update(zip(new, (sums / n).tolist(), strict=True))
         out = []
         for words in cut:
-            best = 0.0
+            best = m.blank
             if words:
                 s = np.fromiter(map(self.store.__getitem__, words), np.float64, len(words))
+                s = np.r_[s, np.full(max(0, least_bag(m.window) - len(s)), m.blank)]
                 starts = bag_starts(len(s), m.window)
-                best = float((np.add.reduceat(s, starts) / np.maximum(np.diff(np.r_[starts, len(s)]), LEAST_BAG)).max())
+                best = float((np.add.reduceat(s, starts) / np.diff(np.r_[starts, len(s)])).max())
             out.append(m.scale * best + m.bias)
         return out
 
@@ -170,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The chosen ids are a bounded sample (per_class), so they may be broadcast.
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("i", "t", "y").collect()
     rows.sort(key=lambda r: (r.i, r.t or ""))
-    return fit([r.t or "" for r in rows], [r.y for r in rows])
+    n0, n1 = counts.get(0, 0), counts.get(1, 0)
+    return fit([r.t or "" for r in rows], [r.y for r in rows], prior=min(0.5, max(0.01, n1 / (n0 + n1))) if n0 and n1 else None)
 
 
 _LOADED: dict[int, Scorer] = {}
@@ -191,7 +202,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     small_batches(spark)
     keep = ["doc_id"] if keep is None else keep
     kept = docs.select(F.col(text_col).alias("__text"), *keep)
-    shared = spark.sparkContext.broadcast((model.subwords, model.bias, model.buckets, model.window, model.shortest, model.longest, model.scale))  # buckets x 2 numbers
+    shared = spark.sparkContext.broadcast((model.subwords, model.bias, model.buckets, model.window, model.shortest, model.longest, model.scale, model.blank))  # buckets x 2 numbers
     key = shared._jbroadcast.id()
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     return kept.mapInArrow(lambda b: _score(b, shared, key), f"{ddl}, score double")

@@ -2,5 +2,411 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortlens.functions import stats as S
+from cohortlens.functions import status as T
+from cohortlens.operators import cohort as C
+from cohortlens.operators import evaluate as E
+from cohortlens.operators import evidence as EV
+from cohortlens.operators import panel as P
+from cohortlens.operators import resample as R
+from cohortlens.operators import scan as SC
+from cohortlens.operators import select as SEL
+from cohortlens.views import COHORT_SQL, OBS_SQL, cohort, fisher_sql, observations, table
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to six places, and whole numbers as long, so that engines can be compared."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "tinyint", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+CARRIERS_SQL = """, carriers AS (SELECT DISTINCT sample_id, {feature} AS feature FROM obs WHERE status = 'Detected' AND depth >= {depth}),
+sizes AS (SELECT count(*) FILTER (grp = 'case') AS case_n, count(*) FILTER (grp = 'control') AS control_n FROM cohort),
+cc AS (SELECT feature, count(*) FILTER (grp = 'case') AS case_carriers, count(*) FILTER (grp = 'control') AS control_carriers FROM carriers JOIN cohort USING (sample_id) GROUP BY feature),
+t AS (SELECT * FROM cc, sizes), """
+COMPARED = """SELECT feature, case_carriers, control_carriers, case_n, control_n, round(case_carriers / case_n, 6) AS case_frequency, round(control_carriers / control_n, 6) AS control_frequency,
+round(case_carriers / case_n - control_carriers / control_n, 6) AS frequency_difference, CASE WHEN case_carriers = 0 AND control_carriers = 0 THEN 1.0 WHEN control_carriers = 0 THEN 'inf'::DOUBLE ELSE round((case_carriers / case_n) / (control_carriers / control_n), 6) END AS ratio, round(p, 6) AS p_value"""
+Q_SQL = ", round(min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 6) AS q_value"
+RANKED_P = "ranked AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t JOIN fisher USING ({keys}))"
+
+
+def _carriers(spark, sf_dir: str, feature: str, depth: int) -> DataFrame:
+    return observations(spark, sf_dir).where((F.col("status") == T.DETECTED) & (F.col("depth") >= depth)).select("sample_id", F.col(feature).alias("feature"))
+
+
+@query(f"WITH {OBS_SQL}{CARRIERS_SQL.format(feature='gene', depth=40)}{fisher_sql('t', 'feature', 'case_carriers', 'case_n - case_carriers', 'control_carriers', 'control_n - control_carriers')}, {RANKED_P.format(keys='feature')} {COMPARED}{Q_SQL} FROM ranked")
+def cohort_comparison(spark, sf_dir):
+    """Gene carriers of two groups: counts, frequencies, Fisher's exact p and q values."""
+    return rounded(S.benjamini_hochberg(C.carrier_comparison(cohort(spark, sf_dir), _carriers(spark, sf_dir, "gene", 40))))
+
+
+@query(f"WITH {OBS_SQL}{CARRIERS_SQL.format(feature='part', depth=30)}{fisher_sql('t', 'feature', 'case_carriers', 'case_n - case_carriers', 'control_carriers', 'control_n - control_carriers')} {COMPARED} FROM t JOIN fisher USING (feature)")
+def variant_comparison(spark, sf_dir):
+    """Variant carriers of two groups, a row a variant."""
+    return rounded(C.carrier_comparison(cohort(spark, sf_dir), _carriers(spark, sf_dir, "part", 30)))
+
+
+OBSERVED_SQL = """, per AS (SELECT sample_id, grp, {keys}, max(v) AS v FROM obs GROUP BY ALL),
+t AS (SELECT {keys}, count(*) FILTER (grp = 'case' AND v = 1) AS case_detected, count(*) FILTER (grp = 'case' AND v IS NOT NULL) AS case_observed, count(*) FILTER (grp = 'control' AND v = 1) AS control_detected, count(*) FILTER (grp = 'control' AND v IS NOT NULL) AS control_observed FROM per GROUP BY ALL), """
+OBSERVED_OUT = """case_detected, case_observed, control_detected, control_observed, round(case_detected / nullif(case_observed, 0), 6) AS case_rate, round(control_detected / nullif(control_observed, 0), 6) AS control_rate,
+round(CASE WHEN case_observed > 0 AND control_observed > 0 THEN abs(case_detected / case_observed - control_detected / control_observed) ELSE 0 END, 6) AS effect, round(p, 6) AS p_value"""
+CELLS = ("case_detected", "case_observed - case_detected", "control_detected", "control_observed - control_detected")
+SAFE_P = "fp AS (SELECT {keys}, CASE WHEN case_observed > 0 AND control_observed > 0 THEN fisher.p ELSE 1.0 END AS p FROM t JOIN fisher USING ({keys}))"
+
+
+@query(f"WITH {OBS_SQL}{OBSERVED_SQL.format(keys='gene, feature_type')}{fisher_sql('t', 'gene, feature_type', *CELLS)}, {SAFE_P.format(keys='gene, feature_type')} SELECT gene, feature_type, {OBSERVED_OUT} FROM t JOIN fp USING (gene, feature_type)")
+def observed_comparison(spark, sf_dir):
+    """Detected among observed patients; what isn't observed enters no denominator."""
+    return rounded(C.observed_comparison(observations(spark, sf_dir), "gene", "feature_type"))
+
+
+@query(
+    f"WITH {OBS_SQL}{OBSERVED_SQL.format(keys='part, feature_type')}{fisher_sql('t', 'part, feature_type', *CELLS)}, {SAFE_P.format(keys='part, feature_type')}, r0 AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t JOIN fp USING (part, feature_type)), r1 AS (SELECT *, min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS q FROM r0) "
+    f"SELECT part::VARCHAR AS region, feature_type, {OBSERVED_OUT}, round(q, 6) AS q_value, q <= 0.05 AS significant FROM r1"
+)
+def exact_scan(spark, sf_dir):
+    """Every region and feature type tested among observed patients, with q values."""
+    return rounded(C.exact_scan(observations(spark, sf_dir).withColumn("region", F.col("part").cast("string"))))
+
+
+@query(
+    f"WITH {OBS_SQL}, per AS (SELECT sample_id, grp, gene, avg(log2_ratio) AS v FROM obs GROUP BY ALL), t AS (SELECT gene, count(*) FILTER (grp = 'case') AS case_n, avg(v) FILTER (grp = 'case') AS case_mean, var_samp(v) FILTER (grp = 'case') AS vc, count(*) FILTER (grp = 'control') AS control_n, avg(v) FILTER (grp = 'control') AS control_mean, var_samp(v) FILTER (grp = 'control') AS vt FROM per GROUP BY gene) "
+    "SELECT gene, case_n, round(case_mean, 6) AS case_mean, control_n, round(control_mean, 6) AS control_mean, round(case_mean - control_mean, 6) AS mean_difference, round((case_mean - control_mean) / sqrt(((case_n - 1) * vc + (control_n - 1) * vt) / (case_n + control_n - 2)), 6) AS cohen_d FROM t"
+)
+def continuous_comparison(spark, sf_dir):
+    """Means of patients' means and Cohen's d by gene."""
+    return rounded(C.continuous_comparison(observations(spark, sf_dir).withColumnRenamed("log2_ratio", "value"), "gene"))
+
+
+CNV_CASE = "CASE WHEN log2_ratio >= 0.25 THEN 'GAIN' WHEN log2_ratio <= -0.25 THEN 'LOSS' ELSE 'NEUTRAL' END"
+
+
+@query(
+    f"WITH {OBS_SQL}, per AS (SELECT sample_id, grp, part, max(CASE WHEN {CNV_CASE} = 'GAIN' THEN 1 ELSE 0 END) AS g, max(CASE WHEN {CNV_CASE} = 'LOSS' THEN 1 ELSE 0 END) AS l FROM obs GROUP BY ALL), long AS (SELECT sample_id, grp, part, 'GAIN' AS event, g AS hit FROM per UNION ALL SELECT sample_id, grp, part, 'LOSS', l FROM per), "
+    "t AS (SELECT part, event, count(*) FILTER (grp = 'case' AND hit = 1) AS case_events, count(*) FILTER (grp = 'case') AS case_n, count(*) FILTER (grp = 'control' AND hit = 1) AS control_events, count(*) FILTER (grp = 'control') AS control_n FROM long WHERE part IN (SELECT part FROM long WHERE hit = 1) GROUP BY ALL), "
+    + fisher_sql("t", "part, event", "case_events", "case_n - case_events", "control_events", "control_n - control_events")
+    + ", f2 AS (SELECT *, CASE WHEN case_n > 0 AND control_n > 0 THEN p END AS pp FROM t JOIN fisher USING (part, event)), r0 AS (SELECT *, row_number() OVER (PARTITION BY pp IS NULL ORDER BY pp) AS r, count(pp) OVER () AS m FROM f2) SELECT part, event, case_events, case_n, control_events, control_n, round(pp, 6) AS p_value, round(CASE WHEN pp IS NOT NULL THEN min(least(1.0, pp * m / r)) OVER (PARTITION BY pp IS NULL ORDER BY r DESC ROWS UNBOUNDED PRECEDING) END, 6) AS q_value FROM r0"
+)
+def copy_number_events(spark, sf_dir):
+    """GAIN and LOSS of every region with any, tested among all observed samples."""
+    from cohortlens.functions.variants import copy_event
+
+    rows = observations(spark, sf_dir).withColumn("event", copy_event(F.lit(None).cast("double"), F.col("log2_ratio")))
+    return rounded(C.copy_number_comparison(rows, "part").select("part", "event", "case_events", "case_n", "control_events", "control_n", "p_value", "q_value"))
+
+
+@query(
+    f"WITH {OBS_SQL}, per AS (SELECT gene, part, sample_id, max(CASE WHEN grp = 'control' THEN v END) AS v FROM obs GROUP BY ALL) SELECT gene || ':' || part AS region, count(v) AS normal_observed, count(*) FILTER (v = 1) AS normal_carriers, round(count(*) FILTER (v = 1) / nullif(count(v), 0), 6) AS normal_frequency, CASE WHEN count(v) > 0 THEN 'Available' ELSE 'Data unavailable' END AS status FROM per GROUP BY gene, part"
+)
+def panel_of_normals(spark, sf_dir):
+    """Carriers among observed normal samples of every region."""
+    return rounded(C.panel_of_normals(observations(spark, sf_dir).withColumn("region", F.concat_ws(":", "gene", "part"))))
+
+
+@query(
+    f"WITH {OBS_SQL}, long AS (SELECT gene AS region, 'healthy_plasma' AS source, CASE WHEN depth >= 45 THEN vaf END AS v FROM obs UNION ALL SELECT gene, 'wbc', CASE WHEN depth < 5 THEN error_rate END FROM obs UNION ALL SELECT gene, 'pon', NULL FROM obs) SELECT region, source, count(v) AS n, round(avg(v), 6) AS mean, round(max(v), 6) AS maximum, CASE WHEN count(v) > 0 THEN 'Available' ELSE 'Data unavailable' END AS status FROM long GROUP BY ALL"
+)
+def background_sources(spark, sf_dir):
+    """Number, mean and maximum of each background source by region; sources without values stay."""
+    rows = observations(spark, sf_dir).select(F.col("gene").alias("region"), F.when(F.col("depth") >= 45, F.col("vaf")).alias("blood_background"), F.when(F.col("depth") < 5, F.col("error_rate")).alias("wbc"))
+    return rounded(C.background(rows, sources=("healthy_plasma", "wbc", "pon")))
+
+
+@query(
+    f"WITH {OBS_SQL}, s AS (SELECT *, CASE WHEN stage LIKE '1%' OR stage LIKE '2%' THEN 'early' WHEN stage LIKE '3%' OR stage LIKE '4%' THEN 'late' END AS g FROM obs) SELECT gene AS candidate, round(avg(v) FILTER (g = 'early'), 6) AS early_rate, count(v) FILTER (g = 'early') AS early_n, round(avg(v) FILTER (g = 'late'), 6) AS late_rate, count(v) FILTER (g = 'late') AS late_n FROM s GROUP BY gene"
+)
+def stage_rates(spark, sf_dir):
+    """Detection rates at early and late stages of each gene."""
+    rows = observations(spark, sf_dir).select(F.col("gene").alias("candidate"), F.substring("stage", 1, 1).alias("stage"), T.observed(F.col("status")).alias("detected"))
+    return rounded(C.stage_rates(rows))
+
+
+@query(
+    f"WITH {OBS_SQL}, r AS (SELECT gene AS candidate, segment, avg(v) AS rate FROM obs JOIN cohort USING (sample_id) GROUP BY ALL), x AS (SELECT candidate, avg(rate) FILTER (segment IN ('MACHINERY', 'HOUSEHOLD')) AS t, avg(rate) FILTER (segment = 'FURNITURE') AS c FROM r GROUP BY candidate) SELECT candidate, round(CASE WHEN t IS NOT NULL THEN 1 - greatest(t, c) END, 6) AS specificity FROM x"
+)
+def candidate_specificity(spark, sf_dir):
+    """1 - the greater of mean target and competing rates."""
+    rows = observations(spark, sf_dir).join(cohort(spark, sf_dir).select("sample_id", "segment"), "sample_id").select(F.col("gene").alias("candidate"), "segment", T.observed(F.col("status")).alias("detected"))
+    return rounded(C.specificity(C.group_rates(rows, group="segment"), ("MACHINERY", "HOUSEHOLD"), ("FURNITURE",), group="segment"))
+
+
+@query(f"WITH {OBS_SQL} SELECT kind, count(DISTINCT sample_id) AS patients, count(*) AS n_rows, count(*) FILTER (v = 1) AS detected, round(avg(v), 6) AS detection_rate FROM obs WHERE trim(kind) <> '' GROUP BY kind")
+def detection_by_kind(spark, sf_dir):
+    """Patients, rows and detection rate of each kind."""
+    return rounded(C.detection_rates(observations(spark, sf_dir), "kind"))
+
+
+@query(
+    f"WITH {OBS_SQL}, n AS (SELECT feature_type, count(DISTINCT sample_id) FILTER (grp = 'case') AS case_n, count(DISTINCT sample_id) FILTER (grp = 'control') AS control_n FROM obs GROUP BY ALL), c AS (SELECT gene AS region, feature_type, count(DISTINCT sample_id) FILTER (grp = 'case' AND v = 1) AS case_carriers, count(DISTINCT sample_id) FILTER (grp = 'control' AND v = 1) AS control_carriers, count(DISTINCT sample_id) FILTER (grp = 'case' AND v = 1 AND left(stage, 1) IN ('1', '2')) AS early_carriers, max(error_rate) AS max_background, avg(vaf) AS mean_detectability FROM obs GROUP BY ALL) "
+    "SELECT feature_type, region, case_carriers, control_carriers, early_carriers, round(max_background, 6) AS max_background, round(mean_detectability, 6) AS mean_detectability, case_n, control_n, round(case_carriers / case_n, 6) AS case_frequency, round(control_carriers / control_n, 6) AS control_frequency, round(greatest(0.0, case_carriers / case_n - coalesce(control_carriers / control_n, 0)), 6) AS specificity, round(early_carriers / nullif(case_carriers, 0), 6) AS early_fraction FROM c JOIN n USING (feature_type)"
+)
+def modality_summary(spark, sf_dir):
+    """Carriers, specificity, early share and mean measures by region and modality."""
+    rows = observations(spark, sf_dir).select("sample_id", "grp", F.substring("stage", 1, 1).alias("stage"), F.col("gene").alias("region"), "feature_type", "status", F.col("vaf").alias("detectability"), F.col("error_rate").alias("blood_background"))
+    return rounded(C.modality_summary(rows))
+
+
+@query(
+    f"WITH {COHORT_SQL}, l AS (SELECT grp, 'nation' AS field, nation::VARCHAR AS v FROM cohort UNION ALL SELECT grp, 'segment', segment FROM cohort), a AS (SELECT field, list(DISTINCT v) FILTER (grp = 'case') AS a, list(DISTINCT v) FILTER (grp = 'control') AS b FROM l GROUP BY field) SELECT field, CASE WHEN len(list_intersect(a, b)) = 0 THEN 'Potential_confounding' ELSE 'Overlap' END AS status, coalesce(array_to_string(list_sort(list_intersect(a, b)), ','), '') AS shared FROM a"
+)
+def design_confounding(spark, sf_dir):
+    """Design fields whose values differ altogether between the groups."""
+    return C.confounding(C.design_summary(cohort(spark, sf_dir), ("nation", "segment"))).withColumn("shared", F.array_join("shared", ","))
+
+
+@query("SELECT count(DISTINCT c_custkey) FILTER (c_nationkey < 15) AS n_a, count(DISTINCT c_custkey) FILTER (c_nationkey >= 10) AS n_b, count(DISTINCT c_custkey) FILTER (c_nationkey BETWEEN 10 AND 14) AS n_shared, CASE WHEN count(DISTINCT c_custkey) FILTER (c_nationkey BETWEEN 10 AND 14) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM customer")
+def cohort_leakage(spark, sf_dir):
+    """Samples that two cohorts share."""
+    c = cohort(spark, sf_dir)
+    return C.leakage(c.where("nation < 15"), c.where("nation >= 10"))
+
+
+EVIDENCE_SQL = f"""WITH {OBS_SQL}, ev AS (SELECT gene || '/' || kind AS candidate_id, avg(v) AS recurrence, CASE WHEN count(v) FILTER (left(stage, 1) = '1') > 5 THEN avg(v) FILTER (left(stage, 1) = '1') END AS early_stage, CASE WHEN count(*) % 3 > 0 THEN avg(depth) / 50 END AS detectability, CASE WHEN count(*) % 5 > 0 THEN 1 - 10 * avg(error_rate) END AS blood_background_safety, CASE WHEN count(*) % 7 > 0 THEN 10 * avg(vaf) END AS specificity FROM obs GROUP BY 1),
+e AS (SELECT candidate_id, {", ".join(f"CASE WHEN {c} IS NOT NULL THEN greatest(0.0, least(1.0, {c})) END AS {c}" for c in ("recurrence", "early_stage", "detectability", "blood_background_safety", "specificity"))} FROM ev),
+s AS (SELECT *, coalesce(detectability >= 0.4, false) AND coalesce(blood_background_safety >= 0.5, false) AS eligible, (coalesce(0.2 * recurrence, 0) + coalesce(0.1 * early_stage, 0) + coalesce(0.3 * detectability, 0) + coalesce(0.25 * blood_background_safety, 0) + coalesce(0.15 * specificity, 0))
+ / nullif(CASE WHEN recurrence IS NULL THEN 0 ELSE 0.2 END + CASE WHEN early_stage IS NULL THEN 0 ELSE 0.1 END + CASE WHEN detectability IS NULL THEN 0 ELSE 0.3 END + CASE WHEN blood_background_safety IS NULL THEN 0 ELSE 0.25 END + CASE WHEN specificity IS NULL THEN 0 ELSE 0.15 END, 0) AS score FROM e)"""
+WEIGHTS = {"recurrence": 0.2, "early_stage": 0.1, "detectability": 0.3, "blood_background_safety": 0.25, "specificity": 0.15}
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    v, n = T.observed(F.col("status")), F.count("*")
+    first = F.substring("stage", 1, 1) == "1"
+    out = observations(spark, sf_dir).groupBy(F.concat_ws("/", "gene", "kind").alias("candidate_id")).agg(
+        F.avg(v).alias("recurrence"), F.when(F.count(F.when(first, v)) > 5, F.avg(F.when(first, v))).alias("early_stage"), F.when(n % 3 > 0, F.avg("depth") / 50).alias("detectability"),
+        F.when(n % 5 > 0, 1 - 10 * F.avg("error_rate")).alias("blood_background_safety"), F.when(n % 7 > 0, 10 * F.avg("vaf")).alias("specificity"),
+    )
+    return EV.constraint_flags(EV.normalized(out, tuple(WEIGHTS)), min_detectability=0.4, max_background=0.5)
+
+
+@query(EVIDENCE_SQL + ", b AS (SELECT *, CASE WHEN NOT eligible THEN 'ineligible' WHEN score IS NULL THEN 'unscored' ELSE 'ranked' END AS bucket FROM s) SELECT candidate_id, bucket, round(score, 6) AS score, CASE WHEN bucket = 'ranked' THEN row_number() OVER (PARTITION BY bucket ORDER BY round(score, 9) DESC NULLS LAST, candidate_id) END AS rank FROM b")
+def candidate_ranking(spark, sf_dir):
+    """Candidates by constraints and transparent weighted score, in three buckets."""
+    return rounded(EV.ranked(_evidence(spark, sf_dir), WEIGHTS).select("candidate_id", "bucket", "score", "rank"))
+
+
+@query(EVIDENCE_SQL + ", n AS (SELECT *, CASE WHEN early_stage IS NULL THEN 0 ELSE 1 END + CASE WHEN recurrence IS NULL THEN 0 ELSE 1 END + CASE WHEN detectability IS NULL THEN 0 ELSE 1 END + CASE WHEN blood_background_safety IS NULL THEN 0 ELSE 1 END + CASE WHEN specificity IS NULL THEN 0 ELSE 1 END AS k FROM s) SELECT candidate_id, k::BIGINT AS n_fields, CASE WHEN score IS NULL THEN 'Data unavailable' WHEN score >= 0.75 AND k >= 5 THEN 'HIGH' WHEN score >= 0.5 AND k >= 3 THEN 'MODERATE' ELSE 'LOW' END AS confidence FROM n")
+def evidence_confidence(spark, sf_dir):
+    """Confidence from score and number of observed fields."""
+    out = _evidence(spark, sf_dir).withColumn("n_fields", F.size(EV.used_fields(WEIGHTS)))
+    return rounded(out.select("candidate_id", "n_fields", EV.confidence(EV.weighted_score(WEIGHTS), F.col("n_fields")).alias("confidence")))
+
+
+@query(EVIDENCE_SQL + ", g AS (SELECT * FROM (VALUES (0.0), (0.4), (0.5), (0.52)) a(d), (VALUES (0.3), (0.5), (0.6), (1.0)) b(m)), x AS (SELECT d, m, candidate_id, score, (coalesce(detectability >= d, d <= 0)) AND (coalesce(blood_background_safety >= 1 - m, m >= 1)) AND score IS NOT NULL AS ok FROM s, g) SELECT d::DOUBLE AS min_detectability, m::DOUBLE AS max_background, count(*) FILTER (ok) AS n_ranked FROM x GROUP BY ALL")
+def constraint_sensitivity(spark, sf_dir):
+    """How many candidates each pair of limits leaves."""
+    return rounded(EV.constraint_grid(_evidence(spark, sf_dir), WEIGHTS, (0.0, 0.4, 0.5, 0.52), (0.3, 0.5, 0.6, 1.0)).drop("top"))
+
+
+@query(EVIDENCE_SQL + ", l AS (SELECT candidate_id, 'full' AS scenario, score AS sc FROM s WHERE eligible UNION ALL SELECT candidate_id, 'no_background', (coalesce(0.2 * recurrence, 0) + coalesce(0.1 * early_stage, 0) + coalesce(0.3 * detectability, 0) + coalesce(0.15 * specificity, 0)) / nullif(CASE WHEN recurrence IS NULL THEN 0 ELSE 0.2 END + CASE WHEN early_stage IS NULL THEN 0 ELSE 0.1 END + CASE WHEN detectability IS NULL THEN 0 ELSE 0.3 END + CASE WHEN specificity IS NULL THEN 0 ELSE 0.15 END, 0) FROM s WHERE eligible) SELECT candidate_id, scenario, round(sc, 6) AS score FROM l WHERE sc IS NOT NULL")
+def ablation_scores(spark, sf_dir):
+    """Scores with all evidence and without a group of fields."""
+    scenarios = EV.ablation_weights(WEIGHTS, {"no_background": ("blood_background_safety",)})
+    return rounded(EV.scenario_ranks(_evidence(spark, sf_dir), scenarios).select("candidate_id", "scenario", "score"))
+
+
+@query()
+def weight_sensitivity(spark, sf_dir):
+    """Stability of the first and of the top ranks when single weights are raised."""
+    return rounded(EV.selection_stability(EV.scenario_ranks(_evidence(spark, sf_dir), EV.doubled_weights(WEIGHTS)), k=15))
+
+
+@query(EVIDENCE_SQL + ", m AS (SELECT candidate_id, hash(candidate_id) AS h FROM s) SELECT count(*) AS n_selected, count(*) FILTER (eligible) AS n_found, round(count(*) FILTER (eligible) / nullif(count(*), 0), 6) AS rate FROM s WHERE detectability IS NOT NULL")
+def revalidated_candidates(spark, sf_dir):
+    """Share of selected candidates that the validated ones contain."""
+    e = _evidence(spark, sf_dir)
+    return rounded(EV.revalidated(e.where("detectability is not null"), e.where("eligible"), "candidate_id"))
+
+
+MATRIX_SQL = f"WITH {OBS_SQL}, mx AS (SELECT sample_id AS patient, kind AS candidate, max(CASE WHEN depth >= 48 THEN v WHEN v IS NOT NULL THEN 0 END) AS value FROM obs WHERE v IS NOT NULL GROUP BY ALL)"
+
+
+def _matrix(spark, sf_dir) -> DataFrame:
+    rows = observations(spark, sf_dir).select(F.col("sample_id").alias("patient"), F.col("kind").alias("candidate"), F.when((F.col("depth") < 48) & (F.col("status") == T.DETECTED), T.NOT_DETECTED).otherwise(F.col("status")).alias("status"))
+    return P.presence(rows)
+
+
+@query(MATRIX_SQL + " SELECT candidate, round(avg(value), 6) AS coverage, count(*) AS observed FROM mx GROUP BY candidate")
+def candidate_coverage(spark, sf_dir):
+    """Share of observed patients whom each candidate covers."""
+    return rounded(P.candidate_coverage(_matrix(spark, sf_dir)))
+
+
+@query(
+    MATRIX_SQL
+    + ", k AS (SELECT candidate, row_number() OVER (ORDER BY candidate) - 1 AS i FROM (SELECT DISTINCT candidate FROM mx)), pm AS (SELECT patient, bit_or(CASE WHEN value > 0 THEN (1 << i)::BIGINT ELSE 0 END) AS mask, bit_or((1 << i)::BIGINT) AS seen FROM mx JOIN k USING (candidate) GROUP BY patient), ss AS (SELECT unnest(generate_series(1, (1 << (SELECT count(*) FROM k)::INT)::INT - 1))::BIGINT AS s), nm AS (SELECT s, string_agg(candidate, '|' ORDER BY candidate) AS panel FROM ss, k WHERE (s >> i) & 1 = 1 GROUP BY s), c AS (SELECT s, count(*) FILTER (s & mask <> 0) AS covered, count(*) FILTER (s & seen <> 0) AS observed FROM ss, pm WHERE bit_count(s) <= 3 GROUP BY s) SELECT panel, bit_count(s)::BIGINT AS size, covered, observed, round(covered / nullif(observed, 0), 6) AS coverage FROM c JOIN nm USING (s)"
+)
+def exact_panels(spark, sf_dir):
+    """Coverage of every panel of up to three of the kinds."""
+    m = _matrix(spark, sf_dir)
+    names = [r[0] for r in m.select("candidate").distinct().orderBy("candidate").limit(P.EXACT_CANDIDATES + 1).collect()]
+    return rounded(P.exact_presence(m, names, 3).withColumn("panel", F.array_join("panel", "|")))
+
+
+@query()
+def greedy_panel(spark, sf_dir):
+    """The greedy panel over parts' brands by presence."""
+    rows = observations(spark, sf_dir).select(F.col("sample_id").alias("patient"), F.col("gene").alias("candidate"), "status")
+    return rounded(spark.createDataFrame([(i + 1, *x) for i, x in enumerate(P.greedy(P.presence(rows), 5, by_presence=True))], "step int, candidate string, coverage double, gain double"))
+
+
+@query(MATRIX_SQL + ", kk AS (SELECT list(DISTINCT candidate ORDER BY candidate) AS ks FROM mx), p AS (SELECT patient, max(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS hit FROM mx, kk WHERE candidate IN (ks[1], ks[2]) GROUP BY patient) SELECT count(*) AS observed, sum(hit)::BIGINT AS covered, round(sum(hit) / count(*), 6) AS coverage FROM p")
+def panel_coverage(spark, sf_dir):
+    """Patients that a given panel covers among those observed at it."""
+    m = _matrix(spark, sf_dir)
+    names = [r[0] for r in m.select("candidate").distinct().orderBy("candidate").limit(2).collect()]
+    return rounded(P.presence_coverage(m, names))
+
+
+@query()
+def panel_stability(spark, sf_dir):
+    """How often bootstrapped greedy panels choose each kind."""
+    return rounded(R.panel_stability(_matrix(spark, sf_dir), 3, replicates=50))
+
+
+RATES_SQL = " UNION ALL ".join(f"SELECT {s}::BIGINT AS resolution, chrom, unnest(generate_series(start_ // {s}, greatest(start_ // {s}, (end_ - 1) // {s}))) AS bin, feature_type, sample_id, v FROM obs" for s in SC.RATES)
+
+
+@query(f"WITH {OBS_SQL}, l AS ({RATES_SQL}) SELECT resolution, chrom, bin, feature_type, count(DISTINCT sample_id) AS patients, count(*) AS total, count(*) FILTER (v = 1) AS detected, round(count(*) FILTER (v = 1) / count(*), 6) AS detection_rate FROM l GROUP BY ALL")
+def multiresolution_rates(spark, sf_dir):
+    """Detection rates in bins of five sizes, in one pass."""
+    return rounded(SC.multiresolution_rates(observations(spark, sf_dir)))
+
+
+@query(
+    "WITH a AS (SELECT l_partkey * 1000 + l_linenumber AS s, l_partkey * 1000 + l_linenumber + l_quantity::BIGINT AS e, p_brand AS chrom, l_orderkey AS o, l_linenumber AS n FROM lineitem JOIN part ON l_partkey = p_partkey), g AS (SELECT p_brand AS chrom, p_partkey AS gene, p_partkey * 1000 + p_size AS s, p_partkey * 1000 + p_size + 10 AS e FROM part) SELECT a.o AS a_order_id, a.n::BIGINT AS a_line_no, g.gene AS b_gene, g.s AS b_start FROM a JOIN g ON a.chrom = g.chrom AND a.s <= g.e AND g.s <= a.e"
+)
+def interval_join(spark, sf_dir):
+    """Observations that overlap gene ranges, by a bin join."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    start = F.col("l_partkey") * 1000 + F.col("l_linenumber")
+    a = line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("p_brand").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"))
+    at = F.col("p_partkey") * 1000 + F.col("p_size")
+    g = part.select(F.col("p_brand").alias("chrom"), F.col("p_partkey").alias("gene"), at.alias("start"), (at + 10).alias("end"))
+    return rounded(SC.interval_join(a, g, 64).select("a_order_id", "a_line_no", "b_gene", "b_start"))
+
+
+@query()
+def coarse_to_fine(spark, sf_dir):
+    """Retained bins of the coarse-to-fine scan at every level."""
+    lineage, _ = SC.coarse_to_fine(observations(spark, sf_dir), threshold=0.05, levels=(5_000_000, 1_000_000, 100_000))
+    return rounded(lineage.select("resolution", "chrom", "bin", "feature_type", "parent", "effect", "screening"))
+
+
+PRED_SQL = "WITH p AS (SELECT doc_id AS id, quality AS label, n_chars / 20000.0 AS score FROM labels JOIN documents USING (doc_id))"
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), (F.col("n_chars") / 20000.0).alias("score"))
+
+
+@query(PRED_SQL + ", c AS (SELECT count(*) FILTER (score >= 0.05 AND label = 1) AS tp, count(*) FILTER (score >= 0.05 AND label = 0) AS fp, count(*) FILTER (score < 0.05 AND label = 1) AS fn, count(*) FILTER (score < 0.05 AND label = 0) AS tn FROM p) SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(tp / nullif(tp + fp, 0), 6) AS precision, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c")
+def prediction_metrics(spark, sf_dir):
+    """Confusion counts and rates at a threshold."""
+    return rounded(E.binary_metrics(_predictions(spark, sf_dir), 0.05))
+
+
+@query(PRED_SQL + ", r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM p) SELECT round((sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS roc_auc FROM r")
+def roc_auc(spark, sf_dir):
+    """Area under the ROC curve by ranks, ties by half."""
+    return rounded(E.roc_auc(_predictions(spark, sf_dir)))
+
+
+@query(PRED_SQL + ", r AS (SELECT label, row_number() OVER (ORDER BY score DESC, id) AS n, sum(label) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS k FROM p) SELECT round(sum(k / n) FILTER (label = 1) / sum(label), 6) AS average_precision FROM r")
+def average_precision(spark, sf_dir):
+    """Mean precision at the positives' ranks."""
+    return rounded(E.average_precision(_predictions(spark, sf_dir)))
+
+
+@query(PRED_SQL + ", s AS (SELECT DISTINCT score FROM p), t AS (SELECT coalesce((lag(score) OVER (ORDER BY score) + score) / 2, score) AS th FROM s), y AS (SELECT th, count(*) FILTER (label = 1 AND score >= th) / nullif((SELECT sum(label) FROM p), 0) - count(*) FILTER (label = 0 AND score >= th) / nullif((SELECT count(*) FROM p WHERE label = 0), 0) AS v FROM t, p GROUP BY th) SELECT round(th, 6) AS threshold, round(v, 6) AS value FROM y ORDER BY round(v, 12) DESC, th LIMIT 1")
+def best_threshold(spark, sf_dir):
+    """The threshold with the best Youden index."""
+    return rounded(E.best_threshold(_predictions(spark, sf_dir)))
+
+
+@query("WITH c AS (SELECT c_custkey AS patient_id, c_mktsegment AS stratum FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || patient_id), patient_id) AS i, count(*) OVER (PARTITION BY stratum) AS n FROM c) SELECT patient_id, stratum, CASE WHEN i <= floor(n * 0.2) THEN 'test' WHEN i <= floor(n * 0.2) + floor(n * 0.2) THEN 'validation' ELSE 'discovery' END AS split FROM r")
+def stratified_split(spark, sf_dir):
+    """Patients in test, validation and discovery, by strata."""
+    c = cohort(spark, sf_dir).select(F.col("sample_id").alias("patient_id"), "segment")
+    return E.patient_split(c, "patient_id", "segment")
+
+
+@query("WITH c AS (SELECT p_partkey AS id, p_retailprice AS cost, p_size AS recall FROM part), b AS (SELECT *, max(recall) OVER (ORDER BY cost, recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c) SELECT round(cost, 6) AS cost, recall::BIGINT AS recall FROM b WHERE best IS NULL OR recall > best")
+def pareto_frontier(spark, sf_dir):
+    """Cheapest ways to each recall."""
+    return rounded(E.pareto(table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("cost"), F.col("p_size").alias("recall"))))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type")
+def event_frequencies(spark, sf_dir):
+    """Relative frequency of each event type."""
+    return rounded(E.frequencies(table(spark, sf_dir, "events"), "event_type"))
+
+
+DETECT_SQL = "WITH x AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity AS n, least(1.0, l_discount + l_tax) * 0.99 AS p FROM lineitem), t AS (SELECT *, CASE WHEN p <= 0 THEN 0.0 WHEN p >= 1 THEN (n >= 3)::INT::DOUBLE ELSE greatest(0.0, 1 - (pow(1 - p, n) + n * p * pow(1 - p, n - 1) + CASE WHEN n >= 2 THEN n * (n - 1) / 2 * p * p * pow(1 - p, n - 2) ELSE 0 END)) END AS d FROM x)"
+
+
+@query(DETECT_SQL + " SELECT l_orderkey, l_linenumber, round(d, 6) AS detectability FROM t")
+def detectability(spark, sf_dir):
+    """Chance to see at least three variant reads, of every line."""
+    line = table(spark, sf_dir, "lineitem")
+    return rounded(line.select("l_orderkey", "l_linenumber", S.detectability(F.col("l_discount"), F.col("l_quantity"), F.col("l_tax"), F.lit(0.01)).alias("detectability")))
+
+
+@query()
+def limit_of_detection(spark, sf_dir):
+    """Smallest detectable fraction at each mean depth and error of a gene."""
+    g = observations(spark, sf_dir).groupBy("gene").agg((F.round(F.avg("depth")) * 20).alias("depth"), F.avg("error_rate").alias("error_rate"))
+    return rounded(g.select("gene", "depth", S.limit_of_detection(F.col("depth"), F.col("error_rate") / 100).alias("lod")), 5)
+
+
+@query()
+def permutation_tests(spark, sf_dir):
+    """Permutation p of the mean difference of each gene."""
+    rows = observations(spark, sf_dir).select("gene", "sample_id", "grp", F.col("log2_ratio").alias("value"))
+    return rounded(R.permutation_tests(rows, "gene", draws=199))
+
+
+@query()
+def bootstrap_rate(spark, sf_dir):
+    """Bootstrap mean and range of patients' detection rate."""
+    rows = observations(spark, sf_dir).select(F.col("sample_id").alias("patient"), T.observed(F.col("status")).alias("v"))
+    return rounded(R.rate_bootstrap(rows, "v", 50))
+
+
+@query(
+    "WITH s AS (SELECT o_custkey AS case_id, o_orderkey AS sample_id, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'TUMOR' WHEN o_orderpriority LIKE '3%' THEN 'NORMAL_BLOOD' WHEN o_orderpriority LIKE '4%' THEN 'NORMAL_SOLID' ELSE 'UNCLASSIFIED' END AS class FROM orders) SELECT case_id, min(sample_id) FILTER (class = 'TUMOR') AS tumor, coalesce(min(sample_id) FILTER (class = 'NORMAL_BLOOD'), min(sample_id) FILTER (class = 'NORMAL_SOLID')) AS normal, count(*) FILTER (class = 'TUMOR') > 0 AND count(*) FILTER (class LIKE 'NORMAL%') > 0 AS paired FROM s GROUP BY case_id"
+)
+def paired_cases(spark, sf_dir):
+    """First tumour and best normal sample of every case."""
+    p = F.substring("o_orderpriority", 1, 1)
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("sample_id"), F.when(p.isin("1", "2"), "TUMOR").when(p == "3", "NORMAL_BLOOD").when(p == "4", "NORMAL_SOLID").otherwise("UNCLASSIFIED").alias("class"))
+    return SEL.paired_cases(s)
+
+
+@query("WITH n AS (SELECT c_mktsegment AS g, row_number() OVER (ORDER BY c_mktsegment) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT c_mktsegment FROM customer)), r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) SELECT c_custkey, c_mktsegment FROM r JOIN n ON g = c_mktsegment WHERE r <= floor(123 / k) + (i <= 123 % k)::INT")
+def stratified_selection(spark, sf_dir):
+    """123 samples dealt evenly to the strata."""
+    return SEL.stratified(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", 123, "c_custkey")
+
+
+@query("SELECT DISTINCT event_type, user_id, round(value, 1) AS value FROM events")
+def distinct_records(spark, sf_dir):
+    """Exact distinct records."""
+    return SEL.distinct_records(table(spark, sf_dir, "events").select("event_type", "user_id", F.round("value", 1).alias("value")))

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, fast on text whose words recur.
 
-A text is cut at spaces into segments that the tokenizer's own splitting keeps apart anyway, so a text's ids are its
-segments' ids one after the other; each distinct segment is encoded once and its ids are kept as bytes. The store of a
-worker is bounded by `max_segments` and starts anew when full, which costs time and never changes a result.
+A text is cut at white space into segments that the tokenizer's own splitting keeps apart anyway, so a text's ids are its
+segments' ids one after the other; each distinct segment is encoded once and its ids are kept as bytes. A new segment of
+letters and a run of signs is in turn those two parts, which the tokenizers' patterns keep apart. The store of a worker
+is bounded by `max_segments` and starts anew when full, which costs time and never changes a result.
 """
 
 from __future__ import annotations
@@ -12,14 +13,18 @@ import re
 
 import numpy as np
 
-MAX_SEGMENTS = 600_000
-#: A space between two white-space characters, or a last one after another: cutting there could split a run in two.
-_UNSAFE = re.compile(r"(?<=[\s\x1c-\x1f]) (?=[\s\x1c-\x1f]|$)")
+MAX_SEGMENTS = 1_000_000
+#: White space next to white space, or at the end: cutting there could split a run in two.
+_UNSAFE = re.compile(r"[\s\x1c-\x1f](?:[\s\x1c-\x1f]|\Z)")
+_SIGNED = re.compile(r"(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*()/+-]+)\Z")
 _LONG = 4096
 
 
 class SegmentEncoder:
-    """ids(text) -> little-endian ids as bytes, `dtype` wide. lead: the space before a segment belongs to it."""
+    """encode(texts) -> little-endian ids as bytes, `dtype` wide.
+
+    lead: the tokenizer keeps white space, and a space belongs to the segment after it; else it drops white space.
+    """
 
     def __init__(self, path: str, lead: bool, max_segments: int = MAX_SEGMENTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,34 +32,55 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lead, self.max_segments = " " if lead else "", max_segments
+        self.lead, self.max_segments = lead, max_segments
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.store: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _all(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return self._all([text])[0]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Segments after the first; one that starts a line starts with the line feed, others stand for a space and themselves."""
+        if not self.lead:
+            return text.replace("\n", " ").split(" ")
+        return None if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
+
+    def _with_space(self, segment: str) -> str:
+        return segment if not self.lead or segment[:1] == "\n" else " " + segment
+
+    def _learn(self, segments: set[str]) -> None:
+        store, signs = self.store, self.signs
+        parts = {s: m.groups() for s in segments if (m := _SIGNED.match(s))}
+        plain = list(segments - parts.keys() | {w for w, _ in parts.values()} - store.keys())
+        for at in range(0, len(plain), 8192):
+            some = plain[at : at + 8192]
+            store.update(zip(some, self._all([self._with_space(s) for s in some]), strict=True))
+        for run in {r for _, r in parts.values()} - signs.keys():
+            signs[run] = self._whole(run)
+        for s, (word, run) in parts.items():
+            store[s] = store[word] + signs[run]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        store, lead = self.store, self.lead
+        store = self.store
         if len(store) > self.max_segments:
             store.clear()
-        cuts = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
+            self.signs.clear()
+        cuts = [self._cut(t) for t in texts]
         got = [c and list(map(store.get, c[1:])) for c in cuts]
-        new = list({s for c, g in zip(cuts, got, strict=True) if c and None in g for s, ids in zip(c[1:], g, strict=True) if ids is None and len(s) <= _LONG})
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast([lead + s for s in part], add_special_tokens=False), strict=True):
-                store[s] = self._bytes(e.ids)
+        new = {s for c, g in zip(cuts, got, strict=True) if c and None in g for s, ids in zip(c[1:], g, strict=True) if ids is None and len(s) <= _LONG}
+        if new:
+            self._learn(new)
         out = []
         for text, c, g in zip(texts, cuts, got, strict=True):
             if c is None:
                 out.append(self._whole(text))
                 continue
             if None in g:
-                g = [store[s] if s in store else self._whole(lead + s) for s in c[1:]]
+                g = [store[s] if s in store else self._whole(self._with_space(s)) for s in c[1:]]
             out.append((self._whole(c[0]) if c[0] else b"") + b"".join(g))
         return out
 

@@ -224,7 +224,7 @@ def _located(listing: DataFrame) -> DataFrame:
     parts = listing.groupBy("part").agg(F.sum("tokens").alias("n"))
     bases = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     files = listing.join(bases, "part").select("name", "uri", (F.col("base") + F.col("part_start")).alias("start"))
-    return files.repartition(F.col("name"))
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
 
 
 def read_tokens(listing: DataFrame) -> DataFrame:

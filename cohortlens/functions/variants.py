@@ -37,7 +37,7 @@ def info_map(info: Column, upper: bool = False) -> Column:
     """KEY=VALUE;FLAG text as a map; flags have NULL values."""
     m = F.expr("map_from_entries(cast(array() as array<struct<key:string,value:string>>))")
     entries = F.filter(F.split(info, ";"), lambda x: ~x.isin("", "."))
-    entries = F.transform(entries, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.expr("substring(x, instr(x, '=') + 1)") if False else F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("value")))
+    entries = F.transform(entries, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("value")))
     keyed = F.transform(entries, lambda e: F.struct((F.upper(e["key"]) if upper else e["key"]).alias("key"), e["value"].alias("value")))
     last = F.filter(keyed, lambda e, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda later: later["key"] == e["key"]))
     return F.coalesce(F.map_from_entries(last), m)
@@ -94,16 +94,12 @@ def region_text(chrom: Column, start: Column, end: Column) -> Column:
 
 def bins(start: Column, end: Column, size: int) -> Column:
     """Numbers of the 1-based bins of `size` that an interval covers; explode and join on them instead of a range join."""
-    return F.sequence(F.expr(f"({_sql(start)} - 1) div {size}"), F.expr(f"({_sql(end)} - 1) div {size}"))
+    return F.sequence(F.floor((start - 1) / size), F.floor((end - 1) / size))
 
 
 def zero_based_bins(start: Column, end: Column, size: int) -> Column:
     """The other convention in use: start div size to (end - 1) div size."""
-    return F.sequence(F.expr(f"{_sql(start)} div {size}"), F.greatest(F.expr(f"{_sql(start)} div {size}"), F.expr(f"({_sql(end)} - 1) div {size}")))
-
-
-def _sql(c: Column) -> str:
-    return c._jc.toString() if hasattr(c, "_jc") else str(c)
+    return F.sequence(F.floor(start / size), F.greatest(F.floor(start / size), F.floor((end - 1) / size)))
 
 
 def overlaps(a: str, b: str) -> Column:

@@ -157,7 +157,7 @@ def constraint_grid(df: DataFrame, weights: dict[str, float], detectabilities: t
     grid = F.array(*[F.struct(F.lit(d).alias("min_detectability"), F.lit(b).alias("max_background")) for d in detectabilities for b in backgrounds])
     long = df.withColumn("score", weighted_score(weights)).select(key, "score", "detectability", "blood_background_safety", F.explode(grid).alias("g")).select("*", "g.*")
     ok = F.coalesce(F.col("detectability") >= F.col("min_detectability"), F.col("min_detectability") <= 0) & F.coalesce(F.col("blood_background_safety") >= 1 - F.col("max_background"), F.col("max_background") >= 1) & F.col("score").isNotNull()
-    return long.groupBy("min_detectability", "max_background").agg(F.count_if(ok).alias("n_ranked"), F.min_by(key, F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")) if False else F.when(ok, F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("top"))
+    return long.groupBy("min_detectability", "max_background").agg(F.count_if(ok).alias("n_ranked"), F.min_by(key, F.when(ok, F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("top"))
 
 
 def conventional_ranking(df: DataFrame, k: int, key: str = "feature") -> DataFrame:

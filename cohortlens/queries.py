@@ -410,3 +410,59 @@ def stratified_selection(spark, sf_dir):
 def distinct_records(spark, sf_dir):
     """Exact distinct records."""
     return SEL.distinct_records(table(spark, sf_dir, "events").select("event_type", "user_id", F.round("value", 1).alias("value")))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type AS feature_type, count(*) AS n, count(*) FILTER (value < 40 OR value >= 60) AS observed, count(*) FILTER (value >= 60) AS detected, round(count(*) FILTER (value >= 60) / nullif(count(*) FILTER (value < 40 OR value >= 60), 0), 6) AS detection_rate FROM events GROUP BY ALL")
+def windowed_rates(spark, sf_dir):
+    """Hourly detection rates of event types, by the streaming operator on a table."""
+    from cohortlens.streaming.rates import windowed_rates as rates
+
+    e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("feature_type"), F.when(F.col("value") >= 60, "Detected").when(F.col("value") < 40, "Not detected").otherwise("Data unavailable").alias("status"))
+    return rounded(rates(e))
+
+
+@query("WITH d AS (SELECT CASE WHEN props LIKE '%1%' THEN 'a' ELSE 'b' END AS k, user_id, event_id FROM events) SELECT k, count(DISTINCT user_id) AS users, count(*) AS n_events FROM d GROUP BY k")
+def json_properties(spark, sf_dir):
+    """Events by a property of their JSON."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.when(F.col("props").contains("1"), "a").otherwise("b").alias("k")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("n_events"))
+
+
+@query(f"WITH {OBS_SQL}, mx AS (SELECT sample_id AS patient, kind AS candidate, avg(CASE WHEN status = 'Detected' THEN 10 * vaf WHEN status = 'Not detected' THEN 0 END) AS value FROM obs WHERE status <> 'Data unavailable' GROUP BY ALL), p AS (SELECT patient, 1 - product(1 - greatest(0.0, least(1.0, value))) AS hit FROM mx GROUP BY patient) SELECT count(*) AS observed, round(avg(hit), 6) AS coverage FROM p")
+def probable_coverage(spark, sf_dir):
+    """Mean chance that a panel of all kinds hits an observed patient."""
+    rows = observations(spark, sf_dir).where(F.col("status") != T.UNAVAILABLE)
+    m = rows.groupBy(F.col("sample_id").alias("patient"), F.col("kind").alias("candidate")).agg(F.avg(F.when(F.col("status") == T.DETECTED, 10 * F.col("vaf")).otherwise(0.0)).alias("value"))
+    names = [r[0] for r in m.select("candidate").distinct().limit(100).collect()]
+    return rounded(P.probable_coverage(m, names))
+
+
+@query(f"WITH {OBS_SQL}, d AS (SELECT gene AS feature, avg(log2_ratio) FILTER (grp = 'case') - avg(log2_ratio) FILTER (grp = 'control') AS e FROM obs WHERE order_id % 2 = 0 GROUP BY gene), v AS (SELECT gene AS feature, avg(log2_ratio) FILTER (grp = 'case') - avg(log2_ratio) FILTER (grp = 'control') AS e FROM obs WHERE order_id % 2 = 1 GROUP BY gene) SELECT feature, round(d.e, 6) AS d, round(v.e, 6) AS v, d.e * v.e > 0 OR (d.e = 0 AND v.e = 0) AS concordant FROM d JOIN v USING (feature)")
+def generalization(spark, sf_dir):
+    """Whether effects of two cohorts have one sign."""
+    o = observations(spark, sf_dir)
+    effect = F.avg(F.when(F.col("grp") == "case", F.col("log2_ratio"))) - F.avg(F.when(F.col("grp") == "control", F.col("log2_ratio")))
+    a, b = (o.where(F.col("order_id") % 2 == i).groupBy(F.col("gene").alias("feature")).agg(effect.alias("effect_size")) for i in (0, 1))
+    return rounded(EV.generalization(a, b))
+
+
+@query(f"WITH {OBS_SQL}, pon AS (SELECT gene, max(error_rate) AS m FROM obs WHERE depth > 49 GROUP BY gene), g AS (SELECT DISTINCT gene FROM obs) SELECT g.gene AS region, round(m, 6) AS background, m IS NULL OR m <= 0.079 AS kept FROM g LEFT JOIN pon USING (gene)")
+def background_filter(spark, sf_dir):
+    """Candidates whose greatest background is low or unknown."""
+    o = observations(spark, sf_dir)
+    bg = C.background(o.where("depth > 49").select(F.col("gene").alias("region"), F.col("error_rate").alias("wbc")), sources=("wbc",))
+    return rounded(EV.background_filter(o.select(F.col("gene").alias("region")).distinct(), bg, 0.079))
+
+
+@query(f"WITH {OBS_SQL}, a AS (SELECT DISTINCT part FROM obs WHERE status = 'Detected'), b AS (SELECT DISTINCT part FROM obs WHERE depth >= 49), s AS (SELECT (SELECT count(*) FROM a) AS n_reference, (SELECT count(*) FROM b) AS n_candidate, (SELECT count(*) FROM a JOIN b USING (part)) AS n_shared) SELECT *, round(n_shared / nullif(n_reference, 0), 6) AS recall, round(n_shared / nullif(n_candidate, 0), 6) AS precision FROM s")
+def overlap_metrics(spark, sf_dir):
+    """Recall and precision of one key set against another."""
+    o = observations(spark, sf_dir)
+    return rounded(EV.overlap(o.where("status = 'Detected'"), o.where("depth >= 49"), "part"))
+
+
+@query("WITH c AS (SELECT p_brand || ' ' || p_type AS candidate, p_brand, p_type FROM part GROUP BY ALL), i AS (SELECT * FROM (VALUES ('disease', 'cancer'), ('cfdna', '(cfDNA OR ctDNA OR plasma)'), ('early_detection', 'early detection')) t(intent, term)) SELECT candidate, intent, '(\"' || candidate || '\" OR \"' || p_brand || '\" OR \"' || p_type || '\") AND ' || term AS query FROM c, i")
+def literature_queries(spark, sf_dir):
+    """Boolean queries of every candidate and intent."""
+    c = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("feature"), F.col("p_brand").alias("gene"), F.col("p_type").alias("region")).distinct()
+    return EV.literature_queries(c)

@@ -466,3 +466,86 @@ def literature_queries(spark, sf_dir):
     """Boolean queries of every candidate and intent."""
     c = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("feature"), F.col("p_brand").alias("gene"), F.col("p_type").alias("region")).distinct()
     return EV.literature_queries(c)
+
+
+RISK_SQL = f"""WITH {OBS_SQL}{CARRIERS_SQL.format(feature='gene', depth=45)}g AS (SELECT t.*, case_n - case_carriers AS b, control_n - control_carriers AS d, 1 + length(feature) % 3 AS weight FROM t),
+risk AS (SELECT feature, CASE WHEN case_carriers = 0 OR b = 0 OR control_carriers = 0 OR d = 0 THEN (case_carriers + 0.5) * (d + 0.5) / ((b + 0.5) * (control_carriers + 0.5)) ELSE case_carriers * d / (b * control_carriers) END AS odds_ratio, weight * greatest(0.0, case_carriers / case_n - control_carriers / control_n) AS risk FROM g)"""
+
+
+def _risks(spark, sf_dir):
+    from cohortlens.operators import risk
+
+    own = _carriers(spark, sf_dir, "gene", 45)
+    counts = C.carrier_comparison(cohort(spark, sf_dir), own)
+    weights = counts.select("feature", (1.0 + F.length("feature") % 3).alias("weight"))
+    return own.withColumnRenamed("feature", "gene").distinct(), risk.gene_risks(counts, weights)
+
+
+@query(RISK_SQL + " SELECT feature, round(odds_ratio, 6) AS odds_ratio, round(risk, 6) AS risk FROM risk")
+def gene_risks(spark, sf_dir):
+    """Odds ratio and weighted excess of every gene."""
+    return rounded(_risks(spark, sf_dir)[1].select("feature", "odds_ratio", "risk"))
+
+
+@query(RISK_SQL + ", s AS (SELECT sample_id, sum(risk) AS total, string_agg(feature, ',' ORDER BY feature) AS genes FROM carriers JOIN risk USING (feature) WHERE risk > 0 GROUP BY sample_id) SELECT sample_id, round(coalesce(total, 0), 6) AS total_risk, CASE WHEN coalesce(total, 0) >= 0.2 THEN 'high' WHEN coalesce(total, 0) >= 0.05 THEN 'medium' ELSE 'low' END AS category, coalesce(genes, '') AS genes FROM cohort LEFT JOIN s USING (sample_id)")
+def subject_risks(spark, sf_dir):
+    """Risk sum, category and genes of every subject."""
+    from cohortlens.operators import risk
+
+    own, risks = _risks(spark, sf_dir)
+    return rounded(risk.subject_risks(cohort(spark, sf_dir), own, risks, {"low": 0.0, "medium": 0.05, "high": 0.2}))
+
+
+@query(f"WITH {OBS_SQL} SELECT 'feature_type' AS key, feature_type AS value, count(*) AS n FROM obs GROUP BY ALL UNION ALL SELECT 'status', status, count(*) FROM obs GROUP BY ALL UNION ALL SELECT 'chrom', chrom, count(*) FROM obs GROUP BY ALL")
+def observation_counts(spark, sf_dir):
+    """Counts by type, status and chromosome in one pass."""
+    from cohortlens.operators.risk import grouped_counts
+
+    return grouped_counts(observations(spark, sf_dir), "feature_type", "status", "chrom")
+
+
+@query("WITH g AS (SELECT p_brand AS chrom, p_partkey AS gene, p_partkey * 1000 AS s, p_partkey * 1000 + 3 AS e FROM part), p AS (SELECT p_brand AS chrom, l_partkey * 1000 + l_linenumber AS pos, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT p.l_orderkey, p.pos, g.gene FROM p JOIN g ON g.chrom = p.chrom AND p.pos BETWEEN g.s AND g.e")
+def genes_at_points(spark, sf_dir):
+    """Points within gene ranges."""
+    from cohortlens.operators.risk import genes_at
+
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    points = line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("p_brand").alias("chrom"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("pos"), "l_orderkey")
+    genes = part.select(F.col("p_brand").alias("chrom"), (F.col("p_partkey") * 1000).alias("start"), (F.col("p_partkey") * 1000 + 3).alias("end"), F.col("p_partkey").alias("gene"))
+    return genes_at(points, genes, 1000).select("l_orderkey", "pos", "gene")
+
+
+@query(f"WITH {COHORT_SQL}, l AS (SELECT grp, 'nation' AS field, nation::VARCHAR AS v FROM cohort UNION ALL SELECT grp, 'segment', segment FROM cohort) SELECT field, grp, count(v) AS n_observed, count(*) FILTER (v IS NULL) AS n_missing, array_to_string(list_sort(list(DISTINCT v)), ',') AS values FROM l GROUP BY field, grp")
+def design_summary(spark, sf_dir):
+    """What each group has of each design field."""
+    return C.design_summary(cohort(spark, sf_dir), ("nation", "segment")).withColumn("values", F.array_join("values", ","))
+
+
+@query(MATRIX_SQL + ", h AS (SELECT patient, 1 - product(1 - value) AS hit, 1 - product(CASE WHEN candidate <> 'SMALL' THEN 1 - value ELSE 1 END) AS without FROM mx GROUP BY patient) SELECT 'small' AS layer, round(avg(hit), 6) AS coverage, round(avg(without), 6) AS without, round(avg(hit) - avg(without), 6) AS delta FROM h")
+def layer_contribution(spark, sf_dir):
+    """What a layer of candidates adds to a panel's coverage."""
+    m = _matrix(spark, sf_dir)
+    names = [r[0] for r in m.select("candidate").distinct().limit(100).collect()]
+    out = P.layer_contribution(m, names, {n: "small" if n == "SMALL" else "other" for n in names})
+    return rounded(out.where("layer = 'small'"))
+
+
+@query(MATRIX_SQL + ", half AS (SELECT patient, candidate, value, patient % 2 AS h FROM mx), p AS (SELECT h, patient, max(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS hit FROM half WHERE candidate IN ('SMALL', 'LARGE') GROUP BY ALL), c AS (SELECT avg(hit) FILTER (h = 0) AS d, avg(hit) FILTER (h = 1) AS v FROM p) SELECT round(d, 6) AS discovery, round(v, 6) AS validation, round(v - d, 6) AS delta FROM c")
+def frozen_panel(spark, sf_dir):
+    """One panel's coverage in discovery and validation patients."""
+    m = _matrix(spark, sf_dir)
+    return rounded(P.frozen_coverage(m.where("patient % 2 = 0"), m.where("patient % 2 = 1"), ["SMALL", "LARGE"]))
+
+
+@query("WITH f AS (SELECT o_orderkey AS file_id, o_custkey AS case_id, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS w, 'f' || o_orderkey AS file_name FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY w, file_name, file_id) AS k FROM f) SELECT case_id, file_id FROM r WHERE k = 1")
+def primary_files(spark, sf_dir):
+    """The preferred file of every case."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.array("o_custkey").alias("case_ids"), F.col("o_orderstatus").alias("workflow"), F.lit("x").alias("data_type"), F.concat(F.lit("f"), "o_orderkey").alias("file_name"))
+    return SEL.primary_files(o, ["F", "O"], ["x"]).select("case_id", "file_id")
+
+
+@query(EVIDENCE_SQL + " SELECT candidate_id, round(least(40.0, abs(recurrence) * 40) + CASE WHEN detectability IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN specificity IS NOT NULL THEN 15 ELSE 0 END, 6) AS score FROM s")
+def discovery_scores(spark, sf_dir):
+    """Discovery score of candidates with annotation and functional evidence."""
+    e = _evidence(spark, sf_dir)
+    return rounded(e.select("candidate_id", EV.discovery_score(F.col("recurrence"), F.lit(1.0), F.col("detectability").isNotNull(), F.col("specificity").isNotNull()).alias("score")))

@@ -106,7 +106,7 @@ def exact_presence(matrix: DataFrame, candidates: list[str], k: int, patient: st
     masks = patient_masks(matrix, order, patient, candidate)
     spark = matrix.sparkSession
     subsets = spark.range(1, 1 << len(order)).select(F.col("id").cast("int").alias("s")).where(F.bit_count("s") <= k)
-    joined = subsets.crossJoin(F.broadcast(masks))  # at most 4^22 masks in theory, and never more than patients; see masks' count below
+    joined = masks.crossJoin(F.broadcast(subsets))  # at most 2^22 integers, 16 MB
     hit = F.col("s").bitwiseAND(F.col("mask")) != 0
     seen = F.col("s").bitwiseAND(F.col("seen")) != 0
     out = joined.groupBy("s").agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("observed"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,16 @@ def buckets_of(word: str, buckets: int, shortest: int, longest: int) -> list[int
     return [x % buckets for x in out]
 
 
+def subwords_of(words: list[str], buckets: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, one after the other, and how many each word has."""
+    flat, sizes = array("i"), array("i")
+    for w in words:
+        own = buckets_of(w, buckets, shortest, longest)
+        flat.extend(own)
+        sizes.append(len(own))
+    return np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int64)
+
+
 def least_bag(window: int) -> int:
     """A bag of fewer words is made up to so many with blanks, each with the typical margin of clean bags."""
     return max(1, window // 2)
@@ -107,9 +118,8 @@ def train_bags(texts: list[str], labels: list[int], buckets: int, dim: int, wind
     bag_size = np.diff(np.r_[starts, len(flat)])
     bag_of = np.repeat(np.arange(len(starts)), bag_size)
     bag_size = np.maximum(bag_size, least_bag(window))
-    subs = [buckets_of(w, buckets, shortest, longest) for w in index]
-    ids, sub_n = np.concatenate([np.array(s, np.int32) for s in subs]), np.array([len(s) for s in subs])
-    sub_start, word_of = np.r_[0, np.cumsum(sub_n)[:-1]], np.repeat(np.arange(len(subs)), sub_n)
+    ids, sub_n = subwords_of(list(index), buckets, shortest, longest)
+    sub_start, word_of = np.r_[0, np.cumsum(sub_n)[:-1]], np.repeat(np.arange(len(sub_n), dtype=np.int32), sub_n)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     e, w, b = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
@@ -125,7 +135,7 @@ def train_bags(texts: list[str], labels: list[int], buckets: int, dim: int, wind
             top = margin == best[bag_doc]
             pick = top / np.bincount(bag_doc, weights=top)[bag_doc]
         g = (p - y[bag_doc]) * pick * weight[bag_doc]
-        by_word = np.bincount(flat, weights=(g / bag_size)[bag_of], minlength=len(subs)) / sub_n
+        by_word = np.bincount(flat, weights=(g / bag_size)[bag_of], minlength=len(sub_n)) / sub_n
         h = np.bincount(ids, weights=by_word[word_of], minlength=buckets).astype(np.float32)
         eh, sign = e.T @ h, np.array([-1, 1], np.float32)
         grads = (np.outer(h, w[:, 1] - w[:, 0]) + decay * e, np.outer(eh, sign) + decay * w, sign * np.float32(g.sum()))
@@ -152,9 +162,8 @@ class Scorer:
         cut = [tokens(t) for t in texts]
         new = list({w for c in cut for w in c} - self.store.keys())
         if new:
-            subs = [buckets_of(w, m.buckets, m.shortest, m.longest) for w in new]
-            n = np.array([len(s) for s in subs])
-            sums = np.add.reduceat(self.margin[np.concatenate([np.array(s) for s in subs])], np.r_[0, np.cumsum(n)[:-1]])
+            ids, n = subwords_of(new, m.buckets, m.shortest, m.longest)
+            sums = np.add.reduceat(self.margin[ids], np.r_[0, np.cumsum(n)[:-1]])
             self.store.update(zip(new, (sums / n).tolist(), strict=True))
         out = []
         for words in cut:

@@ -90,6 +90,8 @@ class Archive:
             headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
         if not headers.get("content-length", "").isdigit():
             raise Damaged("no content length")
+        if not headers.get("warc-record-id") or not headers.get("warc-type"):
+            raise Damaged("no record id or type")
         return headers, head + 4, int(headers["content-length"])
 
     def _checked(self, headers: dict[str, str], block: bytes) -> None:

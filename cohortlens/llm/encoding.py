@@ -20,6 +20,17 @@ _SIGNED = re.compile(r"(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,
 _LONG = 4096
 
 
+def _latin(text: str) -> bool:
+    """Whether Latin-1 has all characters: their lower case doesn't depend on neighbours, so it may come before the tokenizer's own."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class SegmentEncoder:
     """encode(texts) -> little-endian ids as bytes, `dtype` wide.
 
@@ -33,6 +44,7 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lead, self.max_segments = lead, max_segments
+        self.lower = "Lowercase" in (repr(self.tokenizer.normalizer) if self.tokenizer.normalizer else "")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.store: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
@@ -46,7 +58,7 @@ class SegmentEncoder:
     def _cut(self, text: str) -> list[str] | None:
         """Segments after the first; one that starts a line starts with the line feed, others stand for a space and themselves."""
         if not self.lead:
-            return text.replace("\n", " ").split(" ")
+            return (text.lower() if self.lower and _latin(text) else text).replace("\n", " ").split(" ")
         return None if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
 
     def _with_space(self, segment: str) -> str:

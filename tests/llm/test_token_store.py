@@ -26,7 +26,7 @@ def test_segments_are_exact(texts):
 
 
 def test_special_strings_and_long_words():
-    for text in ("<|endoftext|> a <|endoftext|>", "x" * 9000 + " " + "ab" * 5000, "it's  the\n \n end  ", "  a"):
+    for text in ("<|endoftext|> a <|endoftext|>", "x" * 9000 + " " + "ab" * 5000, "it's  the\n \n end  ", "  a", "ÀÉÎ ÇA VA, ICI! STRASSE ß İI ΑΣ Σ A\u030a", "THE Cat; thE"):
         for f in FILES:
             assert np.frombuffer(ENC[f].encode([text])[0], ENC[f].dtype).tolist() == plain(f, text)
 

@@ -76,27 +76,41 @@ def feature(payload: bytes, width: int = WIDTH) -> str:
 class _Items(HTMLParser):
     SKIP, BREAK = {"script", "style", "nav"}, {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "tr", "article", "section", "figure", "table", "ul", "ol", "blockquote"}
     MEDIA = {"img", "video", "audio", "source"}
+    #: Elements whose ends are followed; an end tag closes what stands open within its element.
+    BLOCKS = (BREAK | SKIP | {"figcaption", "main", "header", "footer", "aside", "body", "html", "td", "th"}) - {"br"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.skip, self.figure, self.caption = [], [], 0, None, None
+        self.items, self.text, self.open, self.figures, self.navs, self.caption = [], [], [], [], [], None
 
     def flush(self):
         if text := " ".join("".join(self.text).split()):
-            self.items.append({"kind": "text", "text": text, "src": None, "digest": None, "caption": None})
+            self.items.append(self.said(text))
         self.text = []
 
+    @staticmethod
+    def said(text):
+        return {"kind": "text", "text": text, "src": None, "digest": None, "caption": None}
+
     def handle_starttag(self, tag, attrs):
         own = dict(attrs)
-        if tag in self.SKIP:
-            self.skip += 1
-        if tag in self.BREAK:
+        if tag in self.BREAK and self.open and self.open[-1] == "p":
+            self.open.pop()
+        if tag == "figcaption" and self.caption is not None:
+            self.handle_endtag("figcaption")
+        if tag in self.BLOCKS:
+            self.open.append(tag)
+        if tag in self.BREAK or tag in ("figcaption", "nav"):
             self.flush()
+        if self.caption is not None and tag in self.BREAK:
+            self.caption.append(" ")
         if tag == "figure":
-            self.figure = len(self.items)
-        if tag == "figcaption":
-            self.flush()
+            self.figures.append({"at": len(self.items), "captions": [], "outer": self.caption, "done": set()})
+            self.caption = None
+        elif tag == "figcaption":
             self.caption = []
+        elif tag == "nav":
+            self.navs.append(len(self.items))
         src = own.get("src") or ""
         if tag in self.MEDIA and (src or own.get("data-digest")):
             self.flush()
@@ -104,32 +118,62 @@ class _Items(HTMLParser):
             self.items.append({"kind": "media", "text": None, "src": src, "digest": digest, "caption": own.get("alt") or None})
 
     def handle_endtag(self, tag):
-        if tag in self.SKIP and self.skip:
-            self.skip -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure or 0 :] if self.figure is not None else []:
-                if item["kind"] == "media":
-                    item["caption"] = text
-            self.caption = None
-        if tag == "figure":
-            self.figure = None
+        if tag in self.open:
+            while (last := self.open.pop()) != tag:
+                self.ended(last, False)
+            self.ended(tag, True)
         if tag in self.BREAK:
             self.flush()
 
+    def ended(self, tag, told):
+        """An element's end, by its own tag or by that of an element around it or the page's end."""
+        if tag == "figcaption" and self.caption is not None:
+            self.flush()
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if text and self.figures:
+                self.figures[-1]["captions"].append((len(self.items), text))
+            elif text:
+                self.items.append(self.said(text))
+        elif tag == "figure":
+            self.flush()
+            figure = self.figures.pop()
+            media = [i for i in self.items[figure["at"] :] if i["kind"] == "media" and id(i) not in figure["done"]]
+            if media and figure["captions"]:
+                for item in media:
+                    item["caption"] = " ".join(text for _, text in figure["captions"])
+            else:
+                for at, text in reversed(figure["captions"]):
+                    self.items.insert(at, self.said(text))
+            if self.figures:
+                self.figures[-1]["done"] |= figure["done"] | {id(i) for i in media if figure["captions"]}
+            self.caption = figure["outer"]
+        elif tag == "nav":
+            self.flush()
+            at = self.navs.pop()
+            if told:  # what follows a nav that never ends is not known to be one
+                self.items[at:] = [i for i in self.items[at:] if i["kind"] == "media"]
+
     def handle_data(self, data):
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.skip:
-            self.text.append(data)
+        if self.open and self.open[-1] in ("script", "style"):
+            return
+        (self.text if self.caption is None else self.caption).append(data)
+
+    def finish(self):
+        self.close()
+        while self.open:
+            self.ended(self.open.pop(), False)
+        self.flush()
 
 
 def parse_items(html: str | None) -> list[dict]:
-    """Ordered text and media items of a page; nothing for a null or empty one. Broken HTML gives what can be read of it."""
+    """Ordered text and media items of a page; nothing for a null or empty one. Broken HTML gives what can be read of it.
+
+    A figure's caption, wherever it stands in it, goes to all its media but those that a figure within it captions; a
+    caption without media is text. A nav's text goes if the nav ends.
+    """
     p = _Items()
     p.feed(html or "")
-    p.close()
-    p.flush()
+    p.finish()
     return p.items
 
 

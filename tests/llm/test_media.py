@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import zlib
 
 import pytest
@@ -32,6 +33,40 @@ def test_items_keep_order_and_captions():
     assert M.parse_items(None) == M.parse_items("") == []
 
 
+def items(html):
+    return [(i["text"] or i["src"], i["caption"]) for i in M.parse_items(html)]
+
+
+def test_captions_and_broken_pages():
+    assert items("<figure><figcaption>cap</figcaption><img src=a><img src=b></figure>t") == [("a", "cap"), ("b", "cap"), ("t", None)]
+    assert items("<figure><figcaption>Table 1</figcaption><table><tr><td>x</table></figure>t") == [("Table 1", None), ("x", None), ("t", None)]
+    assert items("a<figcaption>alone</figcaption>b") == [("a", None), ("alone", None), ("b", None)]
+    assert items("<figure><img src=a><figcaption>cap</figure><p>later</p>") == [("a", "cap"), ("later", None)]
+    assert items("<body><p>a<nav>menu<p>rest of it</body>") == [("a", None), ("menu", None), ("rest of it", None)]
+    assert items("<p>a<nav>menu<ul><li>x</ul></nav>b") == [("a", None), ("b", None)]
+    assert items("<figure><figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out</figcaption></figure>") == [("a", "in"), ("b", "out")]
+    assert items("<figure><figure><img src=a><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("a", "in"), ("out", None)]
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    seqs = {r.page_id: r["items"] for r in M.sequences(pages.select("page_id", "html")).collect()}
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def handle_data(self, data):
+            self.words += data.split()
+
+    for page_id, html in pages.select("page_id", "html").collect():
+        w = Words()
+        w.words = []
+        w.feed(re.sub(r"(?is)<(script|style|nav)\b.*?</\1\s*>", " ", html or ""))
+        w.close()
+        seen = set(" ".join(f"{i.text or ''} {i.caption or ''}" for i in seqs[page_id]).split())
+        assert set(w.words) <= seen, page_id
+        assert [i.pos for i in seqs[page_id]] == list(range(len(seqs[page_id])))
+
+
 def test_resolve_and_rows(spark):
     rows = [(1, "same", 7), (2, "same", 7), (3, None, 7), (4, "", 7), (1, "same", 7), (None, "long " * 30000, 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest int")

@@ -233,6 +233,13 @@ def near_links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     return first.where("key is null").select("a", "b").unionByName(second.select("a", "b"))
 
 
+def _components(prints: DataFrame, radius: int, hot: int) -> DataFrame:
+    """prints (doc_id, fp) -> (fp, component, first_id): a row a fingerprint, with its least doc_id."""
+    unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
+    labels = connected_components(near_links(unique.select("fp"), radius, hot)).select(F.col("id").alias("fp"), "component")
+    return unique.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs; component_id is the smallest doc_id that links reach.
 
@@ -240,24 +247,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gets its component, and is not its name unless the whole component has null ids. Other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
-    labels = connected_components(near_links(unique.select("fp"), radius, hot)).select(F.col("id").alias("fp"), "component")
-    labelled = unique.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first_id")
+    labelled = _components(prints, radius, hot)
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = written(labelled.join(least, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
-    """docs, of which each component keeps one document: a row of its smallest doc_id. Columns stay as they are.
+    """docs, of which each component keeps one row: of its smallest doc_id, and of that the least text hash. Columns stay.
 
-    Repeated rows of a kept doc_id leave one row. Rows with a null doc_id count as one document, which stays if its
-    component has no other id.
+    A null doc_id is above all others. Rows that share an id, or have none, are told apart by their texts, so each
+    component keeps a row whatever the ids in others are. Repeated rows of a kept document leave one row.
     """
-    keep = simhash_components(docs, id_col, text_col, radius, width).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__kept"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return kept.withColumn("__row", first).where("__row = 1").drop("__row")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    prints = written(fingerprints(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", width), "fingerprints")
+    labelled = _components(prints, radius, HOT).select("fp", "component")
+    keep = prints.join(labelled, "fp").groupBy("component").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
+    kept = docs.withColumn("__key", key).join(keep, F.col("__key").eqNullSafe(F.col("__kept")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(text_col))
+    return kept.withColumn("__row", first).where("__row = 1").drop("__row", "__key")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -97,3 +97,10 @@ def test_rows_and_edges(spark):
     assert kept.columns == docs.columns
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([1, 3, 7, None], key=str)
     assert S.simhash_components(docs.limit(0)).count() == 0
+
+
+def test_ids_that_are_null_or_shared(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(200))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (9, text("c")), (5, text("d")), (5, text("e")), (1, text("e"))]
+    got = [(r.doc_id, r.text[:1]) for r in S.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (None, "b"), (9, "c"), (5, "d"), (1, "e")], key=str)

@@ -94,3 +94,11 @@ def test_run(spark, tmp_path):
     assert CP.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert CP.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_remains_of_copies_go(spark):
+    long = "a line of more than forty characters that two documents of these have"
+    rows = [(1, f"Heading\n{long}"), (2, f"Heading\n{long}"), (3, f"My own\n{long}"), (4, f"heading \n\n{long}\nHeading"), (5, "Heading")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in CP.lines(spark, docs, "").collect()}
+    assert got == {1: f"Heading\n{long}", 3: "My own", 5: "Heading"}

@@ -1,38 +1,57 @@
 """Token ids of whole texts by the tokenizers library, fast on text whose words recur.
 
-A text is cut at white space into segments that the tokenizer's own splitting keeps apart anyway, so a text's ids are its
-segments' ids one after the other; each distinct segment is encoded once and its ids are kept as bytes. A new segment of
-letters and a run of signs is in turn those two parts, which the tokenizers' patterns keep apart. The store of a worker
-is bounded by `max_segments` and starts anew when full, which costs time and never changes a result.
+A text is cut before white space that follows something else. Both kinds of vocabulary keep apart what stands on the two
+sides of such a place, so a text's ids are its segments' ids one after the other. Cutting, counting distinct segments
+and putting ids together are array operations over many texts; only the distinct segments of a batch are looked up, and
+only new ones reach the tokenizer. The store of a worker is bounded by `max_segments` and starts anew when full, which
+costs time and never changes a result.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 MAX_SEGMENTS = 1_000_000
-#: White space next to white space, or at the end: cutting there could split a run in two.
-_UNSAFE = re.compile(r"[\s\x1c-\x1f](?:[\s\x1c-\x1f]|\Z)")
-_SIGNED = re.compile(r"(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?#$%&*()/+-]+)\Z")
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 4 << 20
 _LONG = 4096
+#: Letters that both vocabularies' patterns count as letters, and signs that both keep apart from letters before them.
+_WORD = re.compile(r"[ \n]?([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()/+-]*)\Z")
+#: Bytes at which a text may be cut, and bytes that may be white space in some definition and so don't stand before a cut.
+_CUT = np.isin(np.arange(256), [0x20, 0x0A])
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
 
 
-def _latin(text: str) -> bool:
-    """Whether Latin-1 has all characters: their lower case doesn't depend on neighbours, so it may come before the tokenizer's own."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _after_wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space of two or three UTF-8 bytes."""
+    a, b, c = (data[np.maximum(at - k, 0)].astype(np.int32) for k in (3, 2, 1))
+    three = a << 16 | b << 8 | c
+    two = (b << 8 | c == 0xC285) | (b << 8 | c == 0xC2A0)
+    return two | ((three >= 0xE28080) & (three <= 0xE2808A)) | np.isin(three, [0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of strings; a null is empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _values(array: pa.LargeBinaryArray) -> list[bytes]:
+    data = array.buffers()[2].to_pybytes()
+    at = np.frombuffer(array.buffers()[1], np.int64)[: len(array) + 1].tolist()
+    return [data[a:b] for a, b in pairwise(at)]
 
 
 class SegmentEncoder:
-    """encode(texts) -> little-endian ids as bytes, `dtype` wide.
+    """encode(texts) -> ids of `dtype` and where each text's ids start.
 
     lead: the tokenizer keeps white space, and a space belongs to the segment after it; else it drops white space.
     """
@@ -45,57 +64,115 @@ class SegmentEncoder:
         self.tokenizer.encode_special_tokens = True
         self.lead, self.max_segments = lead, max_segments
         self.lower = "Lowercase" in (repr(self.tokenizer.normalizer) if self.tokenizer.normalizer else "")
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.store: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-
-    def _all(self, texts: list[str]) -> list[bytes]:
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.edge = np.zeros(size, bool)
+        for token, n in self.tokenizer.get_vocab().items():
+            self.edge[n] = token.startswith("Ġ") if lead else token.endswith("</w>")
+        self.store: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, text: str) -> bytes:
-        return self._all([text])[0]
-
-    def _cut(self, text: str) -> list[str] | None:
-        """Segments after the first; one that starts a line starts with the line feed, others stand for a space and themselves."""
-        if not self.lead:
-            return (text.lower() if self.lower and _latin(text) else text).replace("\n", " ").split(" ")
-        return None if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
-
-    def _with_space(self, segment: str) -> str:
-        return segment if not self.lead or segment[:1] == "\n" else " " + segment
-
-    def _learn(self, segments: set[str]) -> None:
-        store, signs = self.store, self.signs
-        parts = {s: m.groups() for s in segments if (m := _SIGNED.match(s))}
-        plain = list(segments - parts.keys() | {w for w, _ in parts.values()} - store.keys())
-        for at in range(0, len(plain), 8192):
-            some = plain[at : at + 8192]
-            store.update(zip(some, self._all([self._with_space(s) for s in some]), strict=True))
-        for run in {r for _, r in parts.values()} - signs.keys():
-            signs[run] = self._whole(run)
-        for s, (word, run) in parts.items():
-            store[s] = store[word] + signs[run]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        store = self.store
-        if len(store) > self.max_segments:
-            store.clear()
-            self.signs.clear()
-        cuts = [self._cut(t) for t in texts]
-        got = [c and list(map(store.get, c[1:])) for c in cuts]
-        new = {s for c, g in zip(cuts, got, strict=True) if c and None in g for s, ids in zip(c[1:], g, strict=True) if ids is None and len(s) <= _LONG}
-        if new:
-            self._learn(new)
-        out = []
-        for text, c, g in zip(texts, cuts, got, strict=True):
-            if c is None:
-                out.append(self._whole(text))
-                continue
-            if None in g:
-                g = [store[s] if s in store else self._whole(self._with_space(s)) for s in c[1:]]
-            out.append((self._whole(c[0]) if c[0] else b"") + b"".join(g))
+    def _add_words(self, words: list[str]) -> None:
+        """Learns words of letters, encoded as one text whose ids show where a word starts (lead) or ends."""
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+            edges = np.flatnonzero(self.edge[ids]) + (0 if self.lead else 1)
+            if len(edges) == len(some):
+                cuts = [*edges.tolist(), len(ids)] if self.lead else [0, *edges.tolist()]
+                self.words.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                self.words.update(zip(some, self._each([" " + w for w in some]), strict=True))
+
+    def _learn(self, segments: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new segments. A word and the signs after it are encoded apart, and a word once whatever stands around it."""
+        parts, others = {}, []
+        for s in segments:
+            t = s.decode()
+            m = _WORD.match(t)
+            if m and len(s) <= _LONG and not (self.lead and t[0] != " "):
+                parts[s] = (m[1].lower() if self.lower else m[1], m[2])
+            else:
+                others.append((s, t))
+        self._add_words(list({w for w, _ in parts.values()} - self.words.keys()))
+        runs = list({"\0" + r for _, r in parts.values() if r} - self.words.keys())
+        self.words.update(zip(runs, self._each([r[1:] for r in runs]), strict=True))
+        out = {s: self.words[w] + (self.words["\0" + r] if r else b"") for s, (w, r) in parts.items()}
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            out.update(zip([s for s, _ in some], self._each([t for _, t in some]), strict=True))
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; a null text is empty."""
+        if len(self.store) > self.max_segments:
+            self.store.clear()
+        if len(self.words) > self.max_segments:
+            self.words.clear()
+        data, bounds = _utf8(texts)
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        np.logical_and(_CUT[data[1:]], ~_BLANK[data[:-1]], out=cut[1:-1])
+        wide = np.flatnonzero(cut[1:-1] & (data[:-1] >= 0x80)) + 1
+        cut[wide[_after_wide_blank(data, wide)]] = False
+        cut[bounds] = True
+        edges = np.flatnonzero(cut)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        distinct, which = _values(coded.dictionary), coded.indices.to_numpy()
+        got = list(map(self.store.get, distinct))
+        if None in got:
+            new = self._learn([s for s, g in zip(distinct, got, strict=True) if g is None])
+            self.store.update((s, ids) for s, ids in new.items() if len(s) <= _LONG)
+            got = [new[s] if g is None else g for s, g in zip(distinct, got, strict=True)]
+        flat = np.frombuffer(b"".join(got), self.dtype)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        first = np.cumsum(sizes) - sizes
+        own = sizes[which]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(first[which] - ends + own, own) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(edges, bounds)]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], enc: SegmentEncoder, column: int, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, ids, offsets) of column's texts with end_id after each, ids little-endian unsigned 32-bit.
+
+    Batches are put together or cut so that each holds about BATCH_BYTES of text, or one text.
+    """
+    for batch in by_bytes(batches, column):
+        ids, offsets = enc.encode(batch.column(column))
+        at = np.arange(1, batch.num_rows + 1)
+        out = np.full(len(ids) + len(at), end_id, "<u4")
+        own = np.ones(len(out), bool)
+        own[offsets[1:] + at - 1] = False
+        out[own] = ids
+        yield batch, out, np.append(0, offsets[1:] + at)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `limit` bytes in column, up to one more batch of that size and one row."""
+    held, size = [], 0
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets = _utf8(batch.column(column))[1]
+        ends = np.searchsorted(offsets, np.arange(limit, offsets[-1] + limit, limit)).clip(1, batch.num_rows)
+        for a, b in pairwise(np.unique(np.concatenate([[0], ends, [batch.num_rows]])).tolist()):
+            held.append(batch.slice(a, b - a))
+            size += int(offsets[b] - offsets[a])
+            if size >= limit:
+                yield from joined()
+                held, size = [], 0
+    if held:
+        yield from joined()
+
 
 _ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}
 

@@ -14,7 +14,6 @@ its task plus the counts of the tasks before.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.base import small_batches, table, written
-from cohortlens.llm.encoding import encoder, vocabulary
+from cohortlens.llm.encoding import encoded, encoder, vocabulary
 
 
 class CapacityTree:
@@ -88,22 +87,26 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocab: str, lead: bool, end_id: int, capacity: int, keep_ids: bool, extra: int) -> Iterator[pa.RecordBatch]:
-    enc = encoder(vocab, lead)
-    end, part, seen = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
-    for batch in batches:
-        rows, source = [], []
-        for k, data in enumerate(enc.encode([t or "" for t in batch.column(0).to_pylist()])):
-            ids = np.frombuffer(data, enc.dtype).astype("<u4").tobytes() + end
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                own = ids[at : at + 4 * capacity]
-                rows.append((piece, at // 4, len(own) // 4, zlib.crc32(own), part, seen[len(own)]) + ((own,) if keep_ids else ()))
-                seen[len(own)] += 1
-                source.append(k)
-        names = ["piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * keep_ids
-        kinds = [pa.int32()] + [pa.int64()] * 5 + [pa.binary()] * keep_ids
-        columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-        carried = pa.Table.from_batches([batch.select(list(range(1, 1 + extra)))]).take(pa.array(source, pa.int64())).combine_chunks()
-        yield from pa.Table.from_arrays([*carried.columns, *columns], names=[*carried.column_names, *names]).combine_chunks().to_batches()
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for batch, ids, offsets in encoded(batches, encoder(vocab, lead), 0, end_id):
+        sizes = np.diff(offsets)
+        many = -(-sizes // capacity)
+        source = np.repeat(np.arange(len(sizes)), many)
+        piece = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)
+        start = piece * capacity
+        length = np.minimum(sizes[source] - start, capacity)
+        first, data = offsets[source] + start, memoryview(ids).cast("B")
+        own = [data[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+        by_length = np.argsort(length, kind="stable")
+        lengths, at, n = np.unique(length[by_length], return_index=True, return_counts=True)
+        nth = np.empty(len(length), np.int64)
+        nth[by_length] = np.arange(len(length)) - np.repeat(at, n) + seen[length[by_length]]
+        seen[lengths] += n
+        columns = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(list(map(zlib.crc32, own)), pa.int64()), "part": pa.array(np.full(len(piece), part, np.int64)), "nth": pa.array(nth)}
+        if keep_ids:
+            columns["ids"] = pa.array(own, pa.binary())
+        carried = pa.Table.from_batches([batch.select(list(range(1, 1 + extra)))]).take(pa.array(source))
+        yield from pa.Table.from_arrays([*carried.columns, *columns.values()], names=[*carried.column_names, *columns]).combine_chunks().to_batches()
 
 
 def _place(batches: Iterator[pa.RecordBatch], plan: dict[int, np.ndarray], extra: int) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 A shard file holds consecutive documents in ascending order of doc_id:
 
     8 bytes   magic "EFTOKEN1"
-    9 x u64   documents, null ids, tokens, least doc_id, span of doc_ids, low bits of ends, low bits of ids, id width, select step
+    9 x u64   documents, null ids, tokens, least doc_id (two's complement), span of doc_ids, low bits of ends, low bits of ids, id width, select step
     ends      Elias-Fano code of each document's end within the shard
     doc ids   Elias-Fano code of doc_id - least (non-null ones; ids may repeat)
     ids       token ids, little endian, 2 or 4 bytes each
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.base import shared_dir, small_batches, table, written
-from cohortlens.llm.encoding import encoder, vocabulary
+from cohortlens.llm.encoding import encoded, encoder, vocabulary
 
 MAGIC, STEP = b"EFTOKEN1", 256
 BLOCK_TOKENS = 1 << 24
@@ -87,16 +87,15 @@ class EliasFano:
         return (places - np.arange(self.n)) << self.low_bits | self._low(0, self.n)
 
 
-def pack_shard(doc_ids: list[int | None], parts: list[bytes], width: int) -> bytes:
-    """A shard's bytes; parts are the documents' ids. Null doc_ids come first, the others ascend."""
+def pack_shard(doc_ids: list[int | None], ends: np.ndarray, data: bytes, width: int) -> bytes:
+    """A shard's bytes; data are the documents' ids, ends where each document's end. Null doc_ids come first, the others ascend."""
     nulls = sum(x is None for x in doc_ids)
     own = np.array(doc_ids[nulls:], dtype=np.int64)
     least, span = (int(own[0]), int(own[-1]) - int(own[0])) if len(own) else (0, 0)
-    ends = np.cumsum([len(p) // width for p in parts], dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    a, b = EliasFano.of(ends, total), EliasFano.of((own - least), span)
-    head = np.array([len(doc_ids), nulls, total, least, span, a.low_bits, b.low_bits, width, STEP], dtype="<i8").tobytes()
-    return b"".join([MAGIC, head, a.tobytes(), b.tobytes(), *parts])
+    a, b = EliasFano.of(ends, total), EliasFano.of((own.astype(np.uint64) - np.uint64(least % 2**64)), span)
+    head = np.array([len(doc_ids), nulls, total, least % 2**64, span, a.low_bits, b.low_bits, width, STEP], dtype="<u8").tobytes()
+    return b"".join([MAGIC, head, a.tobytes(), b.tobytes(), data])
 
 
 class Shard:
@@ -106,7 +105,7 @@ class Shard:
         view = memoryview(data)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a token shard")
-        n, self.nulls, self.tokens, self.least, span, low_a, low_b, self.width, step = np.frombuffer(view[8:80], "<i8").tolist()
+        n, self.nulls, self.tokens, self.least, span, low_a, low_b, self.width, step = np.frombuffer(view[8:80], "<u8").tolist()
         if step != STEP:
             raise ValueError("another select step")
         self.ends, used = EliasFano.read(view[80:], n, self.tokens, low_a)
@@ -116,10 +115,10 @@ class Shard:
             raise ValueError("the ids are cut short")
 
     def doc_id(self, i: int) -> int | None:
-        return None if i < self.nulls else self._ids.select(i - self.nulls) + self.least
+        return None if i < self.nulls else (self._ids.select(i - self.nulls) + self.least + 2**63) % 2**64 - 2**63
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self._ids.values() + self.least).tolist()
+        return [None] * self.nulls + (self._ids.values().astype(np.uint64) + np.uint64(self.least)).view(np.int64).tolist()
 
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -155,36 +154,38 @@ def get(uri: str, name: str) -> bytes:
 
 def _write(batches: Iterator[pa.RecordBatch], uri: str, vocab: str, lead: bool, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(vocab, lead)
-    width = enc.dtype.itemsize
-    end, part = np.array([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId()
-    names, ids, parts, tokens, before = [], [], [], 0, 0
+    width, part = enc.dtype.itemsize, TaskContext.get().partitionId()
+    names, doc_ids, parts, ends, tokens, before = [], [], [], [], 0, 0
 
     def flush():
-        nonlocal ids, parts, tokens, before
+        nonlocal doc_ids, parts, ends, tokens, before
         name = f"part-{part:07d}-{len(names):05d}.eft"
-        put(uri, name, pack_shard(ids, parts, width))
+        put(uri, name, pack_shard(doc_ids, np.concatenate(ends), b"".join(parts), width))
         names.append(name)
         row = [[part], [name], [before], [tokens]]
         before += tokens
-        ids, parts, tokens = [], [], 0
+        doc_ids, parts, ends, tokens = [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "name", "part_start", "tokens"])
 
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
-            ids.append(doc_id)
-            parts.append(data + end)
-            tokens += len(data) // width + 1
+    for batch, ids, offsets in encoded(batches, enc, 1, end_id):
+        own, at = batch.column(0).to_pylist(), 0
+        while at < len(own):
+            to = min(int(np.searchsorted(offsets, offsets[at] + block_tokens - tokens)), len(own))
+            doc_ids += own[at:to]
+            parts.append(ids[offsets[at] : offsets[to]].astype(enc.dtype).tobytes())
+            ends.append(offsets[at + 1 : to + 1] - offsets[at] + tokens)
+            tokens += int(offsets[to] - offsets[at])
+            at = to
             if tokens >= block_tokens:
                 yield flush()
-    if ids:
+    if doc_ids:
         yield flush()
 
 
 def write_tokens(docs: DataFrame, vocab: str, lead: bool = True, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block_tokens: int = BLOCK_TOKENS, partitions: int | None = None) -> DataFrame:
     """Encodes every text, adds end_id, writes shard files in ascending order of id_col; -> (part, name, part_start, tokens, uri).
 
-    Null texts are empty (only the end id), null ids come first; rows with the same id follow each other by text.
+    Null texts are empty (only the end id), null ids come first; rows with the same id follow each other by their text's hash, then by text.
     Files go to the shared folder, one or more a partition of the id range, each written whole and then renamed, so a
     task that runs again leaves the same files. The listing is a written table of one row a file.
     """
@@ -193,7 +194,7 @@ def write_tokens(docs: DataFrame, vocab: str, lead: bool = True, id_col: str = "
     uri = shared_dir(spark, "tokens")
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ranged = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     listing = ranged.mapInArrow(lambda b: _write(b, uri, vocab, lead, end_id, block_tokens), "part bigint, name string, part_start bigint, tokens bigint")
     return written(listing, "token-listing").withColumn("uri", F.lit(uri))
 
@@ -202,15 +203,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, uri, start in zip(*(batch.column(c).to_pylist() for c in ("name", "uri", "start")), strict=True):
             shard = Shard(get(uri, name))
-            ends = shard.ends.values()
-            ids, starts = shard.doc_ids(), np.r_[0, ends[:-1]]
+            doc_ids, ends = shard.doc_ids(), shard.ends.values()
             for at in range(0, shard.n, 1024):
                 to = min(at + 1024, shard.n)
-                cut = [shard.data[a * shard.width : b * shard.width] for a, b in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:to], pa.int64()), pa.array(starts[at:to] + start, pa.int64()), pa.array((ends - starts)[at:to], pa.int64()), pa.array([np.frombuffer(c, f"<u{shard.width}").astype("<u4").tobytes() for c in cut], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                base, last = shard.bounds(at)[0], shard.bounds(to - 1)[1]
+                data = np.frombuffer(shard.data[base * shard.width : last * shard.width], f"<u{shard.width}").astype("<u4")
+                own = ends[at:to]
+                starts = np.append(base, own[:-1])
+                edges = pa.py_buffer(np.append(0, 4 * (own - base)))
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, edges, pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:to], pa.int64()), pa.array(starts + start), pa.array(own - starts), ids], ["doc_id", "start", "n_tokens", "ids"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

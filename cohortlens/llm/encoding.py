@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, fast on text whose words recur.
 
-A text is cut before white space that follows something else. Both kinds of vocabulary keep apart what stands on the two
-sides of such a place, so a text's ids are its segments' ids one after the other. Cutting, counting distinct segments
-and putting ids together are array operations over many texts; only the distinct segments of a batch are looked up, and
+A text is cut before white space that follows something else, and between letters and signs. Both kinds of vocabulary
+keep apart what stands on the two sides of such a place, so a text's ids are its segments' ids one after the other.
+Cutting, counting distinct segments and putting ids together are array operations over many texts; only the distinct segments of a batch are looked up, and
 only new ones reach the tokenizer. The store of a worker is bounded by `max_segments` and starts anew when full, which
 costs time and never changes a result.
 """
@@ -17,15 +17,20 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 
-MAX_SEGMENTS = 1_000_000
+MAX_SEGMENTS = 1_500_000
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 4 << 20
 _LONG = 4096
-#: Letters that both vocabularies' patterns count as letters, and signs that both keep apart from letters before them.
-_WORD = re.compile(r"[ \n]?([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()/+-]*)\Z")
-#: Bytes at which a text may be cut, and bytes that may be white space in some definition and so don't stand before a cut.
-_CUT = np.isin(np.arange(256), [0x20, 0x0A])
-_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+
+
+def _bytes(*values: int) -> np.ndarray:
+    return np.isin(np.arange(256), values)
+
+
+_SPACE, _LETTER, _SIGN = _bytes(0x20, 0x0A), _bytes(*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), _bytes(*b".,;:!?#$%&*()/+-")
+#: Bytes that are white space in some definition, before which nothing is cut.
+_BLANK = _bytes(0x20, *range(0x09, 0x0E), *range(0x1C, 0x20))
 
 
 def _after_wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -36,6 +41,19 @@ def _after_wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return two | ((three >= 0xE28080) & (three <= 0xE2808A)) | np.isin(three, [0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 
 
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a segment starts at a byte: at a text's start, at white space after another character, at signs after a
+    letter, and at a letter after a line feed that stands alone."""
+    cut = np.zeros(len(data) + 1, bool)
+    np.logical_and(_SPACE[data[1:]], ~_BLANK[data[:-1]], out=cut[1:-1])
+    wide = np.flatnonzero(cut[1:-1] & (data[:-1] >= 0x80)) + 1
+    cut[wide[_after_wide_blank(data, wide)]] = False
+    cut[bounds] = True
+    alone = cut[:-2] & (data[:-1] == 0x0A) & _LETTER[data[1:]]
+    cut[1:-1] |= (_SIGN[data[1:]] & _LETTER[data[:-1]]) | alone
+    return cut
+
+
 def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an array of strings; a null is empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -66,41 +84,43 @@ class SegmentEncoder:
         self.lower = "Lowercase" in (repr(self.tokenizer.normalizer) if self.tokenizer.normalizer else "")
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.edge = np.zeros(size, bool)
+        self.end = np.zeros(size, bool)
         for token, n in self.tokenizer.get_vocab().items():
-            self.edge[n] = token.startswith("Ġ") if lead else token.endswith("</w>")
+            self.end[n] = token == "Ċ" if lead else token.endswith("</w>")
         self.store: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add_words(self, words: list[str]) -> None:
-        """Learns words of letters, encoded as one text whose ids show where a word starts (lead) or ends."""
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            edges = np.flatnonzero(self.edge[ids]) + (0 if self.lead else 1)
-            if len(edges) == len(some):
-                cuts = [*edges.tolist(), len(ids)] if self.lead else [0, *edges.tolist()]
-                self.words.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words of letters, encoded as texts of many words, whose ids show where each word ends."""
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([("\n" if self.lead else " ").join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.end[ids]).tolist()
+            if self.lead:
+                firsts, ends = [0, *(e + 1 for e in ends)], [*ends, len(ids)]
             else:
-                self.words.update(zip(some, self._each([" " + w for w in some]), strict=True))
+                ends = [e + 1 for e in ends]
+                firsts = [0, *ends[:-1]]
+            if len(ends) == len(some):
+                yield from ((w, ids[a:b].tobytes()) for w, a, b in zip(some, firsts, ends, strict=True))
+            else:
+                yield from zip(some, self._each(some), strict=True)
 
     def _learn(self, segments: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new segments. A word and the signs after it are encoded apart, and a word once whatever stands around it."""
-        parts, others = {}, []
+        """Ids of new segments; where case and white space mean nothing, words are encoded once whatever theirs is."""
+        plain, others = [], []
         for s in segments:
             t = s.decode()
-            m = _WORD.match(t)
-            if m and len(s) <= _LONG and not (self.lead and t[0] != " "):
-                parts[s] = (m[1].lower() if self.lower else m[1], m[2])
-            else:
-                others.append((s, t))
-        self._add_words(list({w for w, _ in parts.values()} - self.words.keys()))
-        runs = list({"\0" + r for _, r in parts.values() if r} - self.words.keys())
-        self.words.update(zip(runs, self._each([r[1:] for r in runs]), strict=True))
-        out = {s: self.words[w] + (self.words["\0" + r] if r else b"") for s, (w, r) in parts.items()}
+            (plain if _WORD.match(t) else others).append((s, t))
+        if self.lead:
+            out = dict(zip([s for s, _ in plain], (ids for _, ids in self._words([t for _, t in plain])), strict=True))
+        else:
+            keys = [(t.lower() if self.lower else t).lstrip(" ") for _, t in plain]
+            self.words.update(self._words(list(set(keys) - self.words.keys())))
+            out = {s: self.words[k] for (s, _), k in zip(plain, keys, strict=True)}
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
             out.update(zip([s for s, _ in some], self._each([t for _, t in some]), strict=True))
@@ -115,11 +135,7 @@ class SegmentEncoder:
         data, bounds = _utf8(texts)
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
-        cut = np.zeros(len(data) + 1, bool)
-        np.logical_and(_CUT[data[1:]], ~_BLANK[data[:-1]], out=cut[1:-1])
-        wide = np.flatnonzero(cut[1:-1] & (data[:-1] >= 0x80)) + 1
-        cut[wide[_after_wide_blank(data, wide)]] = False
-        cut[bounds] = True
+        cut = _cuts(data, bounds)
         edges = np.flatnonzero(cut)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         distinct, which = _values(coded.dictionary), coded.indices.to_numpy()

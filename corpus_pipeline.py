@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.base import table, written
 from cohortlens.llm.encoding import vocabulary
 from cohortlens.llm.language import held_out, identify, train
-from cohortlens.llm.lines import copied_stubs, dedup_lines
+from cohortlens.llm.lines import dedup_lines
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.packing import pack
 from cohortlens.llm.simhash import near_dedup
@@ -29,14 +29,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document has, n_chars anew; documents that consist of such lines only go.
-
-    Lines under lines.MIN_CHARS stay in the text, but a document of which only copied ones of these are left goes too.
-    """
-    out = dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    out = written(out, "lines-deduped")
-    out = out.join(written(copied_stubs(docs, out), "line-stubs"), (F.col("n_dropped") > 0) & (F.xxhash64("doc_id", "text") == F.col("dk")), "left_anti")
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without the lines that an earlier document or place has, n_chars anew; documents that consist of such lines only go."""
+    out = dedup_lines(docs, counts=("__n_lines", "__n_dropped"))
+    out = out.where((F.col("__n_dropped") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Mixing sources to target weights by subset sums.
 
 Every source gets a word budget from its weight, capped at `most` times its size. Whole rounds of the source fill what
-they can; for the remaining budget, documents are counted by exact length, each length gives its proportional part, and
-a bounded-knapsack dynamic programme over the lengths that are left fills the rest to the word where that can be done.
-Which documents of a length are taken follows from a seeded hash, so reruns agree.
+they can; for the remaining budget, documents are counted by exact length, each length gives its proportional part,
+lengths with the largest fractions give one more, and a bounded-knapsack dynamic programme over the lengths that are left
+fills the rest, less than two of the longest documents, to the word where that can be done. Which documents of a length are
+taken follows from a seeded hash, so reruns agree.
 
 Counts by (source, length) are summed before they are shuffled, and a source's programme reads one row a distinct
-length. Ranks within one (source, length) are found in two steps: hash cells are counted first, and only the cell where
-the count ends is ranked, so a length that holds a third of all documents does not meet in one task.
+length; targets come from one row a source, so sources may be many but fit a task. The least hashes of a length are
+found in two steps: cells of hashes are counted first, and only the cell where the count ends is ranked, one row a
+distinct hash, so neither a length nor a repeated row that holds a third of all documents meets in one task.
 """
 
 from __future__ import annotations
@@ -20,9 +22,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm.base import table, written
 
 WORD_SIZE = r"[^\x20\x09-\x0D]+"
-#: Words that the dynamic programme fills; what lies above goes to the longest documents first.
-PROGRAMME_WORDS = 1 << 16
-CELL_ROWS = 4096
+#: Rows that a cell of hashes holds about.
+CELL_ROWS = 1024
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -58,25 +59,23 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, programme: int = PROGRAMME_WORDS) -> np.ndarray:
-    """Documents to take of each length for a budget below the sum of all: proportional parts, then the longest that
-    fit until the rest is small, then the programme for the rest."""
+def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Documents to take of each length for a budget below the sum of all: proportional parts, one more of the lengths
+    with the largest fractions, then the programme for the rest, which is kept at one to two of the longest length
+    where there is so much, so that many lengths can meet it."""
     total = sum(int(a) * int(b) for a, b in zip(lengths, counts, strict=True))
-    take = np.array([int(c) * budget // total if total else 0 for c in counts], dtype=np.int64)
-    rest = budget - sum(int(a) * int(b) for a, b in zip(lengths, take, strict=True))
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        length = int(lengths[i])
-        if rest <= programme or not length:
-            break
-        n = min(int(counts[i] - take[i]), (rest - programme) // length + 1, rest // length)
-        take[i] += n
-        rest -= n * length
-    own = [int(i) for i in order if 0 < lengths[i] <= rest and counts[i] > take[i]]
-    # Middle lengths first: they reach many sums with few chunks.
-    more = knapsack([int(lengths[i]) for i in own], [int(counts[i] - take[i]) for i in own], rest)
-    for i, n in zip(own, more, strict=True):
-        take[i] += n
+    if not total:
+        return np.zeros(len(lengths), np.int64)
+    take = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    fraction = np.array([int(c) * budget % total / total for c in counts])
+    rest, longest = budget - sum(int(a) * int(b) for a, b in zip(lengths, take, strict=True)), int(lengths.max())
+    scattered = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # ties favour no range of lengths
+    for i in np.lexsort((scattered, -fraction)).tolist():
+        if fraction[i] and 0 < lengths[i] <= rest - longest:
+            take[i] += 1
+            rest -= int(lengths[i])
+    own = [i for i in np.argsort(-lengths, kind="stable").tolist() if 0 < lengths[i] <= rest and counts[i] > take[i]]
+    take[own] += np.array(knapsack([int(lengths[i]) for i in own], [int(counts[i] - take[i]) for i in own], rest), dtype=np.int64)
     return take
 
 
@@ -99,49 +98,75 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return w.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("cap")).otherwise(F.col("final") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, programme: int = PROGRAMME_WORDS, keep: list[str] | None = None, store: bool = True) -> DataFrame:
+NAMES = ("mix_source", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, keep: list[str] | None = None, prefix: str = "", store: bool = True) -> DataFrame:
     """(keep..., mix_source, size, source_size, target, copies): how often the mix takes each row of docs, 0 to `most` times.
 
     Null texts have size 0 and are taken in whole rounds only; a null source is a source of its own. A source without
-    words has target 0. Of a length that is taken in part, the rows with the least seeded hashes of (id, text) are taken,
-    so rows repeated with the same id and text are taken alike, and such a group at the border can pass the budget.
-    store: whether sizes are written once; without it texts are counted twice and kept columns are not stored.
+    words has target 0. Of a length that is taken in part, the rows with the least seeded hashes of (id, text) are taken;
+    of rows repeated with the same id and text at the border as many as are due, by their place in the table, so reruns
+    take the same number of them. prefix stands before the five new names, which keep may not have (ValueError), nor
+    names that start with "__". store: whether sizes and kept columns are written once; without it texts are counted
+    twice and kept columns are not stored.
     """
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*keep, F.col(source_col).alias("mix_source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
+    clash = [c for c in keep if c.startswith("__") or c in {prefix + n for n in NAMES}]
+    if clash:
+        raise ValueError(f"kept columns have names of the result: {clash}")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).alias("__source"), word_count(text_col).alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
     if store:
         rows = written(rows, "mix-sizes")
-    slim = rows.select("mix_source", "size", "__h")
-    lengths = written(slim.groupBy("mix_source", "size").agg(F.count("*").alias("c")), "mix-lengths")
-    sources = lengths.groupBy(F.col("mix_source").alias("source")).agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
+    slim = rows.select(F.col("__source").alias("s"), F.col("__size").alias("n"), F.col("__h").alias("h"))
+    lengths = written(slim.groupBy("s", "n").agg(F.count("*").alias("c")), "mix-lengths")
+    sources = lengths.groupBy(F.col("s").alias("source")).agg(F.sum(F.col("n") * F.col("c")).alias("source_size"))
     aims = written(targets(sources, weights, most), "mix-targets")
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n")
         size, target = int(g["source_size"].iloc[0]), float(g["target"].iloc[0])
         rounds, rest = divmod(min(round(target), most * size), size) if size else (0, 0)
-        extra = fill(g["n"].to_numpy(), g["c"].to_numpy(), rest, programme) if rest else np.zeros(len(g), np.int64)
+        extra = fill(g["n"].to_numpy(), g["c"].to_numpy(), rest) if rest else np.zeros(len(g), np.int64)
         return pd.DataFrame({"s": g["s"], "n": g["n"], "c": g["c"], "source_size": size, "target": target, "rounds": rounds, "extra": extra})
 
-    kind = lengths.schema["mix_source"].dataType.simpleString()
-    plan = lengths.join(aims, lengths["mix_source"].eqNullSafe(aims["source"])).select(F.col("mix_source").alias("s"), F.col("size").alias("n"), "c", "source_size", "target")
+    kind = lengths.schema["s"].dataType.simpleString()
+    plan = lengths.join(aims, lengths["s"].eqNullSafe(aims["source"])).select("s", "n", "c", "source_size", "target")
     plan = written(plan.groupBy("s").applyInPandas(choose, f"s {kind}, n bigint, c bigint, source_size bigint, target double, rounds bigint, extra bigint"), "mix-plan")
     # The hash up to which a part of a length is taken: cells of hashes are counted, then the cell is ranked in which the count ends.
-    part = plan.where("extra > 0 and extra < c").select("s", "n", "c", "extra")
-    cell = F.floor((F.col("__h").cast("double") / float(2**64) + 0.5) * F.ceil(F.col("c") / CELL_ROWS))
-    inside = slim.join(part, slim["mix_source"].eqNullSafe(part["s"]) & (slim["size"] == part["n"])).select("s", "n", "extra", cell.alias("cell"), "__h")
-    inside = written(inside, "mix-cells")
-    counted = inside.groupBy("s", "n", "cell").agg(F.count("*").alias("k"))
+    part = plan.where("extra > 0 and extra < c").select(F.col("s").alias("ps"), F.col("n").alias("pn"), "c", "extra")
+    cell = F.floor((F.col("h").cast("double") / float(2**64) + 0.5) * F.ceil(F.col("c") / CELL_ROWS))
+    inside = slim.join(part, slim["s"].eqNullSafe(part["ps"]) & (slim["n"] == part["pn"])).select("s", "n", "extra", cell.alias("cell"), "h")
+    inside = written(inside.groupBy("s", "n", "extra", "cell", "h").agg(F.count("*").alias("k")), "mix-cells")
+    counted = inside.groupBy("s", "n", "cell").agg(F.sum("k").alias("k"))
     before = F.sum("k").over(Window.partitionBy("s", "n").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("k")
-    cells = written(counted.withColumn("before", before).select(F.col("s").alias("cs"), F.col("n").alias("cn"), F.col("cell").alias("cc"), "k", "before"), "mix-counted")
-    last = inside.join(cells, inside["s"].eqNullSafe(cells["cs"]) & (inside["n"] == cells["cn"]) & (inside["cell"] == cells["cc"])).where("before < extra and extra <= before + k")
-    rank = F.row_number().over(Window.partitionBy("s", "n").orderBy("__h")) + F.col("before")
-    border = last.withColumn("rank", rank).where("rank = extra").select(F.col("s").alias("bs"), F.col("n").alias("bn"), F.col("__h").alias("upto"))
+    cells = written(counted.withColumn("before", before).select(F.col("s").alias("cs"), F.col("n").alias("cn"), F.col("cell").alias("cc"), F.col("k").alias("ck"), "before"), "mix-counted")
+    last = inside.join(cells, inside["s"].eqNullSafe(cells["cs"]) & (inside["n"] == cells["cn"]) & (inside["cell"] == cells["cc"])).where("before < extra and extra <= before + ck")
+    reached = F.sum("k").over(Window.partitionBy("s", "n").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
+    border = last.withColumn("reached", reached).where("reached - k < extra and extra <= reached").select(F.col("s").alias("bs"), F.col("n").alias("bn"), F.col("h").alias("upto"), "k", (F.col("extra") - F.col("reached") + F.col("k")).alias("due"))
     upto = F.when(F.col("extra") == 0, F.lit(None)).when(F.col("extra") == F.col("c"), F.lit((1 << 63) - 1)).otherwise(F.col("upto"))
-    plan = plan.join(border, plan["s"].eqNullSafe(border["bs"]) & (plan["n"] == border["bn"]), "left").select("s", "n", "source_size", "target", "rounds", upto.alias("upto"))
-    plan = written(plan, "mix-borders")
-    copies = F.col("rounds") + F.coalesce(F.col("__h") <= F.col("upto"), F.lit(False)).cast("bigint")
-    return rows.join(plan, rows["mix_source"].eqNullSafe(plan["s"]) & (rows["size"] == plan["n"])).select(*keep, "mix_source", "size", "source_size", "target", copies.alias("copies"))
+    plan = plan.join(border, plan["s"].eqNullSafe(border["bs"]) & (plan["n"] == border["bn"]), "left")
+    plan = written(plan.select("s", "n", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "rounds", upto.alias("upto"), F.when(F.col("due") < F.col("k"), F.col("due")).alias("due")), "mix-borders")
+    planned = rows.join(plan, rows["__source"].eqNullSafe(plan["s"]) & (rows["__size"] == plan["n"])).drop("s", "n")
+    whole = F.col("rounds") + F.coalesce(F.col("__h") <= F.col("upto"), F.lit(False)).cast("bigint")
+    result = [*[F.col(f"`{c}`") for c in keep], *[F.col(f"__{c.removeprefix('mix_')}").alias(prefix + c) for c in NAMES[:-1]]]
+    if plan.where("due is not null").isEmpty():
+        return planned.select(*result, whole.alias(prefix + "copies"))
+    tied = F.coalesce((F.col("__h") == F.col("upto")) & F.col("due").isNotNull(), F.lit(False))
+    even = planned.where(~tied).select(*result, whole.alias(prefix + "copies"))
+    return even.unionByName(_dealt(planned.where(tied)).select(*result, (F.col("rounds") + F.col("__taken").cast("bigint")).alias(prefix + "copies")))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Equal rows at a border (__source, __size, due) -> with __taken for `due` of each kind, numbered by the task that reads them."""
+    placed = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    key = ["__source", "__size", "__part"]
+    placed = placed.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy("__at")))
+    counts = placed.groupBy(*key).agg(F.count("*").alias("__k"))
+    bases = counts.withColumn("__base", F.sum("__k").over(Window.partitionBy("__source", "__size").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__k"))
+    bases = bases.select(F.col("__source").alias("__bs"), F.col("__size").alias("__bn"), F.col("__part").alias("__bp"), "__base")
+    numbered = placed.join(bases, placed["__source"].eqNullSafe(bases["__bs"]) & (placed["__size"] == bases["__bn"]) & (placed["__part"] == bases["__bp"]))
+    return numbered.withColumn("__taken", F.col("__nth") + F.col("__base") <= F.col("due"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

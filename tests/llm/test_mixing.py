@@ -26,11 +26,24 @@ def test_fill_meets_the_budget(seed):
     counts = np.array([rng.randrange(1, 50) for _ in lengths])
     total = int((lengths * counts).sum())
     budget = rng.randrange(total)
-    take = M.fill(lengths, counts, budget, programme=5000)
+    take = M.fill(lengths, counts, budget)
     assert (take >= 0).all() and (take <= counts).all()
     assert int((lengths * take).sum()) == budget
 
 
+def test_fill_spreads_over_lengths():
+    lengths, counts = np.arange(1, 4001), np.ones(4000, np.int64)
+    take = M.fill(lengths, counts, int(lengths.sum()) // 2)
+    shares = [take[i : i + 1000].mean() for i in range(0, 4000, 1000)]
+    assert int((lengths * take).sum()) == int(lengths.sum()) // 2 and max(shares) - min(shares) < 0.6
+
+
+def test_fill_of_long_documents():
+    lengths, counts = np.array([3, 100_000, 300_001]), np.array([2, 1, 3])
+    take = M.fill(lengths, counts, 500_000)
+    assert (lengths * take).sum() == 400_007
+
+
 def brute_targets(sizes, most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: 1 + i % 3 for i, s in enumerate(names)}
@@ -75,3 +88,41 @@ def test_mix(spark):
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
     assert by_id[5000].size == by_id[5001].size == 0
     assert M.mix(docs.drop("target").limit(0)).count() == 0
+
+
+def test_repeated_rows_meet_the_target(spark):
+    same = " ".join(["w"] * 10)
+    rows = [(7, same, "a", i) for i in range(1000)] + [(i, same, "b", 0) for i in range(100, 600)] + [(i, same, "c", 0) for i in range(600, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int").repartition(5)
+    with pytest.raises(ValueError):
+        M.mix(docs, keep=["doc_id", "copies"])
+    for store in (True, False):
+        got = M.mix(docs, keep=["doc_id", "copies"], prefix="x_", store=store).collect()
+        assert len(got) == len(rows)
+        for s in "abc":
+            own = [r for r in got if r.x_mix_source == s]
+            assert abs(sum(r.x_copies * r.x_size for r in own) - own[0].x_target) <= 10
+            assert all(0 <= r.x_copies <= 3 for r in own)
+
+
+def test_which_documents_are_taken(spark):
+    """Of each length, the whole rounds and then the documents of the least hashes, as many as fill() says."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 4, 9, 30])), rng.choice("aab")) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(42, doc_id, text) as h").collect()}
+    got = {r.doc_id: r for r in M.mix(docs).collect()}
+    for s in "ab":
+        own = [r for r in got.values() if r.mix_source == s]
+        size, target = own[0].source_size, own[0].target
+        rounds, rest = divmod(min(round(target), 3 * size), size)
+        lengths = sorted({r.size for r in own})
+        take = dict(zip(lengths, M.fill(np.array(lengths), np.array([sum(r.size == n for r in own) for n in lengths]), rest), strict=True))
+        for n in lengths:
+            chosen = {r.doc_id for r in sorted((r for r in own if r.size == n), key=lambda r: hashes[r.doc_id])[: take[n]]}
+            assert all(r.copies == rounds + (r.doc_id in chosen) for r in own if r.size == n)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, "b c", "b")], "doc_id bigint, text string, source string")
+    assert {r.doc_id: r.size for r in M.mix(docs).collect()} == {1: 400_000, 2: 2}

@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, 0 to 3 times."""
-    taken = mix(docs, keep=docs.columns, store=False)
-    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = mix(docs, keep=docs.columns, prefix="mix ", store=False).where("`mix copies` > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix copies").cast("int"))).alias("mix nth")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """WARC archives: writing with revisit records, and a salvage reader.
 
-Archives hold one gzip member a record. The reader takes compressed and plain archives, checks framing, lengths and
-digests, and after a failed check searches for the next valid member or version line; later records are recovered and the
-bytes between are logged as a quarantined gap with its reason. Memory is bounded by one record, not by the archive.
+Archives hold one gzip member a record. The reader takes compressed and plain archives, with one record or many a member,
+and checks framing, lengths and digests. After a failed check it searches for the next valid member or version line, in a
+member in its inflated bytes; later records are recovered and the bytes between are logged as a quarantined gap with its
+reason. A record that a search finds where the damaged one's stated length still runs, or away from a line's start, may
+be part of a payload and is marked suspect. Members are inflated as they are read, so memory is bounded by one record,
+and by MAX_RECORD whatever a header says.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,6 +28,9 @@ GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK, PROBE = 1 << 16, 1 << 10
 ARCHIVE_BYTES = 256 << 20
+#: A record that states more is quarantined; headers are sought in so many bytes.
+MAX_RECORD, MAX_HEAD = 1 << 30, 1 << 20
+_LENGTH = re.compile(r"[0-9]{1,18}")
 
 
 def digest(data: bytes) -> str:
@@ -54,17 +61,119 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 @dataclass
 class Item:
-    """A record, or a gap of quarantined bytes with the check that failed."""
+    """A record, or a gap of quarantined bytes with the check that failed.
+
+    [start, end) are bytes of the file, [first, last) bytes within an inflated member. Of many items of one member only
+    the last has an end beyond the member's start, so items follow each other without overlap.
+    """
 
     start: int
     end: int
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
     reason: str = ""
+    first: int = 0
+    last: int = 0
+    suspect: bool = False
 
 
 class Damaged(Exception):
-    pass
+    """A failed check; extent is how many bytes the record states, 0 if that can't be told."""
+
+    def __init__(self, reason: str, extent: int = 0):
+        super().__init__(reason)
+        self.extent = extent
+
+
+class Window:
+    """A forward view of bytes: need(n) holds at least n bytes if there are so many, drop(n) moves on."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data, self.at, self.pos, self.error = chunks, bytearray(), 0, 0, ""
+
+    def need(self, n: int) -> bool:
+        while len(self.data) - self.at < n:
+            try:
+                chunk = next(self.chunks, None)
+            except Damaged as e:
+                chunk, self.error = None, str(e)
+            if chunk is None:
+                return False
+            if self.at > CHUNK and self.at > len(self.data) // 2:
+                del self.data[: self.at]
+                self.at = 0
+            self.data += chunk
+        return True
+
+    def drop(self, n: int) -> None:
+        self.at, self.pos = self.at + n, self.pos + n
+
+    def find(self, mark: bytes, start: int, limit: int) -> int:
+        """The place of mark from start, below limit, or -1; reads on as far as needed."""
+        while True:
+            found = self.data.find(mark, self.at + start, self.at + limit)
+            if found >= 0:
+                return found - self.at
+            have = len(self.data) - self.at
+            if have >= limit or not self.need(have + 1):
+                return -1
+            start = max(start, have - len(mark) + 1)
+
+    def take(self, start: int, n: int) -> bytes:
+        return bytes(self.data[self.at + start : self.at + start + n])
+
+
+def _headers(head: bytes) -> tuple[dict[str, str], int]:
+    """Headers of a record and its block's length."""
+    headers: dict[str, str] = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, colon, value = line.partition(b":")
+        if not colon:
+            raise Damaged("a header without a colon")
+        headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    if not _LENGTH.fullmatch(headers.get("content-length", "")):
+        raise Damaged("no content length")
+    if not headers.get("warc-record-id") or not headers.get("warc-type"):
+        raise Damaged("no record id or type")
+    return headers, int(headers["content-length"])
+
+
+def _check_digests(headers: dict[str, str], block: bytes, extent: int) -> None:
+    if (named := headers.get("warc-block-digest", "")).startswith("sha1:") and named[5:] != digest(block):
+        raise Damaged("block digest differs", extent)
+    if headers.get("warc-type") == "response" and (named := headers.get("warc-payload-digest", "")).startswith("sha1:") and named[5:] != digest(payload(block)):
+        raise Damaged("payload digest differs", extent)
+
+
+def _record(w: Window, room: int | None = None) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and size of the record that the window starts with; room: bytes that there are at most."""
+    if not w.need(len(VERSION)) or w.take(0, len(VERSION)) != VERSION:
+        raise Damaged("no version line")
+    end = w.find(b"\r\n\r\n", 0, MAX_HEAD)
+    if end < 0:
+        raise Damaged(w.error or "headers without an end")
+    headers, n = _headers(w.take(0, end))
+    size = end + 4 + n + 4
+    if n > MAX_RECORD or (room is not None and size > room):
+        raise Damaged("states more bytes than there are or may be", min(size, room or size))
+    if not w.need(size) or w.take(size - 4, 4) != b"\r\n\r\n":
+        raise Damaged(w.error or "record cut short or of another length", size)
+    block = w.take(end + 4, n)
+    _check_digests(headers, block, size)
+    return headers, block, size
+
+
+def _as_far(z, data: bytes) -> bytes:
+    """What z inflates of data before an error, which it meets: by halves down to the byte."""
+    out, at, step = b"", 0, len(data)
+    while step and at < len(data):
+        trial = z.copy()
+        try:
+            out += trial.decompress(data[at : at + step])
+            z, at = trial, at + step
+        except zlib.error:
+            step //= 2
+    return out
 
 
 class Archive:
@@ -77,52 +186,30 @@ class Archive:
     def of(cls, data: bytes) -> Archive:
         return cls(lambda at, n: data[at : at + n], len(data))
 
-    def _parse(self, data: bytes) -> tuple[dict[str, str], int, int]:
-        """Headers of the record that data starts with, its block's start and length."""
-        head = data.find(b"\r\n\r\n")
-        if not data.startswith(VERSION) or head < 0:
-            raise Damaged("no version line" if not data.startswith(VERSION) else "headers without an end")
-        headers: dict[str, str] = {}
-        for line in data[:head].split(b"\r\n")[1:]:
-            name, colon, value = line.partition(b":")
-            if not colon:
-                raise Damaged("a header without a colon")
-            headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-        if not headers.get("content-length", "").isdigit():
-            raise Damaged("no content length")
-        if not headers.get("warc-record-id") or not headers.get("warc-type"):
-            raise Damaged("no record id or type")
-        return headers, head + 4, int(headers["content-length"])
-
-    def _checked(self, headers: dict[str, str], block: bytes) -> None:
-        if (named := headers.get("warc-block-digest", "")).startswith("sha1:") and named[5:] != digest(block):
-            raise Damaged("block digest differs")
-        if headers.get("warc-type") == "response" and (named := headers.get("warc-payload-digest", "")).startswith("sha1:") and named[5:] != digest(payload(block)):
-            raise Damaged("payload digest differs")
-
-    def _member(self, at: int) -> tuple[bytes, int]:
-        z, out, pos = zlib.decompressobj(31), [], at
+    def _plain_chunks(self, at: int) -> Iterator[bytes]:
+        while data := self.read_at(at, CHUNK):
+            yield data
+            at += len(data)
+
+    def _inflated(self, at: int, end: list[int]) -> Iterator[bytes]:
+        """Inflated chunks of the member at a place; end gets where it ends. What inflates before damage comes out too."""
+        z, pos = zlib.decompressobj(31), at
         while not z.eof:
-            data = self.read_at(pos, CHUNK)
+            data = z.unconsumed_tail
             if not data:
-                raise Damaged("member cut short")
+                data = self.read_at(pos, CHUNK)
+                pos += len(data)
+                if not data:
+                    raise Damaged("member cut short")
+            before = z.copy()
             try:
-                out.append(z.decompress(data))
+                out = z.decompress(data, 16 * CHUNK)
             except zlib.error as e:
+                yield _as_far(before, data)
                 raise Damaged("member does not inflate") from e
-            pos += len(data)
-        return b"".join(out), pos - len(z.unused_data)
-
-    def _plain(self, at: int) -> Item:
-        data = self.read_at(at, CHUNK)
-        while b"\r\n\r\n" not in data and at + len(data) < self.size and len(data) < 16 * CHUNK:
-            data += self.read_at(at + len(data), CHUNK)
-        headers, start, n = self._parse(data)
-        whole = self.read_at(at, start + n + 4)
-        if whole[start + n :] != b"\r\n\r\n":
-            raise Damaged("record cut short or of another length")
-        self._checked(headers, block := whole[start : start + n])
-        return Item(at, at + start + n + 4, headers, block)
+            if out:
+                yield out
+        end.append(pos - len(z.unused_data))
 
     def _next(self, at: int) -> int:
         """The next place from which a record can be read: a member that inflates to a version line, or such a line."""
@@ -130,7 +217,7 @@ class Archive:
             data = self.read_at(at, CHUNK + len(VERSION))
             here = 0
             while True:
-                spots = [x for x in (data.find(GZIP, here), data.find(VERSION, here)) if x >= 0]
+                spots = [x for x in (data.find(GZIP, here, CHUNK + 2), data.find(VERSION, here)) if x >= 0]
                 if not spots:
                     break
                 here = min(spots)
@@ -145,35 +232,64 @@ class Archive:
             at += CHUNK
         return self.size
 
+    def _member(self, at: int) -> Iterator[Item]:
+        """Items of the member at a place; the last has the end."""
+        end: list[int] = []
+        w = Window(self._inflated(at, end))
+        held, stated, found = None, 0, False
+        while w.need(1):
+            try:
+                headers, block, size = _record(w)
+                now = Item(at, at, headers, block, first=w.pos, last=w.pos + size, suspect=found and (w.pos < stated or not found_at_line))
+                found = False
+            except Damaged as e:
+                first, reason, stated = w.pos, str(e), max(stated, w.pos + e.extent)
+                w.drop(1)
+                before = w.take(-1, 1) if w.at else b""
+                while (step := w.find(VERSION, 0, 16 * CHUNK)) < 0 and w.need(16 * CHUNK):
+                    w.drop(16 * CHUNK - len(VERSION) + 1)
+                rest = step if step >= 0 else len(w.data) - w.at
+                w.drop(rest)
+                found, found_at_line = True, (bytes(w.data[w.at - 1 : w.at]) if w.at else before) == b"\n"
+                now = Item(at, at, reason=w.error or reason, first=first, last=w.pos)
+                size = 0
+            if held:
+                yield held
+            held = now
+            w.drop(size)
+        if w.error:
+            after = self._next(at + 1)
+            if held and held.reason:
+                held.end, held.reason = after, w.error
+            else:
+                if held:
+                    yield held
+                held = Item(at, after, reason=w.error, first=w.pos, last=w.pos)
+        elif held:
+            held.end = end[0]
+        else:
+            held = Item(at, end[0], reason="a member without a record")
+        yield held
+
     def items(self) -> Iterator[Item]:
-        at = 0
+        at, stated, found = 0, 0, False
         while at < self.size:
-            try:
-                start = self.read_at(at, 8)
-                if start.startswith(GZIP):
-                    data, end = self._member(at)
-                    inner = 0
-                    found = []
-                    while inner < len(data):
-                        headers, first, n = self._parse(data[inner:] if inner else data)
-                        block = data[inner + first : inner + first + n]
-                        if data[inner + first + n : inner + first + n + 4] != b"\r\n\r\n":
-                            raise Damaged("record cut short or of another length")
-                        self._checked(headers, block)
-                        found.append(Item(at, end, headers, block))
-                        inner += first + n + 4
-                    yield from found
-                    at = end
-                elif start.startswith(VERSION):
-                    item = self._plain(at)
+            start = self.read_at(at, 8)
+            if start.startswith(GZIP):
+                for item in self._member(at):
                     yield item
-                    at = item.end
-                else:
+                at, found = item.end, bool(item.reason)
+                continue
+            try:
+                if not start.startswith(VERSION):
                     raise Damaged("neither a member nor a version line")
+                headers, block, size = _record(Window(self._plain_chunks(at)), self.size - at)
+                yield Item(at, at + size, headers, block, suspect=found and (at < stated or self.read_at(at - 1, 1) != b"\n"))
+                at, found = at + size, False
             except Damaged as e:
                 after = self._next(at + 1)
                 yield Item(at, after, reason=str(e))
-                at = after
+                at, stated, found = after, max(stated, at + e.extent), True
 
 
 def payload(block: bytes) -> bytes:
@@ -183,7 +299,7 @@ def payload(block: bytes) -> bytes:
 def http_length(block: bytes) -> int | None:
     for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n"):
         name, _, value = line.partition(b":")
-        if name.lower() == b"content-length" and value.strip().isdigit():
+        if name.lower() == b"content-length" and re.fullmatch(rb"[0-9]{1,18}", value.strip()):
             return int(value)
     return None
 
@@ -232,18 +348,19 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     uri = shared_dir(spark, "warc")
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
-    largest = written(rows.where(F.octet_length("html") >= revisit_min_bytes).groupBy("digest").agg(F.max("id").alias("largest")), "warc-largest")
+    again = rows.where(F.octet_length("html") >= revisit_min_bytes).groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("n"))
+    largest = written(again.where("n > 1").select("digest", "largest"), "warc-largest")  # payloads seen once need no partner
     rows = rows.join(largest, "digest", "left").select("id", "url", "html", "largest")
     return written(rows.mapInArrow(lambda b: _write(b, uri, archive_bytes), "name string, uri string, bytes bigint, records bigint"), "warc-listing")
 
 
-READ = "archive string, start bigint, end bigint, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
+READ = "archive string, start bigint, end bigint, first bigint, last bigint, reason string, suspect boolean, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
-    schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in READ.split(", "))])
+    schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in READ.split(", "))])
 
     def out(rows):
         return pa.RecordBatch.from_pylist(rows, schema)
@@ -255,7 +372,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                 rows, held = [], 0
                 for item in Archive(lambda at, n, f=f: f.read_at(n, at) if at < f.size() else b"", f.size()).items():
                     h = item.headers
-                    row = {"archive": name, "start": item.start, "end": item.end, "reason": item.reason or None}
+                    row = {"archive": name, "start": item.start, "end": item.end, "first": item.first, "last": item.last, "reason": item.reason or None, "suspect": item.suspect}
                     if not item.reason:
                         body = payload(item.block) if h.get("warc-type") == "response" else None
                         row |= {"record_type": h.get("warc-type"), "record_id": h.get("warc-record-id", "").strip("<>"), "target_uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to", "").strip("<>") or None}
@@ -270,7 +387,8 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 
 def read_archives(listing: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Listing (name, uri) -> a row a record, and a row with a reason a quarantined gap of bytes [start, end).
+    """Listing (name, uri) -> a row a record, and a row with a reason a quarantined gap of bytes [start, end), or of
+    [first, last) of the inflated member there.
 
     Archives are dealt to tasks by name. Digests of responses are computed from what was read.
     """

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -48,6 +49,69 @@ def test_salvage(plain, seed):
     assert any(x.reason for x in items)
 
 
+def kept(data):
+    return [i.headers["warc-record-id"][10:-1] for i in W.Archive.of(data).items() if not i.reason]
+
+
+@pytest.mark.parametrize("wrap", [bytes, W.member])
+@pytest.mark.parametrize("length", [b"999999999999999", b"\xc2\xb2", b"-5", b"", b"9" * 30, b"1" * 18])
+def test_hostile_lengths(wrap, length):
+    parts = archive(5, plain=True)
+    bad = re.sub(rb"(Block-Digest: [^\r]*\r\nContent-Length:) \d+", lambda m: m[1] + b" " + length, parts[2])
+    assert bad != parts[2]
+    assert kept(wrap(b"".join([*parts[:2], bad, *parts[3:]]))) == ["0", "1", "3", "4"]
+
+
+def test_many_records_a_member():
+    parts = archive(40, plain=True)
+    data = W.member(b"".join(parts))
+    items = list(W.Archive.of(data).items())
+    assert kept(data) == [str(i) for i in range(40)] and items[-1].end == len(data)
+    assert [(i.first, i.last) for i in items] == [(sum(map(len, parts[:k])), sum(map(len, parts[: k + 1]))) for k in range(40)]
+    bad = bytearray(parts[7])
+    bad[-20] ^= 1
+    data = W.member(b"".join([*parts[:7], bytes(bad), *parts[8:20]])) + W.member(b"".join(parts[20:]))
+    assert kept(data) == [str(i) for i in range(40) if i != 7]
+    gap = [i for i in W.Archive.of(data).items() if i.reason]
+    assert [(g.first, g.last) for g in gap] == [(sum(map(len, parts[:7])), sum(map(len, parts[:8])))]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_truncated_and_broken_whole_file_members(seed):
+    rng = random.Random(seed)
+    parts = [W.page_record(i, "u", rng.randbytes(3000), None) for i in range(60)]
+    whole, more = W.member(b"".join(parts[:50])), W.member(b"".join(parts[50:]))
+    cut = whole[: int(len(whole) * 0.6)]
+    got = kept(cut)
+    assert got == [str(i) for i in range(len(got))] and 27 <= len(got) <= 30
+    assert kept(cut + more) == got + [str(i) for i in range(50, 60)]
+    items = list(W.Archive.of(cut + more).items())
+    assert [x.start for x in items][1:] == [x.end for x in items][:-1] and items[-1].end == len(cut + more)
+
+
+@pytest.mark.parametrize("wrap", [bytes, W.member])
+def test_a_record_within_a_damaged_payload_is_suspect(wrap):
+    inner = W.page_record(99, "u", b"inner", None)
+    outer = bytearray(W.page_record(1, "u", b"text\r\n" + inner + b"more text", None))
+    outer[-8] ^= 1
+    items = list(W.Archive.of(wrap(bytes(outer) + W.page_record(2, "u", b"x", None))).items())
+    found = {i.headers["warc-record-id"]: i.suspect for i in items if not i.reason}
+    assert found == {"<urn:page:99>": True, "<urn:page:2>": False}
+
+
+def test_reading_is_linear():
+    import time
+
+    def seconds(n):
+        data = W.member(b"".join(W.page_record(i, "u", b"x" * 2000, None) for i in range(n)), 1)
+        began = time.process_time()
+        assert len(kept(data)) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 12 * max(seconds(1000), 0.02)
+
+
 def test_digest_and_junk():
     assert W.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert ids(b"") == [] and ids(b"junk" * 100)[0][1:] == (0, 400)

@@ -16,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share; a temporary folder is set where none is named."""
+    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+
+    Where none is named, a session whose tasks run on this machine gets a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and base.startswith("/"):
@@ -38,3 +43,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the memory of Python workers: whole texts go to them in batches of few rows."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def free_names(keep: list[str], names: list[str]) -> None:
+    """Raises where a kept column has a name of the result, or one that starts with two underscores."""
+    clash = [c for c in keep if c in names or c.startswith("__")]
+    if clash:
+        raise ValueError(f"kept columns have names of the result: {clash}")

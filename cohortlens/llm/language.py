@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import small_batches, table
+from cohortlens.llm.base import free_names, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Expected labelled documents of each language that the n-gram counts are learned from.
@@ -133,7 +133,7 @@ class Identifier:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> NgramModel:
-    """n-gram counts of about per_lang documents of each language, chosen by a hash of id and text; rows without text or language are left out."""
+    """n-gram counts of about per_lang documents of each language, chosen by a hash of the id, so rows that repeat an id are taken together; rows without text or language are left out."""
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
     counts = {r.l: r.n for r in own.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -150,29 +150,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 _LOADED: dict[int, Identifier] = {}
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model, key: int) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, key: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Identifier(NgramModel(*model.value))
     for batch in batches:
         got = _LOADED[key].predict(batch.column(0).to_pylist())
         columns = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], *names])
 
 
-def identify(docs: DataFrame, model: NgramModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: NgramModel, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """(keep..., lang_pred, score): a language of the model, or `und` with score 0 if the text is null or has no letter.
 
-    score is the largest language's share of the document. Whole texts are read; other columns never are.
+    score is the largest language's share of the document. Whole texts are read; other columns never are. prefix stands
+    before the two new names, which keep may not have (ValueError).
     """
     spark = docs.sparkSession
     small_batches(spark)
     keep = ["doc_id"] if keep is None else keep
-    kept = docs.select(F.col(text_col).alias("__text"), *keep)
+    names = [prefix + "lang_pred", prefix + "score"]
+    free_names(keep, names)
+    kept = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep])
     shared = spark.sparkContext.broadcast((model.langs, model.index, model.logs))  # as large as the alphabet's trigrams that the bounded sample has
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     key = shared._jbroadcast.id()
-    return kept.mapInArrow(lambda b: _predict(b, shared, key), f"{ddl}, lang_pred string, score double")
+    return kept.mapInArrow(lambda b: _predict(b, shared, key, names), f"{ddl}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):

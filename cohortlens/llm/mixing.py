@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import table, written
+from cohortlens.llm.base import free_names, table, written
 
 WORD_SIZE = r"[^\x20\x09-\x0D]+"
 #: Rows that a cell of hashes holds about.
@@ -112,9 +112,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     twice and kept columns are not stored.
     """
     keep = [id_col] if keep is None else keep
-    clash = [c for c in keep if c.startswith("__") or c in {prefix + n for n in NAMES}]
-    if clash:
-        raise ValueError(f"kept columns have names of the result: {clash}")
+    free_names(keep, [prefix + n for n in NAMES])
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).alias("__source"), word_count(text_col).alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
     if store:
         rows = written(rows, "mix-sizes")

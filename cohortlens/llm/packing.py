@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import small_batches, table, written
+from cohortlens.llm.base import free_names, small_batches, table, written
 from cohortlens.llm.encoding import encoded, encoder, vocabulary
 
 
@@ -127,10 +127,11 @@ def pack(docs: DataFrame, vocab: str, lead: bool = False, text_col: str = "text"
 
     Each text is encoded and end_id added; what is longer than capacity is cut into pieces of capacity ids and a last,
     shorter one. Null texts are empty (only end_id); repeated rows are packed each. keep: columns of docs to carry
-    (doc_id), which may not bear the names above. ids are little-endian unsigned 32-bit.
+    (doc_id), which may not bear the names above or part, nth, base, rank (ValueError). ids are little-endian unsigned 32-bit.
     """
     small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
+    free_names(keep, ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "part", "nth", "base", "rank"])
     kept = docs.select(F.col(text_col).alias("__text"), *keep)
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]), "piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint"] + ["ids binary"] * keep_ids)
     pieces = written(kept.mapInArrow(lambda b: _pieces(b, vocab, lead, end_id, capacity, keep_ids, len(keep)), ddl), "pieces")

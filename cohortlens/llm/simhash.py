@@ -229,8 +229,17 @@ def near_links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
             finer.append(F.when(F.expr(f"key div {base}L") == t, F.xxhash64("key", F.lit(p), F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")))))
     again = first.where("key is not null").select("key", F.col("a").alias("fp"))
     again = again.select(F.explode(F.filter(F.array(*finer), lambda x: x.isNotNull())).alias("key"), "fp")
-    second = _run(again, radius, 1 << 62, "links")
-    return first.where("key is null").select("a", "b").unionByName(second.select("a", "b"))
+    second = _run(again, radius, hot, "links")
+    links = first.where("key is null").select("a", "b").unionByName(second.where("key is null").select("a", "b"))
+    left = second.where("key is not null").select("key", F.col("a").alias("fp"))
+    if left.isEmpty():
+        return links
+    # Buckets that are hot still: each is cut into parts of about hot / 2, and every two parts meet in a bucket of their own.
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(hot)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("parts")).cast("int")
+    met = left.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    third = _run(met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp"), radius, 1 << 62, "links")
+    return links.unionByName(third.select("a", "b"))
 
 
 def _components(prints: DataFrame, radius: int, hot: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import small_batches, table
+from cohortlens.llm.base import free_names, small_batches, table
 
 WORD = re.compile(r"[^\W_](?:[^\s]*[^\W_])?")
 #: Expected labelled documents of each class that training reads, on the driver.
@@ -181,13 +181,17 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_DOCS) -> Model:
-    """Fits on about per_class labelled documents of each class (or all there are), chosen by a hash of the id."""
+    """Fits on about per_class labelled documents of each class (or all there are), chosen by a hash of the id.
+
+    Of an id with several labels the greater counts, of one with several texts the least; rows without an id or a label
+    of 0 or 1 are left out. The driver gets about 2 * per_class whole texts, one an id, and no more.
+    """
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("y") == k, F.lit(min(1.0, per_class / n))) for k, n in counts.items()], F.lit(0.0))
     chosen = own.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
     # The chosen ids are a bounded sample (per_class), so they may be broadcast.
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").select("i", "t", "y").collect()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: (r.i, r.t or ""))
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     return fit([r.t or "" for r in rows], [r.y for r in rows], prior=min(0.5, max(0.01, n1 / (n0 + n1))) if n0 and n1 else None)
@@ -206,11 +210,12 @@ def _score(batches: Iterator[pa.RecordBatch], model, key: int) -> Iterator[pa.Re
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(keep..., score): 0 to 1, higher is likelier toxic. Null and empty texts have the score of no words; other columns are not read."""
+    """(keep..., score): 0 to 1, higher is likelier toxic. Null and empty texts have the score of no words; other columns are not read. keep may not have a column score (ValueError)."""
     spark = docs.sparkSession
     small_batches(spark)
     keep = ["doc_id"] if keep is None else keep
-    kept = docs.select(F.col(text_col).alias("__text"), *keep)
+    free_names(keep, ["score"])
+    kept = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep])
     shared = spark.sparkContext.broadcast((model.subwords, model.bias, model.buckets, model.window, model.shortest, model.longest, model.scale, model.blank))  # buckets x 2 numbers
     key = shared._jbroadcast.id()
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as CP
 from cohortlens.llm.encoding import SegmentEncoder, vocabulary
@@ -57,7 +57,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter(seen["line_dedup"]) == want
 
     kept = seen["line_dedup"]
-    parts = brute_components([brute_fingerprint(r[1]) for r in kept], 3)
+    parts = brute_components([brute_fingerprint(r[1], 5) for r in kept], 6)
     groups = {}
     for r, p in zip(kept, parts, strict=True):
         groups.setdefault(p, []).append(r)
@@ -101,4 +101,27 @@ def test_remains_of_copies_go(spark):
     rows = [(1, f"Heading\n{long}"), (2, f"Heading\n{long}"), (3, f"My own\n{long}"), (4, f"heading \n\n{long}\nHeading"), (5, "Heading")]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
     got = {r.doc_id: r.text for r in CP.lines(spark, docs, "").collect()}
-    assert got == {1: f"Heading\n{long}", 3: "My own", 5: "Heading"}
+    assert got == {1: f"Heading\n{long}", 3: "My own"}
+
+
+NAMES = ["lang_pred", "score", "target", "size", "n", "s", "c", "h", "k", "t", "copies", "mix_source", "source_size", "copy", "line", "line2", "pos", "dk", "id", "drop", "band", "fp", "key", "component", "none", "first_id", "n_lines", "n_dropped", "piece", "start", "length", "ids", "part", "nth", "base", "rank", "offset"]
+
+
+def test_further_columns_pass_whole(spark, tmp_path):
+    """A column of every name that stages use inside comes through with its row, and changes no result."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    docs.write.parquet(f"{tmp_path}/plain")
+    plain = spark.read.parquet(f"{tmp_path}/plain")
+    wide = plain.select("*", *[F.concat_ws("|", F.lit(n), "doc_id").alias(n) for n in NAMES])
+    for name, stage in CP.STAGES:
+        wide, plain = stage(spark, wide, ""), stage(spark, plain, "")
+        if name == "packing":
+            assert sorted(wide.columns) == sorted(plain.columns) and wide.count() == plain.count()
+            break
+        wide.write.parquet(f"{tmp_path}/{name}-wide")
+        plain.write.parquet(f"{tmp_path}/{name}-plain")
+        wide, plain = (spark.read.parquet(f"{tmp_path}/{name}-{x}") for x in ("wide", "plain"))
+        rows = wide.collect()
+        own = lambda r: tuple(r[c] for c in plain.columns)  # noqa: B023, E731
+        assert Counter(map(own, rows)) == Counter(map(tuple, plain.collect()))
+        assert all(r[n] == (n if r.doc_id is None else f"{n}|{r.doc_id}") for r in rows for n in NAMES)

@@ -8,7 +8,7 @@ from cohortlens.llm import simhash as S
 from cohortlens.llm.components import connected_components
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, width=3):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words, word = [], ""
     for c in low + " ":
@@ -19,7 +19,7 @@ def brute_fingerprint(text):
             word += c
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -67,12 +67,12 @@ def test_kernel(seed, radius):
         assert (got[at] - at[0]).tolist() == brute_components([int(x) for x in fps[at]], radius)
 
 
-@pytest.mark.parametrize("hot", [3, 40, 1 << 15])
-def test_all_links(spark, hot):
+@pytest.mark.parametrize("hot,radius", [(3, 3), (40, 3), (1 << 15, 3), (20, 6), (1 << 15, 6)])
+def test_all_links(spark, hot, radius):
     fps = sorted(set(family(random.Random(7), 500)))
     df = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp bigint")
-    labels = {r.id: r.component for r in connected_components(S.near_links(df, 3, hot)).collect()}
-    want, signed = brute_components(fps, 3), [f - (f >> 63 << 64) for f in fps]
+    labels = {r.id: r.component for r in connected_components(S.near_links(df, radius, hot)).collect()}
+    want, signed = brute_components(fps, radius), [f - (f >> 63 << 64) for f in fps]
     groups = {}
     for i, r in enumerate(want):
         groups.setdefault(r, []).append(i)

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last keep the columns of `documents`; a null or empty text, a null id or source and repeated
-rows pass every stage with the results that the operators' docstrings name.
+rows pass every stage with the results that the operators' docstrings name, and further columns, whole, of
+any name that starts with none of `__`, `language ` and `mix `.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from cohortlens.llm.simhash import near_dedup
 
 #: A document stays if its largest language has at least this share of it.
 LEAST_SHARE = 0.4
+#: Words of a shingle, and bits by which fingerprints of near copies may differ: about what a similarity of 0.9 leaves.
+#: That of 0.8 would be 10 bits, whose candidate keys would agree in blocks of five bits only and propose nearly all pairs.
+WORDS, RADIUS = 5, 6
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without a letter, or in which no language has LEAST_SHARE, go."""
-    seen = identify(docs, train(docs.where(~held_out())), keep=docs.columns)
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    seen = identify(docs, train(docs.where(~held_out())), keep=docs.columns, prefix="language ")
+    return seen.where((F.col("`language lang_pred`") != "und") & (F.col("`language score`") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return near_dedup(docs).select(*docs.columns)
+    """One document of each SimHash component over shingles of WORDS words."""
+    return near_dedup(docs, width=WORDS, radius=RADIUS).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 DETECTED, NOT_DETECTED, UNAVAILABLE = "Detected", "Not detected", "Data unavailable"
 # The words that the data model gives these meanings.
-POSITIVE = ("detected", "positive", "present", "1", "true", "yes")
-NEGATIVE = ("not detected", "negative", "absent", "0", "false", "no")
+POSITIVE = ("detected", "positive", "present", "variant detected", "1", "true", "yes")
+NEGATIVE = ("not detected", "not_detected", "negative", "reference", "wildtype", "wild type", "no variant", "no_variant", "absent", "0", "false", "no")
 CASE_WORDS = ("case", "cancer", "tumor", "tumour")
 CONTROL_WORDS = ("control", "healthy", "normal", "comparator")
 LABEL_ONE = ("1", "true", "yes", "case", "cancer", "tumor", "tumour", "positive")
 LABEL_ZERO = ("0", "false", "no", "control", "healthy", "normal", "negative")
 EARLY, LATE = ("i", "ia", "ib", "ii", "iia", "iib", "early", "1", "2"), ("iii", "iiia", "iiib", "iiic", "iv", "iva", "ivb", "late", "3", "4")
-FEATURE_TYPES = ("SNV", "INDEL", "CNV", "SV", "METHYLATION", "FRAGMENTOMICS", "MITO")
+FEATURE_TYPES = ("SNV", "INDEL", "CNV", "SV", "METHYLATION", "FRAGMENTOMICS", "MITOCHONDRIAL")
+#: Types of measured values, with the columns that may hold them, first found first; the others are detected or not.
+MEASURES = {"CNV": ("log2_ratio", "segment_mean"), "METHYLATION": ("beta", "m_value", "value"), "MITOCHONDRIAL": ("heteroplasmy", "copy_number_mt", "value")}
+DENSE = ("SNV", "INDEL")
 WORKFLOW = ("PASS", "FAIL", "WARN", "CONDITIONAL", "QUARANTINED")
 
 
@@ -58,6 +61,14 @@ def feature_type(kind: Column) -> Column:
     return F.upper(F.coalesce(F.nullif(F.trim(kind), F.lit("")), F.lit("SNV")))
 
 
+def measure(kind: Column, present: list[str]) -> Column:
+    """The finite number that a row of a measured type has; NULL for other types."""
+    out = F.lit(None).cast("double")
+    for k, names in MEASURES.items():
+        out = F.when(kind == k, first_number(list(names), present)).otherwise(out)
+    return out
+
+
 def stage_group(stage: Column) -> Column:
     bare = F.regexp_replace(words(stage), r"^stage\s*", "")
     return F.when(bare.isin(*EARLY), "early").when(bare.isin(*LATE), "late")

@@ -60,9 +60,49 @@ def continuous_comparison(values: DataFrame, *keys: str) -> DataFrame:
     return out.withColumns({"mean_difference": F.col("case_mean") - F.col("control_mean"), "cohen_d": d}).drop("__case_var", "__control_var")
 
 
-def exact_scan(obs: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Observed comparison by (region, feature_type) with q values and significance; alleles at one place merge."""
-    return S.benjamini_hochberg(observed_comparison(obs, "region", "feature_type")).withColumn("significant", F.col("q_value") <= alpha)
+def feature_stats(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (sample_id, grp, feature_type, status, keys; value columns of status.MEASURES) -> a row a key and type.
+
+    Types that are detected or not compare rates among observed patients, measured types means of patients' means; a
+    type is upper case, SNV where blank. effect is the absolute difference, 0 where a group has no value. case_n and
+    control_n count patients with any row, case_events and control_events detected rows. Two partial aggregations, the
+    first by patient.
+    """
+    kind = T.feature_type(F.col("feature_type"))
+    own = rows.select("sample_id", T.group_of(F.col("grp")).alias("grp"), *[k for k in keys], kind.alias("feature_type"), T.observed(F.col("status")).alias("o"), T.measure(kind, rows.columns).alias("m"))
+    per = own.where("grp is not null").groupBy("sample_id", "grp", "feature_type", *keys).agg(F.max("o").alias("o"), F.avg("m").alias("m"), F.count_if(F.col("o") == 1).alias("e"))
+    both = []
+    for g in ("case", "control"):
+        here = F.col("grp") == g
+        both += [F.count_if(here).alias(f"{g}_n"), F.sum(F.when(here, F.col("e")).otherwise(0)).alias(f"{g}_events"), F.count_if(here & (F.col("o") == 1)).alias("__d" + g), F.count_if(here & F.col("o").isNotNull()).alias("__o" + g), F.count(F.when(here, F.col("m"))).alias("__m" + g), F.avg(F.when(here, F.col("m"))).alias(f"{g}_mean")]
+    out = per.groupBy(*keys, "feature_type").agg(*both)
+    measured = F.col("feature_type").isin(*T.MEASURES)
+    for g in ("case", "control"):
+        out = out.withColumns({f"{g}_detected": F.when(measured, F.col("__m" + g)).otherwise(F.col("__d" + g)), f"{g}_observed": F.when(measured, F.col("__m" + g)).otherwise(F.col("__o" + g)), f"{g}_mean": F.when(measured, F.col(f"{g}_mean"))})
+        out = out.withColumn(f"{g}_rate", F.when(~measured, S.observed_rate(F.col(f"{g}_detected"), F.col(f"{g}_observed"))))
+    difference = F.abs(F.when(measured, F.col("case_mean") - F.col("control_mean")).otherwise(F.col("case_rate") - F.col("control_rate")))
+    return out.withColumn("effect", F.coalesce(difference, F.lit(0.0))).select(*keys, "feature_type", *[f"{g}_{x}" for x in ("n", "detected", "observed", "rate", "mean", "events") for g in ("case", "control")], "effect")
+
+
+def tested(rows: DataFrame, *keys: str, draws: int | None = None) -> DataFrame:
+    """feature_stats with p_value: Fisher's exact test, or the permutation test of means for measured types; 1 where a group has no value."""
+    from cohortlens.operators import resample as R
+
+    out = feature_stats(rows, *keys)
+    kind = T.feature_type(F.col("feature_type"))
+    values = rows.select("sample_id", T.group_of(F.col("grp")).alias("grp"), *keys, kind.alias("feature_type"), T.measure(kind, rows.columns).alias("value")).where(kind.isin(*T.MEASURES))
+    p = R.permutation_tests(values, *keys, "feature_type", draws=draws or R.SCAN_DRAWS).select(*keys, "feature_type", F.col("p_value").alias("__p"))
+    both = (F.col("case_observed") > 0) & (F.col("control_observed") > 0)
+    exact = S.fisher_exact(F.col("case_detected"), F.col("case_observed") - F.col("case_detected"), F.col("control_detected"), F.col("control_observed") - F.col("control_detected"))
+    exact = F.when(both, exact).otherwise(1.0)
+    binary = out.where(~F.col("feature_type").isin(*T.MEASURES)).withColumn("p_value", exact)
+    measured = out.where(F.col("feature_type").isin(*T.MEASURES)).join(p, [*keys, "feature_type"], "left").withColumn("p_value", F.coalesce("__p", F.lit(1.0))).drop("__p")
+    return binary.unionByName(measured)
+
+
+def exact_scan(obs: DataFrame, alpha: float = 0.05, draws: int | None = None) -> DataFrame:
+    """Every (region, feature_type) tested by what its type has, with q values and significance; alleles at one place merge."""
+    return S.benjamini_hochberg(tested(obs, "region", draws=draws)).withColumn("significant", F.col("q_value") <= alpha)
 
 
 def gene_events(rows: DataFrame, genes: str = "genes") -> DataFrame:

@@ -42,10 +42,14 @@ def candidate_coverage(matrix: DataFrame, candidate: str = "candidate") -> DataF
     return matrix.groupBy(candidate).agg(F.avg((F.col("value") > 0).cast("int")).alias("coverage"), F.count("*").alias("observed"))
 
 
-def probable_coverage(matrix: DataFrame, selected: list[str], patient: str = "patient", candidate: str = "candidate") -> DataFrame:
-    """Mean over observed patients of 1 - product of misses."""
+def _chosen(matrix: DataFrame, selected: list[str] | None, candidate: str) -> DataFrame:
+    return matrix if selected is None else matrix.where(F.col(candidate).isin(selected))
+
+
+def probable_coverage(matrix: DataFrame, selected: list[str] | None = None, patient: str = "patient", candidate: str = "candidate") -> DataFrame:
+    """Mean over observed patients of 1 - product of misses, at selected candidates or at all."""
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value").cast("double")))
-    per = matrix.where(F.col(candidate).isin(selected)).groupBy(patient).agg((1 - F.product(1 - p)).alias("hit"))
+    per = _chosen(matrix, selected, candidate).groupBy(patient).agg((1 - F.product(1 - p)).alias("hit"))
     return per.agg(F.count("*").alias("observed"), F.avg("hit").alias("coverage"))
 
 
@@ -126,11 +130,11 @@ def best_subset(panels: DataFrame, gain: float = 1e-12) -> tuple[list[str], floa
 
 
 
-def layer_contribution(matrix: DataFrame, selected: list[str], layers: dict[str, str], patient: str = "patient", candidate: str = "candidate") -> DataFrame:
+def layer_contribution(matrix: DataFrame, selected: list[str] | None, layers: dict[str, str], patient: str = "patient", candidate: str = "candidate") -> DataFrame:
     """(layer, coverage, without, delta): the panel's coverage with and without each layer's candidates, in one pass over the matrix."""
-    names = sorted({layers[c] for c in selected if c in layers})
+    names = sorted({x for c, x in layers.items() if selected is None or c in selected})
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value").cast("double")))
-    own = matrix.where(F.col(candidate).isin(selected))
+    own = _chosen(matrix, selected, candidate)
     layer = F.coalesce(*[F.when(F.col(candidate) == c, F.lit(x)) for c, x in layers.items()], F.lit(""))
     per = own.withColumn("l", layer).groupBy(patient).agg((1 - F.product(1 - p)).alias("all"), *[F.coalesce(1 - F.product(F.when(F.col("l") != n, 1 - p)), F.lit(0.0)).alias(f"w{i}") for i, n in enumerate(names)])
     sums = per.agg(F.avg("all").alias("all"), *[F.avg(f"w{i}").alias(f"w{i}") for i in range(len(names))])

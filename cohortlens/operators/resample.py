@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -9,7 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_COMBINATIONS, DRAWS = 100_000, 999
+EXACT_COMBINATIONS, DRAWS, SCAN_DRAWS = 100_000, 999, 100_000
+
+
+@lru_cache(32)
+def _splits(n: int, k: int) -> np.ndarray:
+    """Every choice of k of n places, a row each."""
+    return np.fromiter(chain.from_iterable(combinations(range(n), k)), np.int32).reshape(-1, k)
 
 
 def permutation_p(values: np.ndarray, cases: np.ndarray, draws: int = DRAWS, seed: int = 42, exact: int = EXACT_COMBINATIONS) -> float | None:
@@ -24,33 +32,31 @@ def permutation_p(values: np.ndarray, cases: np.ndarray, draws: int = DRAWS, see
         return int((np.abs(sums / k - (total - sums) / (n - k)) >= observed - 1e-12).sum())
 
     if comb(n, k) <= exact:
-        from itertools import combinations
-
-        sums = np.fromiter((sum(c) for c in combinations(values.tolist(), k)), float, comb(n, k))
+        sums = values[_splits(n, k)].sum(axis=1)
         return extreme(sums) / len(sums)
     rng, hits = np.random.default_rng(seed), 0
     for at in range(0, draws, 256):
         m = min(256, draws - at)
-        order = np.argsort(rng.random((m, n)), axis=1)[:, :k]
+        order = np.argpartition(rng.random((m, n)), k - 1, axis=1)[:, :k]
         hits += extreme(values[order].sum(axis=1))
     return (hits + 1) / (draws + 1)
 
 
-def permutation_tests(values: DataFrame, key: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
-    """values (key, sample_id, grp, value) -> (key, n_case, n_control, mean_difference, p_value): a group a key, of one value a patient.
+def permutation_tests(values: DataFrame, *keys: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
+    """values (keys, sample_id, grp, value) -> (keys, n_case, n_control, mean_difference, p_value): a group a key, of one value a patient.
 
     A group holds a cohort's patients, which bounds it; sums are made of sorted values, so reruns agree.
     """
-    kind = values.schema[key].dataType.simpleString()
+    kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
 
     def test(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("sample_id")
         v, c = g["value"].to_numpy(float), (g["grp"] == "case").to_numpy()
         d = float(v[c].mean() - v[~c].mean()) if 0 < c.sum() < len(c) else None
-        return pd.DataFrame({key: [g[key].iloc[0]], "n_case": [int(c.sum())], "n_control": [int((~c).sum())], "mean_difference": [d], "p_value": [permutation_p(v, c, draws, seed)]})
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "n_case": [int(c.sum())], "n_control": [int((~c).sum())], "mean_difference": [d], "p_value": [permutation_p(v, c, draws, seed)]})
 
-    per = values.where("value is not null and grp in ('case', 'control')").groupBy(key, "sample_id", "grp").agg(F.avg("value").alias("value"))
-    return per.groupBy(key).applyInPandas(test, f"{key} {kind}, n_case bigint, n_control bigint, mean_difference double, p_value double")
+    per = values.where("value is not null and grp in ('case', 'control')").groupBy(*keys, "sample_id", "grp").agg(F.avg("value").alias("value"))
+    return per.groupBy(*keys).applyInPandas(test, f"{kinds}, n_case bigint, n_control bigint, mean_difference double, p_value double")
 
 
 def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 42, key: str = "patient") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import stats as S
 from cohortlens.functions import status as T
-from cohortlens.operators.cohort import observed_comparison
+from cohortlens.operators.cohort import feature_stats, tested
+from cohortlens.sources.sinks import staged
 
 # The resolutions of the scan.
 LEVELS, RATES = (5_000_000, 1_000_000, 100_000, 10_000, 1_000), (1_000_000, 100_000, 10_000, 1_000, 100)
@@ -41,33 +42,44 @@ def multiresolution_rates(rows: DataFrame, sizes: tuple[int, ...] = RATES) -> Da
     return out.withColumn("detection_rate", F.col("detected") / F.col("total"))
 
 
-def level_stats(rows: DataFrame, size: int) -> DataFrame:
-    """Observed comparison of each bin and type, with events a megabase; bins that a group wasn't observed at are left out."""
-    b = with_bins(rows, size)
-    out = observed_comparison(b, "chrom", "bin", "feature_type").where("case_observed > 0 and control_observed > 0")
-    density = b.where(T.observed(F.col("status")) == 1).groupBy("chrom", "bin", "feature_type").agg((F.count("*") * F.lit(1e6) / size).alias("density"))
-    out = out.join(density, ["chrom", "bin", "feature_type"], "left").fillna(0.0, ["density"])
-    screened = F.when(F.col("feature_type").isin("SNV", "INDEL"), F.greatest("effect", F.col("density") / (1 + F.col("density")))).otherwise(F.col("effect"))
-    return out.withColumn("screening", screened)
+def level_stats(binned: DataFrame, size: int) -> DataFrame:
+    """feature_stats of each bin of rows dealt to bins, of those that both groups have patients at, with the screening effect.
+
+    Where variants are counted, a difference of detected rows a megabase may raise it.
+    """
+    out = feature_stats(binned, "chrom", "bin").where("case_n > 0 and control_n > 0")
+    density = F.abs(F.col("case_events") - F.col("control_events")) * F.lit(1e6) / F.lit(size)
+    return out.withColumn("density_difference", F.when(F.col("feature_type").isin(*T.DENSE), density)).withColumn(
+        "screening", F.greatest("effect", F.coalesce(F.col("density_difference") / (1 + F.col("density_difference")), F.lit(0.0)))
+    )
 
 
-def coarse_to_fine(rows: DataFrame, threshold: float = 0.1, levels: tuple[int, ...] = LEVELS, neighbours: int = 1, tile: bool = False, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(lineage, final): retained bins of every level with their parents, and exact regions that overlap any retained bin.
+def coarse_to_fine(rows: DataFrame, threshold: float = 0.1, levels: tuple[int, ...] = LEVELS, neighbours: int = 1, tile: bool = False, alpha: float = 0.05, draws: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lineage, final): retained bins of every level with their parents, and the exact regions that overlap any of them.
 
-    The next level's bins are the 2k+1 bins around a retained bin's start, or with tile all that tile it. Levels are few
-    and fixed, so the loop builds one plan and runs nothing.
+    The next level's bins are the 2k+1 bins around a retained bin's start, or with tile all that tile it. Each level's
+    retained bins are written, and only rows in the bins wanted next are aggregated, so a level reads the rows once and
+    finer levels aggregate less. Regions meet retained bins of a level by the bins of that size that they cover.
     """
-    kept = level_stats(rows, levels[0]).where(F.col("screening") >= threshold).withColumn("resolution", F.lit(levels[0]).cast("bigint")).withColumn("parent", F.lit(None).cast("bigint"))
-    lineage = kept
-    for parent, size in zip(levels, levels[1:], strict=False):
-        if tile:
-            child = F.expr(f"sequence((bin * {parent}L) div {size}, ((bin + 1) * {parent}L - 1) div {size})")
-        else:
-            child = F.expr(f"filter(transform(sequence({-neighbours}, {neighbours}), i -> (bin * {parent}L) div {size} + i), x -> x >= 0)")
-        wanted = kept.select("chrom", "feature_type", F.col("bin").alias("parent"), F.explode(child).alias("bin")).groupBy("chrom", "feature_type", "bin").agg(F.min("parent").alias("parent"))
-        kept = level_stats(rows, size).join(wanted, ["chrom", "feature_type", "bin"]).where(F.col("screening") >= threshold).withColumn("resolution", F.lit(size).cast("bigint"))
-        lineage = lineage.unionByName(kept)
-    spans = lineage.select("chrom", "feature_type", (F.col("bin") * F.col("resolution") + 1).alias("start"), ((F.col("bin") + 1) * F.col("resolution")).alias("end"))
-    exact = observed_comparison(rows, "chrom", "start", "end", "feature_type")
-    hits = interval_join(exact.select("chrom", "feature_type", "start", "end"), spans, levels[0], ("chrom", "feature_type")).select("chrom", "feature_type", F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct()
-    return lineage, S.benjamini_hochberg(exact.join(hits, ["chrom", "feature_type", "start", "end"], "left_semi")).withColumn("significant", F.col("q_value") <= alpha)
+    rows = rows.withColumn("feature_type", T.feature_type(F.col("feature_type")))
+    lineage, wanted = None, None
+    for k, size in enumerate(levels):
+        own = with_bins(rows, size)
+        if wanted is not None:
+            own = own.join(wanted.select("chrom", "feature_type", "bin"), ["chrom", "feature_type", "bin"], "left_semi")
+        found = level_stats(own, size).where(F.col("screening") >= threshold).withColumn("resolution", F.lit(size).cast("bigint"))
+        found = found.withColumn("parent", F.lit(None).cast("bigint")) if wanted is None else found.join(wanted, ["chrom", "feature_type", "bin"])
+        kept = staged(found, f"scan-{size}")
+        lineage = kept if lineage is None else lineage.unionByName(kept)
+        if k + 1 < len(levels):
+            child = levels[k + 1]
+            bins = F.expr(f"sequence((bin * {size}L) div {child}, ((bin + 1) * {size}L - 1) div {child})") if tile else F.expr(f"filter(transform(sequence({-neighbours}, {neighbours}), i -> (bin * {size}L) div {child} + i), x -> x >= 0)")
+            wanted = kept.select("chrom", "feature_type", F.col("bin").alias("parent"), F.explode(bins).alias("bin")).groupBy("chrom", "feature_type", "bin").agg(F.min("parent").alias("parent"))
+    regions = rows.select("chrom", "start", "end", "feature_type").distinct()
+    at = ["chrom", "start", "end", "feature_type"]
+    hits = None
+    for size in levels:
+        met = with_bins(regions, size).join(lineage.where(F.col("resolution") == size).select("chrom", "feature_type", "bin"), ["chrom", "feature_type", "bin"], "left_semi").select(*at)
+        hits = met if hits is None else hits.unionByName(met)
+    final = tested(rows.join(staged(hits.distinct(), "scan-regions"), at, "left_semi"), "chrom", "start", "end", draws=draws)
+    return lineage, S.benjamini_hochberg(final).withColumn("significant", F.col("q_value") <= alpha)

@@ -92,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_sample_vcfs(tables.maf_vcf_lines(tables.read_maf(spark, a.input)), a.output)
     elif a.command == "features":
         rows = tables.read_features(spark, a.input).withColumnRenamed("patient", "sample_id")
-        rows = rows.withColumnRenamed("group", "grp") if "group" in rows.columns else rows.withColumn("grp", F.lit(None).cast("string"))
+        rows = rows.withColumn("grp", F.col("group") if "group" in rows.columns else F.lit(None).cast("string"))
         sinks.write_parquet(C.exact_scan(rows, a.alpha), a.output)
     else:
         sinks.write_parquet(tables.file_hashes(spark, a.input), a.output)

@@ -77,12 +77,43 @@ def observed_comparison(spark, sf_dir):
     return rounded(C.observed_comparison(observations(spark, sf_dir), "gene", "feature_type"))
 
 
+PAIRED = lambda text: ", ".join(text.replace("@", g) for g in ("case", "control"))
+
+
+def stats_sql(name: str, source: str, keys: str) -> str:
+    """CTEs of feature_stats over a relation of observations: CNV is measured, other types are detected or not."""
+    cells = PAIRED("""count(*) FILTER (grp = '@') AS @_n, coalesce(sum(e) FILTER (grp = '@'), 0)::BIGINT AS @_events,
+ CASE WHEN feature_type = 'CNV' THEN count(m) FILTER (grp = '@') ELSE count(*) FILTER (grp = '@' AND o = 1) END AS @_detected, CASE WHEN feature_type = 'CNV' THEN count(m) FILTER (grp = '@') ELSE count(o) FILTER (grp = '@') END AS @_observed,
+ CASE WHEN feature_type = 'CNV' THEN avg(m) FILTER (grp = '@') END AS @_mean""")
+    rates = PAIRED("CASE WHEN feature_type <> 'CNV' THEN @_detected / nullif(@_observed, 0) END AS @_rate")
+    return f"""{name}_p AS (SELECT sample_id, grp, {keys}, feature_type, max(v) AS o, avg(CASE WHEN feature_type = 'CNV' THEN log2_ratio END) AS m, count(*) FILTER (v = 1) AS e FROM {source} GROUP BY ALL),
+{name}_c AS (SELECT {keys}, feature_type, {cells} FROM {name}_p GROUP BY {keys}, feature_type),
+{name}_r AS (SELECT *, {rates} FROM {name}_c),
+{name} AS (SELECT *, coalesce(abs(CASE WHEN feature_type = 'CNV' THEN case_mean - control_mean ELSE case_rate - control_rate END), 0) AS effect FROM {name}_r)"""
+
+
+STATS_OUT = PAIRED("@_n, @_detected, @_observed, round(@_rate, 6) AS @_rate, round(@_mean, 6) AS @_mean, @_events") + ", round(effect, 6) AS effect"
+
+
+@query(f"WITH {OBS_SQL}, {stats_sql('s', 'obs', 'part')} SELECT part::VARCHAR AS region, feature_type, {STATS_OUT} FROM s")
+def scan_effects(spark, sf_dir):
+    """Rates or means of both groups and the effect, of every region and feature type."""
+    return rounded(C.feature_stats(observations(spark, sf_dir).withColumn("region", F.col("part").cast("string")), "region"))
+
+
 @query(
-    f"WITH {OBS_SQL}{OBSERVED_SQL.format(keys='part, feature_type')}{fisher_sql('t', 'part, feature_type', *CELLS)}, {SAFE_P.format(keys='part, feature_type')}, r0 AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t JOIN fp USING (part, feature_type)), r1 AS (SELECT *, min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS q FROM r0) "
-    f"SELECT part::VARCHAR AS region, feature_type, {OBSERVED_OUT}, round(q, 6) AS q_value, q <= 0.05 AS significant FROM r1"
+    f"WITH {OBS_SQL.replace('FROM lineitem JOIN', 'FROM (SELECT * FROM lineitem WHERE l_linenumber <= 4) JOIN')}{OBSERVED_SQL.format(keys='part, feature_type')}{fisher_sql('t', 'part, feature_type', *CELLS)}, {SAFE_P.format(keys='part, feature_type')}, r0 AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t JOIN fp USING (part, feature_type)), r1 AS (SELECT *, min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS q FROM r0) "
+    "SELECT part::VARCHAR AS region, feature_type, case_detected, case_observed, control_detected, control_observed, round(p, 6) AS p_value, round(q, 6) AS q_value, q <= 0.05 AS significant FROM r1"
 )
+def variant_scan(spark, sf_dir):
+    """Every region of the types that are detected or not, tested among observed patients, with q values."""
+    rows = observations(spark, sf_dir).where("feature_type <> 'CNV'").withColumn("region", F.col("part").cast("string"))
+    return rounded(C.exact_scan(rows).select("region", "feature_type", "case_detected", "case_observed", "control_detected", "control_observed", "p_value", "q_value", "significant"))
+
+
+@query()
 def exact_scan(spark, sf_dir):
-    """Every region and feature type tested among observed patients, with q values."""
+    """Every region and feature type tested by what its type has; permutations of measured types have no SQL."""
     return rounded(C.exact_scan(observations(spark, sf_dir).withColumn("region", F.col("part").cast("string"))))
 
 
@@ -277,7 +308,7 @@ def panel_coverage(spark, sf_dir):
 @query()
 def panel_stability(spark, sf_dir):
     """How often bootstrapped greedy panels choose each kind."""
-    return rounded(R.panel_stability(_matrix(spark, sf_dir), 3, replicates=50))
+    return rounded(R.panel_stability(_matrix(spark, sf_dir), 3))
 
 
 RATES_SQL = " UNION ALL ".join(f"SELECT {s}::BIGINT AS resolution, chrom, unnest(generate_series(start_ // {s}, greatest(start_ // {s}, (end_ - 1) // {s}))) AS bin, feature_type, sample_id, v FROM obs" for s in SC.RATES)
@@ -302,13 +333,41 @@ def interval_join(spark, sf_dir):
     return rounded(SC.interval_join(a, g, 64).select("a_order_id", "a_line_no", "b_gene", "b_start"))
 
 
-@query()
+LEVELS, THRESHOLD = SC.LEVELS, 0.05
+
+
+def coarse_sql() -> str:
+    """CTEs kept0.. of the retained bins of each level, and hits of the regions that overlap any."""
+    parts = []
+    for k, size in enumerate(LEVELS):
+        own = "" if not k else f" WHERE EXISTS (FROM wanted{k} w WHERE w.chrom = b.chrom AND w.feature_type = b.feature_type AND w.bin = b.bin)"
+        parts.append(f"all{k} AS (SELECT *, unnest(generate_series((start_ - 1) // {size}, (end_ - 1) // {size})) AS bin FROM obs), bins{k} AS (SELECT * FROM all{k} b{own})")
+        parts.append(stats_sql(f"s{k}", f"bins{k}", "chrom, bin"))
+        dense = f"abs(case_events - control_events) * 1e6 / {size}"
+        kept = f"SELECT *, CASE WHEN feature_type IN ('SNV', 'INDEL') THEN greatest(effect, {dense} / (1 + {dense})) ELSE effect END AS screening FROM s{k} WHERE case_n > 0 AND control_n > 0"
+        parent = "NULL::BIGINT AS parent FROM x" if not k else f"parent FROM x JOIN wanted{k} USING (chrom, feature_type, bin)"
+        parts.append(f"kept{k} AS (WITH x AS ({kept}) SELECT {size}::BIGINT AS resolution, chrom, bin, feature_type, effect, screening, {parent} WHERE screening >= {THRESHOLD})")
+        if k + 1 < len(LEVELS):
+            child = LEVELS[k + 1]
+            parts.append(f"wanted{k + 1} AS (SELECT chrom, feature_type, (bin * {size}) // {child} + i AS bin, min(kept{k}.bin) AS parent FROM kept{k}, (VALUES (-1), (0), (1)) o(i) WHERE (bin * {size}) // {child} + i >= 0 GROUP BY chrom, feature_type, (bin * {size}) // {child} + i)")
+    hits = " UNION ".join(f"SELECT chrom, start_, end_, feature_type FROM all{k} JOIN kept{k} USING (chrom, feature_type, bin)" for k in range(len(LEVELS)))
+    return f"WITH {OBS_SQL}, " + ", ".join([*parts, f"hits AS ({hits})"])
+
+
+@query(coarse_sql() + " " + " UNION ALL ".join(f"SELECT resolution, chrom, bin, feature_type, parent, round(effect, 6) AS effect, round(screening, 6) AS screening FROM kept{k}" for k in range(len(LEVELS))))
 def coarse_to_fine(spark, sf_dir):
     """Retained bins of the coarse-to-fine scan at every level."""
-    lineage, _ = SC.coarse_to_fine(observations(spark, sf_dir), threshold=0.05, levels=(5_000_000, 1_000_000, 100_000))
+    lineage, _ = SC.coarse_to_fine(observations(spark, sf_dir), threshold=THRESHOLD)
     return rounded(lineage.select("resolution", "chrom", "bin", "feature_type", "parent", "effect", "screening"))
 
 
+@query(f"{coarse_sql()}, own AS (SELECT obs.* FROM obs JOIN hits USING (chrom, start_, end_, feature_type)), {stats_sql('f', 'own', 'chrom, start_, end_')} SELECT chrom, start_ AS start, end_ AS \"end\", feature_type, {STATS_OUT} FROM f")
+def coarse_to_fine_regions(spark, sf_dir):
+    """Exact regions that overlap retained bins, with both groups' values; their p and q values stand in exact_scan's form."""
+    _, final = SC.coarse_to_fine(observations(spark, sf_dir), threshold=THRESHOLD)
+    return rounded(final.drop("p_value", "q_value", "significant"))
+
+
 PRED_SQL = "WITH p AS (SELECT doc_id AS id, quality AS label, n_chars / 20000.0 AS score FROM labels JOIN documents USING (doc_id))"
 
 
@@ -380,14 +439,14 @@ def limit_of_detection(spark, sf_dir):
 def permutation_tests(spark, sf_dir):
     """Permutation p of the mean difference of each gene."""
     rows = observations(spark, sf_dir).select("gene", "sample_id", "grp", F.col("log2_ratio").alias("value"))
-    return rounded(R.permutation_tests(rows, "gene", draws=199))
+    return rounded(R.permutation_tests(rows, "gene"))
 
 
 @query()
 def bootstrap_rate(spark, sf_dir):
     """Bootstrap mean and range of patients' detection rate."""
     rows = observations(spark, sf_dir).select(F.col("sample_id").alias("patient"), T.observed(F.col("status")).alias("v"))
-    return rounded(R.rate_bootstrap(rows, "v", 50))
+    return rounded(R.rate_bootstrap(rows, "v"))
 
 
 @query(
@@ -421,11 +480,11 @@ def windowed_rates(spark, sf_dir):
     return rounded(rates(e))
 
 
-@query("WITH d AS (SELECT CASE WHEN props LIKE '%1%' THEN 'a' ELSE 'b' END AS k, user_id, event_id FROM events) SELECT k, count(DISTINCT user_id) AS users, count(*) AS n_events FROM d GROUP BY k")
+@query("WITH d AS (SELECT json_extract_string(props, '$.k')::BIGINT AS k, user_id, value FROM events) SELECT k, count(DISTINCT user_id) AS users, count(*) AS n_events, round(avg(value), 6) AS mean_value FROM d GROUP BY k")
 def json_properties(spark, sf_dir):
     """Events by a property of their JSON."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.when(F.col("props").contains("1"), "a").otherwise("b").alias("k")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("n_events"))
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
+    return rounded(e.groupBy("k").agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("n_events"), F.avg("value").alias("mean_value")))
 
 
 @query(f"WITH {OBS_SQL}, mx AS (SELECT sample_id AS patient, kind AS candidate, avg(CASE WHEN status = 'Detected' THEN 10 * vaf WHEN status = 'Not detected' THEN 0 END) AS value FROM obs WHERE status <> 'Data unavailable' GROUP BY ALL), p AS (SELECT patient, 1 - product(1 - greatest(0.0, least(1.0, value))) AS hit FROM mx GROUP BY patient) SELECT count(*) AS observed, round(avg(hit), 6) AS coverage FROM p")
@@ -433,8 +492,7 @@ def probable_coverage(spark, sf_dir):
     """Mean chance that a panel of all kinds hits an observed patient."""
     rows = observations(spark, sf_dir).where(F.col("status") != T.UNAVAILABLE)
     m = rows.groupBy(F.col("sample_id").alias("patient"), F.col("kind").alias("candidate")).agg(F.avg(F.when(F.col("status") == T.DETECTED, 10 * F.col("vaf")).otherwise(0.0)).alias("value"))
-    names = [r[0] for r in m.select("candidate").distinct().limit(100).collect()]
-    return rounded(P.probable_coverage(m, names))
+    return rounded(P.probable_coverage(m))
 
 
 @query(f"WITH {OBS_SQL}, d AS (SELECT gene AS feature, avg(log2_ratio) FILTER (grp = 'case') - avg(log2_ratio) FILTER (grp = 'control') AS e FROM obs WHERE order_id % 2 = 0 GROUP BY gene), v AS (SELECT gene AS feature, avg(log2_ratio) FILTER (grp = 'case') - avg(log2_ratio) FILTER (grp = 'control') AS e FROM obs WHERE order_id % 2 = 1 GROUP BY gene) SELECT feature, round(d.e, 6) AS d, round(v.e, 6) AS v, d.e * v.e > 0 OR (d.e = 0 AND v.e = 0) AS concordant FROM d JOIN v USING (feature)")
@@ -524,10 +582,7 @@ def design_summary(spark, sf_dir):
 @query(MATRIX_SQL + ", h AS (SELECT patient, 1 - product(1 - value) AS hit, 1 - product(CASE WHEN candidate <> 'SMALL' THEN 1 - value ELSE 1 END) AS without FROM mx GROUP BY patient) SELECT 'small' AS layer, round(avg(hit), 6) AS coverage, round(avg(without), 6) AS without, round(avg(hit) - avg(without), 6) AS delta FROM h")
 def layer_contribution(spark, sf_dir):
     """What a layer of candidates adds to a panel's coverage."""
-    m = _matrix(spark, sf_dir)
-    names = [r[0] for r in m.select("candidate").distinct().limit(100).collect()]
-    out = P.layer_contribution(m, names, {n: "small" if n == "SMALL" else "other" for n in names})
-    return rounded(out.where("layer = 'small'"))
+    return rounded(P.layer_contribution(_matrix(spark, sf_dir), None, {"SMALL": "small"}))
 
 
 @query(MATRIX_SQL + ", half AS (SELECT patient, candidate, value, patient % 2 AS h FROM mx), p AS (SELECT h, patient, max(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS hit FROM half WHERE candidate IN ('SMALL', 'LARGE') GROUP BY ALL), c AS (SELECT avg(hit) FILTER (h = 0) AS d, avg(hit) FILTER (h = 1) AS v FROM p) SELECT round(d, 6) AS discovery, round(v, 6) AS validation, round(v - d, 6) AS delta FROM c")

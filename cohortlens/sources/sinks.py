@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -78,3 +80,17 @@ def write_json(path: str, document) -> str:
 
 def read_json(path: str):
     return json.loads(Path(path).read_text())
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once into Parquet below spark.checkpoint.dir, which driver and executors share, and read from there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,12 +13,12 @@ from cohortlens.functions import variants as V
 # Required columns and header aliases of the formats.
 MAF_FIELDS = ("Chromosome", "Start_Position", "Reference_Allele", "Tumor_Seq_Allele2", "Tumor_Sample_Barcode")
 CNV_ALIASES = {
-    "sample_id": ("sample_id", "sample", "patient", "patient_id", "gdc_aliquot", "gdc_aliquot_id"),
+    "sample_id": ("sample_id", "sample", "patient", "patient_id", "gdc_aliquot", "gdc_aliquot_id", "aliquot_id"),
     "chrom": ("chrom", "chromosome", "chr"),
     "start": ("start", "start_position", "begin"),
     "end": ("end", "end_position", "stop"),
     "copy_number": ("copy_number", "cn", "total_cn", "total_copy_number"),
-    "log2_ratio": ("log2_ratio", "log2", "segment_mean", "log2ratio"),
+    "log2_ratio": ("log2_ratio", "log2", "segment_mean", "log2ratio", "log2r"),
     "event": ("event_type", "event", "call"),
     "genes": ("genes", "gene", "gene_name", "gene_symbol"),
     "grp": ("group", "grp", "cohort"),

@@ -9,7 +9,7 @@ from cohortlens.functions import status as T
 from cohortlens.functions import variants as V
 
 # The INFO keys that name a gene, a consequence and an impact.
-GENE_KEYS, CONSEQUENCE_KEYS, IMPACT_KEYS = ("GENE", "GENE_SYMBOL", "SYMBOL"), ("CONSEQUENCE", "CSQ", "EFFECT"), ("IMPACT", "SEVERITY")
+GENE_KEYS, CONSEQUENCE_KEYS, IMPACT_KEYS = ("GENE", "GENE_SYMBOL", "SYMBOL"), ("CONSEQUENCE", "CSQ_CONSEQUENCE", "CSQ", "EFFECT"), ("IMPACT", "CSQ_IMPACT", "SEVERITY")
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

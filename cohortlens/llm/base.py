@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to Python; texts may be long, so batches hold few rows.
 BATCH_ROWS = 256
@@ -45,6 +46,23 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def named(c: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def mapped(rows: DataFrame, func, new: str) -> DataFrame:
+    """rows through func in Arrow batches: func drops the first column and adds those of `new`, the others pass.
+
+    Their names may be any: mapInArrow itself takes none with dots, so they bear others meanwhile.
+    """
+    names = rows.columns[1:]
+    plain = rows.toDF(rows.columns[0], *[f"__k{i}" for i in range(len(names))])
+    ddl = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:]] + [new])
+    out = plain.mapInArrow(func, ddl)
+    return out.toDF(*names, *out.columns[len(names) :])
+
+
 def free_names(keep: list[str], names: list[str]) -> None:
     """Raises where a kept column has a name of the result, or one that starts with two underscores."""
     clash = [c for c in keep if c in names or c.startswith("__")]

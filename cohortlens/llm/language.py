@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import free_names, small_batches, table
+from cohortlens.llm.base import mapped, free_names, named, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Expected labelled documents of each language that the n-gram counts are learned from.
@@ -171,11 +171,10 @@ def identify(docs: DataFrame, model: NgramModel, text_col: str = "text", keep: l
     keep = ["doc_id"] if keep is None else keep
     names = [prefix + "lang_pred", prefix + "score"]
     free_names(keep, names)
-    kept = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    kept = docs.select(F.col(text_col).alias("__text"), *[named(c) for c in keep])
     shared = spark.sparkContext.broadcast((model.langs, model.index, model.logs))  # as large as the alphabet's trigrams that the bounded sample has
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     key = shared._jbroadcast.id()
-    return kept.mapInArrow(lambda b: _predict(b, shared, key, names), f"{ddl}, `{names[0]}` string, `{names[1]}` double")
+    return mapped(kept, lambda b: _predict(b, shared, key, names), f"`{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import small_batches, table, written
+from cohortlens.llm.base import mapped, free_names, named, small_batches, table, written
 
 WIDTH, FILL = 576, 255
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -187,17 +187,20 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sequences(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """(keep..., items): array of struct(pos, kind, text, src, digest, caption), in the page's order."""
+    """(keep..., items): array of struct(pos, kind, text, src, digest, caption), in the page's order. keep may not have a column items, nor
+    names that start with "__" (ValueError); the same holds for the new names of the functions below."""
     small_batches(pages.sparkSession)
     keep = ["page_id"] if keep is None else keep
-    kept = pages.select(F.col(html_col).alias("__html"), *keep)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(_parse, f"{ddl}, items array<struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>>")
+    free_names(keep, ["items"])
+    kept = pages.select(F.col(html_col).alias("__html"), *[named(c) for c in keep])
+    return mapped(kept, _parse, "items array<struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>>")
 
 
 def resolve(seqs: DataFrame, media: DataFrame, keep: list[str]) -> DataFrame:
     """A row an item of seqs, in the order of pos, with the columns of media (digest unique); null where nothing has the digest."""
-    items = seqs.select(*keep, F.explode("items").alias("i")).select(*keep, "i.*")
+    free_names(keep, ["pos", "kind", "text", "src", "digest", "caption", *media.columns])
+    own = [named(c) for c in keep]
+    items = seqs.select(*own, F.explode("items").alias("__i")).select(*own, "__i.*")
     found = media.withColumnRenamed("digest", "__digest")
     return items.join(found, items["digest"] == found["__digest"], "left").drop("__digest")
 
@@ -217,9 +220,9 @@ def store(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     """The written media table (keep..., n_bytes, digest, media) of texts as payloads; null texts are empty. One row a row."""
     small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
-    kept = docs.select(F.col(text_col).alias("__text"), *keep)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return written(kept.mapInArrow(_store, f"{ddl}, n_bytes bigint, digest string, media binary"), "media", compression="uncompressed")
+    free_names(keep, ["n_bytes", "digest", "media"])
+    kept = docs.select(F.col(text_col).alias("__text"), *[named(c) for c in keep])
+    return written(mapped(kept, _store, "n_bytes bigint, digest string, media binary"), "media", compression="uncompressed")
 
 
 FEATURES = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import free_names, table, written
+from cohortlens.llm.base import free_names, named, table, written
 
 WORD_SIZE = r"[^\x20\x09-\x0D]+"
 #: Rows that a cell of hashes holds about.
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     keep = [id_col] if keep is None else keep
     free_names(keep, [prefix + n for n in NAMES])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(source_col).alias("__source"), word_count(text_col).alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
+    rows = docs.select(*[named(c) for c in keep], F.col(source_col).alias("__source"), word_count(text_col).alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"))
     if store:
         rows = written(rows, "mix-sizes")
     slim = rows.select(F.col("__source").alias("s"), F.col("__size").alias("n"), F.col("__h").alias("h"))
@@ -144,27 +144,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     border = last.withColumn("reached", reached).where("reached - k < extra and extra <= reached").select(F.col("s").alias("bs"), F.col("n").alias("bn"), F.col("h").alias("upto"), "k", (F.col("extra") - F.col("reached") + F.col("k")).alias("due"))
     upto = F.when(F.col("extra") == 0, F.lit(None)).when(F.col("extra") == F.col("c"), F.lit((1 << 63) - 1)).otherwise(F.col("upto"))
     plan = plan.join(border, plan["s"].eqNullSafe(border["bs"]) & (plan["n"] == border["bn"]), "left")
-    plan = written(plan.select("s", "n", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "rounds", upto.alias("upto"), F.when(F.col("due") < F.col("k"), F.col("due")).alias("due")), "mix-borders")
-    planned = rows.join(plan, rows["__source"].eqNullSafe(plan["s"]) & (rows["__size"] == plan["n"])).drop("s", "n")
-    whole = F.col("rounds") + F.coalesce(F.col("__h") <= F.col("upto"), F.lit(False)).cast("bigint")
-    result = [*[F.col(f"`{c}`") for c in keep], *[F.col(f"__{c.removeprefix('mix_')}").alias(prefix + c) for c in NAMES[:-1]]]
-    if plan.where("due is not null").isEmpty():
+    plan = written(plan.select(F.col("s").alias("__ps"), F.col("n").alias("__pn"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rounds").alias("__rounds"), upto.alias("__upto"), F.when(F.col("due") < F.col("k"), F.col("due")).alias("__due")), "mix-borders")
+    planned = rows.join(plan, rows["__source"].eqNullSafe(plan["__ps"]) & (rows["__size"] == plan["__pn"])).drop("__ps", "__pn")
+    whole = F.col("__rounds") + F.coalesce(F.col("__h") <= F.col("__upto"), F.lit(False)).cast("bigint")
+    result = [*[named(c) for c in keep], *[F.col(f"__{c.removeprefix('mix_')}").alias(prefix + c) for c in NAMES[:-1]]]
+    if plan.where("__due is not null").isEmpty():
         return planned.select(*result, whole.alias(prefix + "copies"))
-    tied = F.coalesce((F.col("__h") == F.col("upto")) & F.col("due").isNotNull(), F.lit(False))
+    tied = F.coalesce((F.col("__h") == F.col("__upto")) & F.col("__due").isNotNull(), F.lit(False))
     even = planned.where(~tied).select(*result, whole.alias(prefix + "copies"))
-    return even.unionByName(_dealt(planned.where(tied)).select(*result, (F.col("rounds") + F.col("__taken").cast("bigint")).alias(prefix + "copies")))
+    return even.unionByName(_dealt(planned.where(tied)).select(*result, (F.col("__rounds") + F.col("__taken").cast("bigint")).alias(prefix + "copies")))
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Equal rows at a border (__source, __size, due) -> with __taken for `due` of each kind, numbered by the task that reads them."""
-    placed = rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    """Equal rows at a border (__source, __size, __due) -> with __taken for as many as are due, numbered by the task that reads them.
+
+    The numbers are written before they are counted, as another run of the plan may part the rows differently.
+    """
+    placed = written(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "mix-tied")
     key = ["__source", "__size", "__part"]
     placed = placed.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy("__at")))
     counts = placed.groupBy(*key).agg(F.count("*").alias("__k"))
     bases = counts.withColumn("__base", F.sum("__k").over(Window.partitionBy("__source", "__size").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__k"))
     bases = bases.select(F.col("__source").alias("__bs"), F.col("__size").alias("__bn"), F.col("__part").alias("__bp"), "__base")
     numbered = placed.join(bases, placed["__source"].eqNullSafe(bases["__bs"]) & (placed["__size"] == bases["__bn"]) & (placed["__part"] == bases["__bp"]))
-    return numbered.withColumn("__taken", F.col("__nth") + F.col("__base") <= F.col("due"))
+    return numbered.withColumn("__taken", F.col("__nth") + F.col("__base") <= F.col("__due"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import free_names, small_batches, table, written
+from cohortlens.llm.base import mapped, free_names, named, small_batches, table, written
 from cohortlens.llm.encoding import encoded, encoder, vocabulary
 
 
@@ -109,17 +109,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocab: str, lead: bool, end_id: i
         yield from pa.Table.from_arrays([*carried.columns, *columns.values()], names=[*carried.column_names, *columns]).combine_chunks().to_batches()
 
 
-def _place(batches: Iterator[pa.RecordBatch], plan: dict[int, np.ndarray], extra: int) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], plan: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(rank, ..., length) -> (..., length, sequence_id, offset)."""
     for batch in batches:
-        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+        length, rank = batch.columns[-1].to_numpy(), batch.columns[0].to_numpy()
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         for n in np.unique(length).tolist():
             at, own = np.flatnonzero(length == n), plan[n]
             row = own[np.searchsorted(own[:, 0], rank[at], side="right") - 1]
             nth = rank[at] - row[:, 0]
             sequence[at], offset[at] = row[:, 1] + nth // row[:, 2], row[:, 3] + nth % row[:, 2] * n
-        keep = [c for c in batch.schema.names if c != "rank"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sequence), pa.array(offset)], [*batch.schema.names[1:], "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, vocab: str, lead: bool = False, text_col: str = "text", capacity: int = 2048, end_id: int = 0, keep: list[str] | None = None, keep_ids: bool = True) -> DataFrame:
@@ -132,9 +132,9 @@ def pack(docs: DataFrame, vocab: str, lead: bool = False, text_col: str = "text"
     small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     free_names(keep, ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "part", "nth", "base", "rank"])
-    kept = docs.select(F.col(text_col).alias("__text"), *keep)
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]), "piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint"] + ["ids binary"] * keep_ids)
-    pieces = written(kept.mapInArrow(lambda b: _pieces(b, vocab, lead, end_id, capacity, keep_ids, len(keep)), ddl), "pieces")
+    kept = docs.select(F.col(text_col).alias("__text"), *[named(c) for c in keep])
+    own = "piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint" + ", ids binary" * keep_ids
+    pieces = written(mapped(kept, lambda b: _pieces(b, vocab, lead, end_id, capacity, keep_ids, len(keep)), own), "pieces")
     by_task = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan: dict[int, list] = {}
@@ -144,9 +144,8 @@ def pack(docs: DataFrame, vocab: str, lead: bool = False, text_col: str = "text"
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = by_task.select("length", "part", (F.sum("n").over(order) - F.col("n")).alias("base"))
     ranked = pieces.join(bases, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).drop("part", "nth", "base")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank")
-    out = ranked.mapInArrow(lambda b: _place(b, arrays, 0), f"{ddl}, sequence_id bigint, offset bigint")
-    return out.select(*keep, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset")
+    out = mapped(ranked.select("rank", *[named(c) for c in ranked.columns if c not in ("rank", "length")], "length"), lambda b: _place(b, arrays), "sequence_id bigint, offset bigint")
+    return out.select(*[named(c) for c in keep], "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

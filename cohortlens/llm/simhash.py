@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.base import small_batches, written
@@ -273,8 +273,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = _components(prints, radius, HOT).select("fp", "component")
     keep = prints.join(labelled, "fp").groupBy("component").agg(F.min("doc_id").alias("__kept")).select("__kept").distinct()
     kept = docs.withColumn("__key", key).join(keep, F.col("__key").eqNullSafe(F.col("__kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(text_col))
-    return kept.withColumn("__row", first).where("__row = 1").drop("__row", "__key")
+    return kept.dropDuplicates(["__key"]).drop("__key")  # by partial aggregates, so a row of many copies meets in no task
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

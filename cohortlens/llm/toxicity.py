@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import free_names, small_batches, table
+from cohortlens.llm.base import mapped, free_names, named, small_batches, table
 
 WORD = re.compile(r"[^\W_](?:[^\s]*[^\W_])?")
 #: Expected labelled documents of each class that training reads, on the driver.
@@ -215,11 +215,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     small_batches(spark)
     keep = ["doc_id"] if keep is None else keep
     free_names(keep, ["score"])
-    kept = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    kept = docs.select(F.col(text_col).alias("__text"), *[named(c) for c in keep])
     shared = spark.sparkContext.broadcast((model.subwords, model.bias, model.buckets, model.window, model.shortest, model.longest, model.scale, model.blank))  # buckets x 2 numbers
     key = shared._jbroadcast.id()
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(lambda b: _score(b, shared, key), f"{ddl}, score double")
+    return mapped(kept, lambda b: _score(b, shared, key), "score double")
 
 
 def held_out(id_col: str = "doc_id"):

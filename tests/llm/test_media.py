@@ -90,3 +90,15 @@ def test_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(M.png(data)), hashlib.sha256(M.png(data)).hexdigest(), M.feature(data))
         assert r.caption == str(doc_id)
+
+
+def test_kept_columns_of_any_name(spark):
+    data = spark.createDataFrame([("text", "a", "b")], "text string, `a.b` string, `c``d` string")
+    kept = ["a.b", "c`d"]
+    media = M.store(data, keep=kept)
+    assert media.columns == [*kept, "n_bytes", "digest", "media"] and media.first()["a.b"] == "a"
+    seqs = M.sequences(data, html_col="text", keep=kept)
+    assert M.resolve(seqs, media.select("digest", "n_bytes"), kept).columns[:2] == kept
+    for call, name in ((M.store, "digest"), (M.sequences, "items")):
+        with pytest.raises(ValueError):
+            call(data.withColumn(name, data["text"]), "text", keep=[name])

@@ -104,7 +104,7 @@ def test_remains_of_copies_go(spark):
     assert got == {1: f"Heading\n{long}", 3: "My own"}
 
 
-NAMES = ["lang_pred", "score", "target", "size", "n", "s", "c", "h", "k", "t", "copies", "mix_source", "source_size", "copy", "line", "line2", "pos", "dk", "id", "drop", "band", "fp", "key", "component", "none", "first_id", "n_lines", "n_dropped", "piece", "start", "length", "ids", "part", "nth", "base", "rank", "offset"]
+NAMES = ["lang_pred", "score", "target", "size", "n", "s", "c", "h", "k", "t", "copies", "mix_source", "source_size", "copy", "line", "line2", "pos", "dk", "id", "drop", "band", "fp", "key", "component", "none", "first_id", "n_lines", "n_dropped", "piece", "start", "length", "ids", "part", "nth", "base", "rank", "offset", "rounds", "upto", "due", "extra", "before", "reached", "cell", "ps", "pn", "cs", "cn", "cc", "ck", "bs", "bn", "source_", "placed", "m", "first", "last", "fdk", "fpos", "label", "u", "v", "a", "b", "kept", "row", "text_", "level", "ratio", "cap", "w", "final", "open", "total", "all_w", "a.b", "a`b", "with space", "ü"]
 
 
 def test_further_columns_pass_whole(spark, tmp_path):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.base import table, written
+from cohortlens.llm.base import named, table, written
 from cohortlens.llm.encoding import vocabulary
 from cohortlens.llm.language import held_out, identify, train
 from cohortlens.llm.lines import dedup_lines
@@ -26,28 +26,32 @@ LEAST_SHARE = 0.4
 WORDS, RADIUS = 5, 6
 
 
+def own(docs: DataFrame) -> list:
+    return [named(c) for c in docs.columns]
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: those without a letter, or in which no language has LEAST_SHARE, go."""
     seen = identify(docs, train(docs.where(~held_out())), keep=docs.columns, prefix="language ")
-    return seen.where((F.col("`language lang_pred`") != "und") & (F.col("`language score`") >= LEAST_SHARE)).select(*docs.columns)
+    return seen.where((F.col("`language lang_pred`") != "und") & (F.col("`language score`") >= LEAST_SHARE)).select(*own(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document or place has, n_chars anew; documents that consist of such lines only go."""
     out = dedup_lines(docs, counts=("__n_lines", "__n_dropped"))
     out = out.where((F.col("__n_dropped") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component over shingles of WORDS words."""
-    return near_dedup(docs, width=WORDS, radius=RADIUS).select(*docs.columns)
+    return near_dedup(docs, width=WORDS, radius=RADIUS).select(*own(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, 0 to 3 times."""
     taken = mix(docs, keep=docs.columns, prefix="mix ", store=False).where("`mix copies` > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix copies").cast("int"))).alias("mix nth")).select(*docs.columns)
+    return taken.select(*own(docs), F.explode(F.sequence(F.lit(1), F.col("mix copies").cast("int"))).alias("mix nth")).select(*own(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from cohortlens.operators import cohort as C
 from cohortlens.operators import evaluate as E
 from cohortlens.operators import evidence as EV
 from cohortlens.operators import panel as P
+from cohortlens.operators import panel_search as PS
 from cohortlens.operators import resample as R
 from cohortlens.operators import scan as SC
 from cohortlens.operators import select as SEL
@@ -305,6 +306,44 @@ def panel_coverage(spark, sf_dir):
     return rounded(P.presence_coverage(m, names))
 
 
+#: Detectability of a kind in a patient: the greatest share of full depth at which it was detected; 0 where it only was not.
+CHANCE_SQL = f"WITH {OBS_SQL}, mx AS (SELECT sample_id AS patient, kind AS candidate, max(CASE WHEN v = 1 THEN depth / 50.0 ELSE 0.0 END)::DOUBLE AS value FROM obs WHERE v IS NOT NULL AND part % 3 <> order_id % 3 GROUP BY ALL)"
+ALL_PANELS_SQL = """, k AS (SELECT candidate, row_number() OVER (ORDER BY candidate) - 1 AS i FROM (SELECT DISTINCT candidate FROM mx)), ss AS (SELECT unnest(generate_series(1, (1 << (SELECT count(*) FROM k)::INT)::INT - 1))::BIGINT AS s),
+nm AS (SELECT s, count(*) AS size, string_agg(candidate, '|' ORDER BY candidate) AS panel FROM ss, k WHERE (s >> i) & 1 = 1 GROUP BY s),
+pc AS (SELECT s, patient, 1 - product(1 - value) AS hit FROM ss, k JOIN mx USING (candidate) WHERE (s >> i) & 1 = 1 GROUP BY s, patient),
+cov AS (SELECT panel, size, avg(hit) AS coverage FROM pc JOIN nm USING (s) WHERE size <= {k} GROUP BY ALL),
+best AS (SELECT panel, coverage FROM cov WHERE coverage >= (SELECT max(coverage) FROM cov) - 1e-12 ORDER BY size, panel LIMIT 1)"""
+
+
+def _chances(spark, sf_dir) -> DataFrame:
+    rows = observations(spark, sf_dir).withColumn("v", T.observed(F.col("status"))).where("v is not null and part % 3 <> order_id % 3")
+    return rows.groupBy(F.col("sample_id").alias("patient"), F.col("kind").alias("candidate")).agg(F.max(F.when(F.col("v") == 1, F.col("depth") / 50.0).otherwise(0.0)).alias("value"))
+
+
+@query(CHANCE_SQL + ALL_PANELS_SQL.format(k=3) + " SELECT 'optimal' AS status, panel, round(coverage, 6) AS coverage FROM best")
+def exact_detectability_panel(spark, sf_dir):
+    """The panel of up to three kinds with the greatest mean chance of a hit among patients observed at it."""
+    found = PS.exact_panel(_chances(spark, sf_dir), 3)
+    return rounded(spark.createDataFrame([(found["status"], "|".join(found["panel"]), found["coverage"])], "status string, panel string, coverage double"))
+
+
+_STEP_SQL = """, g{i} AS (SELECT candidate AS c{i}, coverage AS v{i}{keep} FROM (SELECT mx2.candidate, avg(hit) AS coverage{keep} FROM (SELECT a.candidate{keep}, mx.patient, 1 - product(1 - mx.value) AS hit FROM (SELECT DISTINCT candidate FROM mx) a{before} JOIN mx ON mx.candidate IN (a.candidate{own}) WHERE {free} GROUP BY ALL) mx2 GROUP BY ALL) ORDER BY round(coverage, 12) DESC, candidate DESC LIMIT 1)"""
+GREEDY_SQL = _STEP_SQL.format(i=1, keep="", before="", own="", free="true") + _STEP_SQL.format(i=2, keep=", c1, v1", before=", g1", own=", c1", free="a.candidate <> c1") + _STEP_SQL.format(i=3, keep=", c1, v1, c2, v2", before=", g2", own=", c1, c2", free="a.candidate NOT IN (c1, c2)")
+
+
+@query(CHANCE_SQL + ALL_PANELS_SQL.format(k=3) + GREEDY_SQL + " SELECT 'optimal' AS status, c1 || '|' || c2 || '|' || c3 AS greedy_panel, round(v3, 6) AS greedy_coverage, panel AS exact_panel, round(coverage, 6) AS exact_coverage, round(coverage - v3, 6) AS delta FROM g3, best")
+def greedy_and_exact_panel(spark, sf_dir):
+    """The greedy panel of three kinds against the exact one."""
+    return rounded(PS.greedy_and_exact(_chances(spark, sf_dir), 3, -1.0))
+
+
+@query(CHANCE_SQL + GREEDY_SQL + " SELECT 1 AS step, c1 AS candidate, round(v1, 6) AS coverage, round(v1, 6) AS gain FROM g3 UNION ALL SELECT 2, c2, round(v2, 6), round(v2 - v1, 6) FROM g3 UNION ALL SELECT 3, c3, round(v3, 6), round(v3 - v2, 6) FROM g3")
+def coverage_curve(spark, sf_dir):
+    """Coverage and gain of each size of the greedy panel by detectability."""
+    steps = PS.greedy_panel(_chances(spark, sf_dir), 3, -1.0)
+    return rounded(spark.createDataFrame([(s["step"], s["candidate"], s["coverage"], s["gain"]) for s in steps], "step int, candidate string, coverage double, gain double"))
+
+
 @query()
 def panel_stability(spark, sf_dir):
     """How often bootstrapped greedy panels choose each kind."""

@@ -69,9 +69,9 @@ def kind_totals(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("kind").agg(F.count("*").alias("n_files"), F.sum("file_size").alias("total_bytes"))
 
 
-def verified(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """files (path, md5sum, file_size) against contents (path, content): whether sum and size agree; what isn't stated passes."""
-    have = contents.select("path", F.md5("content").alias("md5"), F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha256"))
+def verified(files: DataFrame, hashes: DataFrame) -> DataFrame:
+    """files (path, md5sum, file_size) against hashes (path, length, md5, sha256) of a listing: whether sum and size agree; what isn't stated passes."""
+    have = hashes.select("path", "md5", F.col("length").alias("size"), "sha256")
     out = files.join(have, "path", "left")
     return out.withColumn("verified", F.col("md5").isNotNull() & F.coalesce(F.lower("md5sum") == F.col("md5"), F.lit(True)) & F.coalesce(F.col("file_size") == F.col("size"), F.lit(True)))
 

@@ -17,6 +17,8 @@ from cohortlens.operators import panel_search as PS
 from cohortlens.operators import resample as R
 from cohortlens.operators import scan as SC
 from cohortlens.operators import select as SEL
+from cohortlens.sources import sequences as SQ
+from cohortlens.sources.sinks import new_folder
 from cohortlens.views import COHORT_SQL, OBS_SQL, cohort, fisher_sql, observations, table
 
 QUERIES: dict[str, Callable] = {}
@@ -643,3 +645,34 @@ def discovery_scores(spark, sf_dir):
     """Discovery score of candidates with annotation and functional evidence."""
     e = _evidence(spark, sf_dir)
     return rounded(e.select("candidate_id", EV.discovery_score(F.col("recurrence"), F.lit(1.0), F.col("detectability").isNotNull(), F.col("specificity").isNotNull()).alias("score")))
+
+
+def _written_sequences(spark, sf_dir: str) -> str:
+    """A folder of sequence files made of the parts: a file a brand, a line of 32 bases a part, by key."""
+    bases = F.translate(F.md5("p_name"), "0123456789abcdef", "ACGTACGTACGTACGT")
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), bases.alias("value"))
+    heads = parts.select("brand").distinct().select("brand", F.lit(-1).cast("bigint").alias("key"), F.concat(F.lit(">"), F.translate("brand", "#", "_"), F.lit(" of parts")).alias("value"))
+    path = new_folder(spark, "sequences")
+    parts.unionByName(heads).repartition("brand").sortWithinPartitions("brand", "key").drop("key").write.partitionBy("brand").text(path)
+    return path
+
+
+SEQUENCE_SQL = "WITH s AS (SELECT translate(p_brand, '#', '_') AS contig, string_agg(translate(md5(p_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p_partkey) AS bases FROM part GROUP BY ALL)"
+
+
+@query(SEQUENCE_SQL + " SELECT contig, length(bases) AS length, (length(contig) + 11)::BIGINT AS \"offset\", 32::BIGINT AS line_bases, 33::BIGINT AS line_width FROM s")
+def sequence_index(spark, sf_dir):
+    """The five-column index of sequence files that are written from the parts."""
+    lines = SQ.sequence_lines(spark, _written_sequences(spark, sf_dir), 1 << 16)
+    return rounded(SQ.index(lines).select(*SQ.FIELDS))
+
+
+@query(SEQUENCE_SQL + ", i AS (SELECT DISTINCT replace(translate(p_brand, '#', '_'), 'Brand', CASE WHEN s_suppkey % 2 = 0 THEN 'chrBrand' ELSE 'Brand' END) AS contig, translate(p_brand, '#', '_') AS own, (s_suppkey * 7) % 400 AS first, (s_suppkey * 7) % 400 + s_suppkey % 90 AS last FROM part, supplier WHERE s_nationkey = p_size % 25) SELECT i.contig, first, last, CASE WHEN last <= length(bases) THEN substr(bases, first + 1, last - first) END AS sequence FROM i JOIN s ON s.contig = i.own")
+def sequence_intervals(spark, sf_dir):
+    """Bases of intervals, by seeking in the written files: names with and without chr, intervals over lines, empty ones and ones beyond the end."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    own = F.translate("p_brand", "#", "_")
+    first = (F.col("s_suppkey") * 7) % 400
+    asked = part.join(supplier, F.col("s_nationkey") == F.col("p_size") % 25).select(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("chr"), own)).otherwise(own).alias("contig"), first.alias("first"), (first + F.col("s_suppkey") % 90).alias("last")).distinct()
+    contigs = SQ.index(SQ.sequence_lines(spark, _written_sequences(spark, sf_dir), 1 << 16))
+    return SQ.fetch(asked, contigs, "contig", "first", "last")

@@ -5,39 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.sources.sequences import sequence_lines
+
 CHUNK, FLANK = 4096, 512
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(contig, chunk_no, start, bases): upper-case chunks of `chunk` bases, start 0-based.
 
-    Files of any line width are cut by running offsets, found with windows over one contig's lines; a line must follow a
-    header.
+    Lines may be of any width; a line must follow a header. Each line is cut where chunks meet, and a chunk puts its
+    pieces together: a group is a chunk, never a contig.
     """
-    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.trim("value").alias("v")).where("v <> ''")
-    heads = text.where(F.col("v").startswith(">")).select("n", F.regexp_extract("v", r"^>(\S+)", 1).alias("contig"))
-    marked = heads.withColumn("upto", F.lead("n").over(Window.orderBy("n")))  # a row a contig
-    rows = text.where(~F.col("v").startswith(">")).alias("t").join(F.broadcast(marked).alias("h"), (F.col("t.n") > F.col("h.n")) & (F.col("h.upto").isNull() | (F.col("t.n") < F.col("h.upto"))))
-    rows = rows.select("contig", F.col("t.n").alias("n"), F.upper("v").alias("v"))
-    before = F.coalesce(F.sum(F.length("v")).over(Window.partitionBy("contig").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("o", before)
-    cut = placed.select("contig", "o", "v", F.explode(F.sequence(F.floor(F.col("o") / chunk), F.floor((F.col("o") + F.length("v") - 1) / chunk))).alias("chunk_no"))
+    rows = sequence_lines(spark, path).select("contig", F.col("start").alias("o"), F.col("bases").alias("v"))
+    cut = rows.select("contig", "o", "v", F.explode(F.sequence(F.floor(F.col("o") / chunk), F.floor((F.col("o") + F.length("v") - 1) / chunk))).alias("chunk_no"))
     part = F.expr(f"substring(v, cast(greatest(chunk_no * {chunk} - o, 0) + 1 as int), cast(least((chunk_no + 1) * {chunk}, o + length(v)) - greatest(chunk_no * {chunk}, o) as int))")
     pieces = cut.select("contig", "chunk_no", "o", part.alias("p")).groupBy("contig", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("o", "p"))).alias("x"))
     return pieces.select("contig", "chunk_no", (F.col("chunk_no") * chunk).alias("start"), F.array_join(F.col("x.p"), "").alias("bases"))
 
 
-def index(path_lines: DataFrame) -> DataFrame:
-    """(contig, length, line_bases) of (n, contig, v) sequence lines; lines before a contig's last that differ in width are an error."""
-    last = F.max("n").over(Window.partitionBy("contig"))
-    rows = path_lines.withColumn("last", F.col("n") == last)
-    out = rows.groupBy("contig").agg(F.sum(F.length("v")).alias("length"), F.max(F.length("v")).alias("line_bases"), F.count_distinct(F.when(~F.col("last"), F.length("v"))).alias("widths"))
-    return out.select("contig", "length", F.when(F.col("widths") <= 1, F.col("line_bases")).otherwise(F.raise_error(F.concat(F.lit("lines of different widths in "), F.col("contig"))).cast("int")).alias("line_bases"))
-
-
 def trim(ref: str, alt: str, pos: int) -> tuple[str, str, int]:
     """Without the shared start, then without the shared end; each allele keeps a base."""
     n = 0

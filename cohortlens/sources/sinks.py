@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import status as T
@@ -82,15 +82,25 @@ def read_json(path: str):
     return json.loads(Path(path).read_text())
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once into Parquet below spark.checkpoint.dir, which driver and executors share, and read from there."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir, which driver and executors share, as a URI.
+
+    Where none is set, a session whose tasks run on this machine gets a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if "://" not in base and base.startswith("/"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        base = ("file://" if default.startswith("file:") else default.rstrip("/")) + base
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once into Parquet in the shared folder and read from there."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import status as T
 from cohortlens.functions import variants as V
+from cohortlens.sources.files import file_hashes as file_hashes
+from cohortlens.sources.files import listed
 
 # Required columns and header aliases of the formats.
 MAF_FIELDS = ("Chromosome", "Start_Position", "Reference_Allele", "Tumor_Seq_Allele2", "Tumor_Sample_Barcode")
@@ -140,12 +142,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(id, grp, file) of variant and table files below cancer/ and healthy/."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    files = listed(spark, root).select("path")
     kind = F.regexp_extract("path", r"/(cancer|healthy)/[^/]+$", 1)
     return files.where((kind != "") & F.col("path").rlike(r"\.(vcf|vcf\.gz|csv)$")).select(F.regexp_extract("path", r"([^/]+?)\.(vcf|vcf\.gz|csv)$", 1).alias("id"), F.when(kind == "cancer", "case").otherwise("control").alias("grp"), F.col("path").alias("file"))
-
-
-def file_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, md5, sha256) of all files below root, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))

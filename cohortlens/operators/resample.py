@@ -2,61 +2,116 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import chain, combinations
 from math import comb
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.sources.sinks import staged
+
 EXACT_COMBINATIONS, DRAWS, SCAN_DRAWS = 100_000, 999, 100_000
+#: Values of which all splits are counted by halves; values of a test that are drawn from, above which its permutations
+#: are normal; hits after which a test's draws end, which leaves p an error of a twentieth.
+HALVED, DRAWN, ENOUGH = 30, 2000, 400
+EQUAL = 1e-12
 
 
-@lru_cache(32)
+@lru_cache(256)
 def _splits(n: int, k: int) -> np.ndarray:
     """Every choice of k of n places, a row each."""
     return np.fromiter(chain.from_iterable(combinations(range(n), k)), np.int32).reshape(-1, k)
 
 
+def _sums_by_size(values: np.ndarray) -> list[np.ndarray]:
+    """The sums of all subsets, in order, for each size of a subset."""
+    sums, sizes = np.zeros(1), np.zeros(1, np.int64)
+    for v in values:
+        sums, sizes = np.concatenate([sums, sums + v]), np.concatenate([sizes, sizes + 1])
+    return [np.sort(sums[sizes == n]) for n in range(len(values) + 1)]
+
+
+def splits_beyond(values: np.ndarray, k: int, least: float) -> int:
+    """How many choices of k values have a sum of at least `least` in size, of all choices, none of which is made.
+
+    The subsets of either half are summed and sorted by their number; each sum of the one asks how many of the other
+    leave the range.
+    """
+    a, b = _sums_by_size(values[: len(values) // 2]), _sums_by_size(values[len(values) // 2 :])
+    found = 0
+    for n, own in enumerate(a):
+        if 0 <= k - n < len(b):
+            rest = b[k - n]
+            found += len(own) * len(rest) - int((np.searchsorted(rest, least - own, "left") - np.searchsorted(rest, -least - own, "right")).sum())
+    return found
+
+
 def permutation_p(values: np.ndarray, cases: np.ndarray, draws: int = DRAWS, seed: int = 42, exact: int = EXACT_COMBINATIONS) -> float | None:
-    """p of the absolute mean difference: all splits where there are at most `exact`, counted before any is made, else random ones."""
+    """p of the absolute mean difference.
+
+    Exact over all splits of up to HALVED values, by halves, and where there are at most `exact` splits; else of up to
+    `draws` random splits, fewer once ENOUGH of them are as extreme: then p is their share.
+    """
     n, k = len(values), int(cases.sum())
     if not 0 < k < n:
         return None
-    observed = abs(values[cases].mean() - values[~cases].mean())
-    total = values.sum()
-
-    def extreme(sums: np.ndarray) -> int:
-        return int((np.abs(sums / k - (total - sums) / (n - k)) >= observed - 1e-12).sum())
-
+    centred = values - values.mean()
+    least = abs(centred[cases].sum()) - EQUAL * k * (n - k) / n
+    if least <= 0:
+        return 1.0
+    if n <= HALVED:
+        return splits_beyond(centred, k, least) / comb(n, k)
     if comb(n, k) <= exact:
-        sums = values[_splits(n, k)].sum(axis=1)
-        return extreme(sums) / len(sums)
-    rng, hits = np.random.default_rng(seed), 0
-    for at in range(0, draws, 256):
-        m = min(256, draws - at)
-        order = np.argpartition(rng.random((m, n)), k - 1, axis=1)[:, :k]
-        hits += extreme(values[order].sum(axis=1))
-    return (hits + 1) / (draws + 1)
+        return float((np.abs(centred[_splits(n, k)].sum(axis=1)) >= least).mean())
+    rng, hits, made, few = np.random.default_rng(seed), 0, 0, min(k, n - k)  # the others' sum is its negative
+    while made < draws and hits < ENOUGH:
+        m = min(max(64, (1 << 20) // n), draws - made)
+        order = np.argpartition(rng.random((m, n), np.float32), few - 1, axis=1)[:, :few]
+        hits += int((np.abs(centred[order].sum(axis=1)) >= least).sum())
+        made += m
+    return hits / made if made < draws else (hits + 1) / (draws + 1)
+
+
+def _tested(batches: Iterator[pa.RecordBatch], draws: int, seed: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for values, spread, n_case, n_control, difference in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if not n_case or not n_control:
+                out.append(None)
+            elif values is not None:
+                v = np.array([x["value"] for x in values], float)
+                out.append(permutation_p(v, np.array([x["case"] for x in values], bool), draws, seed))
+            else:
+                z = abs(difference) / (spread * math.sqrt(1 / n_case + 1 / n_control)) if spread else 0.0
+                out.append(math.erfc(z / math.sqrt(2)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], [*batch.schema.names[2:], "p_value"])
 
 
 def permutation_tests(values: DataFrame, *keys: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
-    """values (keys, sample_id, grp, value) -> (keys, n_case, n_control, mean_difference, p_value): a group a key, of one value a patient.
+    """values (keys, sample_id, grp, value) -> (n_case, n_control, mean_difference, keys, p_value): of one value a patient.
 
-    A group holds a cohort's patients, which bounds it; sums are made of sorted values, so reruns agree.
+    Counts, means and spreads are partial sums. A test of up to DRAWN patients has its values in one row, in the order of
+    values, and permutation_p; one of more never has: its splits' means are normal with the spread of all values, whose
+    error is below that of the draws. p is null where a group has no value. Reruns agree.
     """
-    kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
-
-    def test(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("sample_id")
-        v, c = g["value"].to_numpy(float), (g["grp"] == "case").to_numpy()
-        d = float(v[c].mean() - v[~c].mean()) if 0 < c.sum() < len(c) else None
-        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "n_case": [int(c.sum())], "n_control": [int((~c).sum())], "mean_difference": [d], "p_value": [permutation_p(v, c, draws, seed)]})
-
     per = values.where("value is not null and grp in ('case', 'control')").groupBy(*keys, "sample_id", "grp").agg(F.avg("value").alias("value"))
-    return per.groupBy(*keys).applyInPandas(test, f"{kinds}, n_case bigint, n_control bigint, mean_difference double, p_value double")
+    per = staged(per.select(*keys, "value", (F.col("grp") == "case").alias("case")), "permutation-values")
+    mean = lambda c: F.avg(F.when(c, F.col("value")))
+    sums = per.groupBy(*keys).agg(F.count_if("case").alias("n_case"), F.count_if(~F.col("case")).alias("n_control"), F.stddev_samp("value").alias("__spread"), (mean(F.col("case")) - mean(~F.col("case"))).alias("mean_difference"))
+    few = sums.where(F.col("n_case") + F.col("n_control") <= DRAWN).select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, (per[k].eqNullSafe(few[f"__s{i}"]) for i, k in enumerate(keys)))
+    held = per.join(few, same, "left_semi").groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sort_array(F.collect_list(F.struct("value", "case"))).alias("__values"))
+    both = sums.join(held, reduce(and_, (sums[k].eqNullSafe(held[f"__k{i}"]) for i, k in enumerate(keys))), "left")
+    kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
+    rows = both.select("__values", "__spread", "n_case", "n_control", "mean_difference", *keys)
+    return rows.mapInArrow(lambda b: _tested(b, draws, seed), f"n_case bigint, n_control bigint, mean_difference double, {kinds}, p_value double")
 
 
 def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 42, key: str = "patient") -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.sources.sinks import staged
+
 _SMALL = [math.lgamma(n + 1) for n in range(64)]
 
 
@@ -43,16 +45,27 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", q: str = "q_value") -> DataFrame:
-    """df with q: over rows whose p is not null; others have a null q.
+    """df with q: over rows whose p is not null; others have a null q. df is written once.
 
-    The windows order all tested rows in one partition, which is meant for results (a row a feature), never for
-    observations.
+    q follows from p and how many are at most it: equal ones are counted first, then counts run up and minima run down
+    within ranges of p, and across ranges by one row a range. A range is a 64th of an octave, so there are under 70,000
+    of them however many tests there are, and no window takes all tests.
     """
-    up = Window.partitionBy(F.col(p).isNull()).orderBy(F.col(p).asc())
-    down = Window.partitionBy(F.col(p).isNull()).orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.withColumn("__rank", F.row_number().over(up)).withColumn("__n", F.count(p).over(Window.partitionBy(F.col(p).isNull())))
-    value = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__rank")).over(down))
-    return ranked.withColumn(q, F.when(F.col(p).isNotNull(), value)).drop("__rank", "__n")
+    rows = staged(df, "tested")
+    key = F.col(p)
+    span = F.when(F.col("__p") > 0, F.floor(F.log2("__p") * 64)).otherwise(-(1 << 20)).cast("bigint")
+    counts = rows.where(key.isNotNull()).groupBy(key.alias("__p")).agg(F.count("*").alias("__k")).withColumn("__span", span)
+    upto = Window.partitionBy("__span").orderBy("__p")
+    counts = staged(counts.withColumn("__upto", F.sum("__k").over(upto)), "tested-counts")
+    spans = counts.groupBy("__span").agg(F.sum("__k").alias("__s"))
+    before = F.sum("__s").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__s")
+    spans = spans.select("__span", before.alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("__n"))
+    ratio = counts.join(spans, "__span").select("__p", "__span", (F.col("__p") * F.col("__n") / (F.col("__upto") + F.col("__before"))).alias("__r"))
+    least = ratio.groupBy("__span").agg(F.min("__r").alias("__m"))
+    later = F.min("__m").over(Window.orderBy(F.col("__span").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    within = F.min("__r").over(Window.partitionBy("__span").orderBy(F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = ratio.withColumn("__w", within).join(least.select("__span", later.alias("__l")), "__span").select("__p", F.least(F.lit(1.0), F.col("__w"), F.col("__l")).alias(q))
+    return rows.join(found, key == F.col("__p"), "left").drop("__p")
 
 
 def cohen_h(p1: Column, p2: Column) -> Column:

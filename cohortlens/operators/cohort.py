@@ -94,10 +94,8 @@ def tested(rows: DataFrame, *keys: str, draws: int | None = None) -> DataFrame:
     p = R.permutation_tests(values, *keys, "feature_type", draws=draws or R.SCAN_DRAWS).select(*keys, "feature_type", F.col("p_value").alias("__p"))
     both = (F.col("case_observed") > 0) & (F.col("control_observed") > 0)
     exact = S.fisher_exact(F.col("case_detected"), F.col("case_observed") - F.col("case_detected"), F.col("control_detected"), F.col("control_observed") - F.col("control_detected"))
-    exact = F.when(both, exact).otherwise(1.0)
-    binary = out.where(~F.col("feature_type").isin(*T.MEASURES)).withColumn("p_value", exact)
-    measured = out.where(F.col("feature_type").isin(*T.MEASURES)).join(p, [*keys, "feature_type"], "left").withColumn("p_value", F.coalesce("__p", F.lit(1.0))).drop("__p")
-    return binary.unionByName(measured)
+    value = F.when(F.col("feature_type").isin(*T.MEASURES), F.coalesce("__p", F.lit(1.0))).when(both, exact).otherwise(1.0)
+    return out.join(p, [*keys, "feature_type"], "left").withColumn("p_value", value).drop("__p")
 
 
 def exact_scan(obs: DataFrame, alpha: float = 0.05, draws: int | None = None) -> DataFrame:

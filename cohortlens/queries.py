@@ -114,9 +114,27 @@ def variant_scan(spark, sf_dir):
     return rounded(C.exact_scan(rows).select("region", "feature_type", "case_detected", "case_observed", "control_detected", "control_observed", "p_value", "q_value", "significant"))
 
 
-@query()
+#: Exact permutation p of a relation's values (key, v, c: a case's): subsets of either half of a key's values by size and
+#: sum, and for each of the one half how many of the other lie beyond, found in running counts.
+SPLITS_SQL = """cr AS (SELECT key, v - avg(v) OVER (PARTITION BY key) AS v, c, row_number() OVER (PARTITION BY key ORDER BY v, c) AS i, count(*) OVER (PARTITION BY key) AS n, count(*) FILTER (c) OVER (PARTITION BY key) AS k FROM cv),
+ck AS (SELECT key, any_value(n) AS n, any_value(k) AS k, abs(sum(v) FILTER (c)) - 1e-12 * any_value(k * (n - k) / n) AS least FROM cr WHERE k BETWEEN 1 AND n - 1 GROUP BY key),
+sub AS (SELECT key, 0 AS half, 0::BIGINT AS i, n // 2 AS upto, 0 AS size, 0.0::DOUBLE AS s FROM ck UNION ALL SELECT key, 1, n // 2, n, 0, 0.0 FROM ck
+ UNION ALL SELECT x.key, half, x.i + 1, upto, size + b, s + b * cr.v FROM sub x JOIN cr ON cr.key = x.key AND cr.i = x.i + 1 CROSS JOIN (VALUES (0), (1)) t(b) WHERE x.i < upto),
+hb AS (SELECT key, size, s, sum(count(*)) OVER (PARTITION BY key, size ORDER BY s) AS upto FROM sub WHERE half = 1 AND i = upto GROUP BY key, size, s),
+hn AS (SELECT key, size, max(upto) AS nb FROM hb GROUP BY key, size),
+ha AS (SELECT sub.key, k - size AS rest, s, least - s AS above, -least - s AS below, least FROM sub JOIN ck ON ck.key = sub.key WHERE half = 0 AND i = upto),
+hf AS (SELECT ha.key, ha.least, hn.nb, hn.nb - coalesce(lo.upto, 0) + coalesce(hi.upto, 0) AS far FROM ha JOIN hn ON hn.key = ha.key AND hn.size = ha.rest ASOF LEFT JOIN hb lo ON lo.key = ha.key AND lo.size = ha.rest AND ha.above > lo.s ASOF LEFT JOIN hb hi ON hi.key = ha.key AND hi.size = ha.rest AND ha.below >= hi.s),
+cp AS (SELECT key, CASE WHEN any_value(least) <= 0 THEN 1.0 ELSE sum(far) / sum(nb) END AS p FROM hf GROUP BY key)"""
+
+
+@query(
+    f"WITH RECURSIVE {OBS_SQL}, {stats_sql('s', 'obs', 'part')}, cv AS (SELECT part AS key, avg(log2_ratio) AS v, grp = 'case' AS c FROM obs WHERE feature_type = 'CNV' AND log2_ratio IS NOT NULL GROUP BY part, sample_id, grp), {SPLITS_SQL}, "
+    + fisher_sql("(SELECT * FROM s WHERE feature_type <> 'CNV')", "part, feature_type", *CELLS)
+    + ", tp AS (SELECT s.*, CASE WHEN s.feature_type = 'CNV' THEN coalesce(cp.p, 1.0) WHEN case_observed > 0 AND control_observed > 0 THEN fisher.p ELSE 1.0 END AS p FROM s LEFT JOIN fisher ON fisher.part = s.part AND fisher.feature_type = s.feature_type LEFT JOIN cp ON cp.key = s.part), r0 AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM tp), r1 AS (SELECT *, min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS q FROM r0) "
+    + f"SELECT part::VARCHAR AS region, feature_type, {STATS_OUT}, round(p, 6) AS p_value, round(q, 6) AS q_value, q <= 0.05 AS significant FROM r1"
+)
 def exact_scan(spark, sf_dir):
-    """Every region and feature type tested by what its type has; permutations of measured types have no SQL."""
+    """Every region and feature type tested by what its type has: Fisher's test, or all splits of measured values."""
     return rounded(C.exact_scan(observations(spark, sf_dir).withColumn("region", F.col("part").cast("string"))))
 
 

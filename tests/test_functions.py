@@ -87,3 +87,20 @@ def test_variants(spark):
     assert one(spark, V.bins(F.lit(1), F.lit(1000), 1000), V.bins(F.lit(1000), F.lit(1001), 1000), V.zero_based_bins(F.lit(1000), F.lit(1000), 1000)) == [[0], [0, 1], [1]]
     assert one(spark, V.copy_event(F.lit(3.0), F.lit(-9.0)), V.copy_event(F.lit(None).cast("double"), F.lit(-0.3)), V.copy_event(F.lit(None).cast("double"), F.lit(None).cast("double"))) == ["GAIN", "LOSS", None]
     assert one(spark, V.chromosome(lit("CHRX")), V.chromosome(lit("chrM"), True), V.file_kind(lit("Structural Variant calls")), V.file_kind(lit("Simple somatic mutation")), V.sample_class(lit("Blood Derived Normal"), lit(None))) == ["X", "MT", "SV", "SNV_INDEL", "NORMAL_BLOOD"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_false_discovery_over_ranges(spark, seed):
+    """Ties, zeros, ones, tiny values and nulls; a q is the least of p n / rank from its rank on."""
+    import random
+
+    rng = random.Random(seed)
+    ps = [rng.choice([0.0, 1.0, 1e-300, 5e-324, 0.5, rng.random(), rng.random() ** 9]) for _ in range(200)] * (seed < 3)
+    order, q, low = sorted(range(len(ps)), key=lambda i: ps[i]), {}, 1.0
+    for rank in range(len(ps), 0, -1):
+        low = min(low, ps[order[rank - 1]] * len(ps) / rank)
+        q[order[rank - 1]] = low
+    data = spark.createDataFrame([(i, p) for i, p in enumerate(ps)] + [(-1, None)], "i int, p_value double")
+    got = {r.i: r.q_value for r in S.benjamini_hochberg(data).collect()}
+    assert got.pop(-1) is None and got.keys() == q.keys()
+    assert all(got[i] == pytest.approx(q[i], rel=1e-12) for i in q)

@@ -95,7 +95,8 @@ def tested(rows: DataFrame, *keys: str, draws: int | None = None) -> DataFrame:
     both = (F.col("case_observed") > 0) & (F.col("control_observed") > 0)
     exact = S.fisher_exact(F.col("case_detected"), F.col("case_observed") - F.col("case_detected"), F.col("control_detected"), F.col("control_observed") - F.col("control_detected"))
     value = F.when(F.col("feature_type").isin(*T.MEASURES), F.coalesce("__p", F.lit(1.0))).when(both, exact).otherwise(1.0)
-    return out.join(p, [*keys, "feature_type"], "left").withColumn("p_value", value).drop("__p")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Fisher's test is work on small rows, not to be coalesced
+    return out.join(p, [*keys, "feature_type"], "left").repartition(tasks).withColumn("p_value", value).drop("__p")
 
 
 def exact_scan(obs: DataFrame, alpha: float = 0.05, draws: int | None = None) -> DataFrame:

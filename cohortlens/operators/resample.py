@@ -110,7 +110,8 @@ def permutation_tests(values: DataFrame, *keys: str, draws: int = DRAWS, seed: i
     held = per.join(few, same, "left_semi").groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sort_array(F.collect_list(F.struct("value", "case"))).alias("__values"))
     both = sums.join(held, reduce(and_, (sums[k].eqNullSafe(held[f"__k{i}"]) for i, k in enumerate(keys))), "left")
     kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
-    rows = both.select("__values", "__spread", "n_case", "n_control", "mean_difference", *keys)
+    tasks = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small and work is not: not to be coalesced
+    rows = both.select("__values", "__spread", "n_case", "n_control", "mean_difference", *keys).repartition(tasks)
     return rows.mapInArrow(lambda b: _tested(b, draws, seed), f"n_case bigint, n_control bigint, mean_difference double, {kinds}, p_value double")
 
 

@@ -101,9 +101,20 @@ def delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_segments(spark: SparkSession, path: str, group: str | None = None, gain: float = V.GAIN, loss: float = V.LOSS) -> DataFrame:
-    """Copy-number segments with any of the known header names: sample_id, grp, stage, chrom, start, end, copy_number, log2_ratio, event, genes, status."""
+    """Copy-number segments with any of the known header names: sample_id, grp, stage, chrom, start, end, copy_number, log2_ratio, event, genes, status.
+
+    A bad row is an error; quarantine.segments sets such rows apart instead.
+    """
+    return segment_rows(raw_segments(spark, path), group, gain, loss)
+
+
+def raw_segments(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, sep=delimiter(spark, path))
-    raw = raw.toDF(*[header_name(c) for c in raw.columns])
+    return raw.toDF(*[header_name(c) for c in raw.columns])
+
+
+def segment_rows(raw: DataFrame, group: str | None = None, gain: float = V.GAIN, loss: float = V.LOSS) -> DataFrame:
+    """The columns of read_segments from a file's own."""
     pick = lambda k: T.first_of(list(CNV_ALIASES[k]), raw.columns)
     num = lambda k: pick(k).cast("double")
     start, end = pick("start").cast("bigint"), pick("end").cast("bigint")
@@ -118,7 +129,10 @@ def read_segments(spark: SparkSession, path: str, group: str | None = None, gain
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Multimodal features: type in upper case, one of the known ones; status in any case."""
-    raw = required(spark.read.csv(path, header=True), FEATURE_FIELDS)
+    return feature_rows(required(spark.read.csv(path, header=True), FEATURE_FIELDS))
+
+
+def feature_rows(raw: DataFrame) -> DataFrame:
     kind = F.upper(F.trim("feature_type"))
     return raw.withColumns({"feature_type": checked(kind.isin(*T.FEATURE_TYPES), kind, "unknown feature type"), "status": T.canonical_status(F.col("status")), "value_num": F.col("value").try_cast("double")})
 

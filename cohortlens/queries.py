@@ -17,7 +17,10 @@ from cohortlens.operators import panel_search as PS
 from cohortlens.operators import resample as R
 from cohortlens.operators import scan as SC
 from cohortlens.operators import select as SEL
+from cohortlens.plans import audit as AU
+from cohortlens.sources import quarantine as QU
 from cohortlens.sources import sequences as SQ
+from cohortlens.sources import vcf as VC
 from cohortlens.sources.sinks import new_folder
 from cohortlens.views import COHORT_SQL, OBS_SQL, cohort, fisher_sql, observations, table
 
@@ -694,3 +697,69 @@ def sequence_intervals(spark, sf_dir):
     asked = part.join(supplier, F.col("s_nationkey") == F.col("p_size") % 25).select(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("chr"), own)).otherwise(own).alias("contig"), first.alias("first"), (first + F.col("s_suppkey") % 90).alias("last")).distinct()
     contigs = SQ.index(SQ.sequence_lines(spark, _written_sequences(spark, sf_dir), 1 << 16))
     return SQ.fetch(asked, contigs, "contig", "first", "last")
+
+
+def _written_segments(spark, sf_dir: str) -> str:
+    """A folder of copy-number files made of the order lines; one in ten ends before it starts, one in eleven has no sample."""
+    line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
+    start = F.col("l_partkey") * 1000 + F.col("l_linenumber")
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.when(F.col("l_orderkey") % 11 != 0, F.concat(F.lit("C"), F.col("o_custkey"))).alias("Sample"), F.concat(F.lit("chr"), F.col("p_size")).alias("Chromosome"), start.alias("Start"),
+        F.when(F.col("l_quantity") % 10 == 0, start - 1).otherwise(start + F.col("l_quantity").cast("bigint")).alias("End"), F.round((F.col("l_discount") - F.col("l_tax")) * 5, 4).alias("Segment Mean"), F.concat_ws(";", "p_brand", "p_type").alias("Gene"),
+    )
+    path = new_folder(spark, "segments")
+    rows.write.csv(path, header=True)
+    return path
+
+
+SEGMENT_SQL = "WITH g AS (SELECT CASE WHEN l_orderkey % 11 <> 0 THEN 'C' || o_custkey END AS sample_id, p_size::VARCHAR AS chrom, l_partkey * 1000 + l_linenumber AS s, CASE WHEN l_quantity % 10 = 0 THEN l_partkey * 1000 + l_linenumber - 1 ELSE l_partkey * 1000 + l_linenumber + l_quantity::BIGINT END AS e, round((l_discount - l_tax) * 5, 4) AS log2_ratio, p_brand || ';' || p_type AS genes FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+
+
+@query(SEGMENT_SQL + f" SELECT sample_id, chrom, s AS \"start\", e AS \"end\", round(log2_ratio, 6) AS log2_ratio, genes, {CNV_CASE} AS event, CASE WHEN {CNV_CASE} = 'NEUTRAL' THEN 'Not detected' ELSE 'Detected' END AS status FROM g WHERE sample_id IS NOT NULL AND e >= s")
+def segments_read(spark, sf_dir):
+    """Segments of written copy-number files, read back by their headers, without those that break a rule."""
+    good, _ = QU.segments(spark, _written_segments(spark, sf_dir), new_folder(spark, "segments-parted"))
+    return rounded(good.select("sample_id", "chrom", "start", "end", "log2_ratio", "genes", "event", "status"))
+
+
+@query(SEGMENT_SQL + " SELECT 'copy number' AS module, 'missing sample' AS reason, count(*) AS rows, 0::BIGINT AS samples FROM g WHERE sample_id IS NULL HAVING count(*) > 0 UNION ALL SELECT 'copy number', 'bad end', count(*), count(DISTINCT sample_id) FROM g WHERE e < s HAVING count(*) > 0")
+def quarantined_segments(spark, sf_dir):
+    """Why rows of the same files are set apart: rows and samples of each reason."""
+    return rounded(QU.counts(QU.segments(spark, _written_segments(spark, sf_dir), new_folder(spark, "segments-parted"))[1]))
+
+
+def _written_variants(spark, sf_dir: str) -> str:
+    """A folder of variant files, one of a nation's customers each: header, sample and records of the order lines."""
+    line, orders, part, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "customer"))
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    gt = F.when(F.col("l_returnflag") == "R", "0/1").when(F.col("l_returnflag") == "A", "0/0").otherwise("./.")
+    depth = F.col("l_quantity").cast("bigint")
+    own = F.col("l_partkey") % depth
+    snv = F.col("l_linenumber") <= 2
+    cells = [F.col("p_size").cast("string"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).cast("string"), F.lit("."), F.when(snv, "A").otherwise("AC"), F.when(snv, "T").otherwise("A"), F.lit("."), F.when(F.col("l_linestatus") == "O", "PASS").otherwise("q10"), F.concat(F.lit("SOURCE=x;GENE="), F.col("p_type"))]
+    cells += [F.lit("GT:DP:AD"), F.concat_ws(":", gt, depth.cast("string"), F.concat_ws(",", (depth - own).cast("string"), own.cast("string")))]
+    records = rows.select(F.col("c_nationkey").alias("nation"), F.lit(1).alias("at"), F.concat_ws("\t", *cells).alias("value"))
+    head = F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS"), F.col("nation"))
+    nations = records.select("nation").distinct()
+    heads = nations.select("nation", F.lit(0).alias("at"), head.alias("value"))
+    path = new_folder(spark, "variants")
+    records.unionByName(heads).repartition("nation").sortWithinPartitions("nation", "at").drop("at").write.partitionBy("nation").text(path)
+    return path
+
+
+@query(
+    "SELECT 'S' || c_nationkey AS patient, p_size::VARCHAR AS chrom, l_partkey * 1000 + l_linenumber AS \"start\", CASE WHEN l_linenumber <= 2 THEN 'SNV' ELSE 'INDEL' END AS feature_type, CASE l_returnflag WHEN 'R' THEN 'Detected' WHEN 'A' THEN 'Not detected' ELSE 'Data unavailable' END AS status, l_quantity::BIGINT::DOUBLE AS depth, round((l_partkey % l_quantity::BIGINT) / l_quantity::BIGINT, 6) AS vaf, p_type AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON c_custkey = o_custkey WHERE l_linestatus = 'O'"
+)
+def variants_read(spark, sf_dir):
+    """Observations of written variant files, of records that pass: status by genotype, depth, allele's share, gene."""
+    rows = VC.read_observations(spark, _written_variants(spark, sf_dir), "case")
+    return rounded(rows.select("patient", "chrom", "start", "feature_type", "status", "depth", "vaf", "gene"))
+
+
+@query("SELECT l_returnflag AS part, count(*) AS written, count(*) AS stored FROM lineitem GROUP BY 1")
+def counted_tables(spark, sf_dir):
+    """Rows of tables as counted while they are written and as their footers have them, a table a return flag."""
+    line = table(spark, sf_dir, "lineitem")
+    flags = [r[0] for r in line.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
+    done = [(f, AU.write_counted(line.where(F.col("l_returnflag") == f), new_folder(spark, "counted"))) for f in flags]
+    return spark.createDataFrame([(f, w["rows"], AU.stored_rows(spark, w["path"])) for f, w in done], "part string, written bigint, stored bigint")

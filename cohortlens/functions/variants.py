@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 GAIN, LOSS = 0.25, -0.25
 
 
+# Reference builds and other names of each.
+BUILDS = {"GRCh38": ("hg38", "GRCh38.p14"), "GRCh37": ("hg19",)}
+
+
+def build_name(name: Column) -> Column:
+    """The build that a name stands for, NULL for any other; names are taken as they are written."""
+    return F.coalesce(*[F.when(name.isin(build, *others), F.lit(build)) for build, others in BUILDS.items()])
+
+
 def variant_key(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
     return F.concat_ws(":", chrom, pos, ref, alt)
 

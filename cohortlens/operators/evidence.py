@@ -89,7 +89,8 @@ def discover(results: DataFrame, annotations: DataFrame, functional: DataFrame,
     a, f = annotations.select(key).distinct().withColumn("annotated", F.lit(True)), functional.select(key).distinct().withColumn("functional", F.lit(True))
     out = results.join(a, key, "left").join(f, key, "left").fillna(False, ["annotated", "functional"])
     out = out.withColumn("score", discovery_score(F.col("frequency_difference"), F.col("q_value"), F.col("annotated"), F.col("functional")))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "p_value", key)))
+    # Equal scores and p values, which differ in their last bits only, go by key.
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), F.round("p_value", 12), key)))
 
 
 def with_normals(candidates: DataFrame, normals: DataFrame, key: str = "region") -> DataFrame:
@@ -184,3 +185,40 @@ def literature_records(queries: DataFrame, counts: DataFrame, sources: tuple[str
 
 def whitespace_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("candidate").agg(F.count("*").alias("n_records"), F.count("result_count").alias("n_available"), F.sum("result_count").alias("total_hits"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("intent")).alias("intents"))
+
+
+def with_background_sources(candidates: DataFrame, background: DataFrame, sources: tuple[str, ...], key: str = "region") -> DataFrame:
+    """candidates with background_sources: a struct of n, mean, maximum and status a source, unavailable where there is none.
+
+    Each region's sources become one row before the join, so a candidate meets one row whatever there is of it.
+    """
+    own = F.struct(F.col("n").cast("bigint").alias("n"), F.col("mean").cast("double").alias("mean"), F.col("maximum").cast("double").alias("maximum"), "status")
+    per = background.where(F.col("source").isin(*sources)).groupBy(F.col(key).alias("__key")).agg(*[F.max(F.when(F.col("source") == s, own)).alias(f"__{i}") for i, s in enumerate(sources)])
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("maximum"), F.lit(T.UNAVAILABLE).alias("status"))
+    all_sources = F.struct(*[F.coalesce(F.col(f"__{i}"), none).alias(s) for i, s in enumerate(sources)])
+    return candidates.join(per, F.col(key) == F.col("__key"), "left").withColumn("background_sources", all_sources).drop("__key", *[f"__{i}" for i in range(len(sources))])
+
+
+# The kinds of external evidence, the source of each, and the columns any of which makes it available.
+EXTERNAL = {
+    "functional": ("VEP/Ensembl", ("functional_evidence",)),
+    "population_identity": ("dbSNP", ("dbsnp_rsids", "dbsnp_ref_snp_id")),
+    "clinical": ("ClinVar", ("clinvar_accession", "clinvar_id")),
+    "cancer_specific": ("cancer-specific literature", ("cancer_evidence_score",)),
+    "cfDNA_specific": ("cfDNA literature / assay evidence", ("prior_cfdna_evidence",)),
+}
+
+
+def external_evidence(rows: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """(key, kind, source, available, detail): a row a candidate and kind of external evidence; detail is the value that makes it available.
+
+    A record of one kind is evidence of no other. Empty text, the word for unavailable, and columns that rows lack are
+    not available.
+    """
+
+    def detail(columns: tuple[str, ...]) -> Column:
+        texts = [F.col(c).cast("string") for c in columns if c in rows.columns]
+        return F.coalesce(*[F.when(~F.trim(t).isin("", T.UNAVAILABLE), t) for t in texts], F.lit(None).cast("string"))
+
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), detail(columns).isNotNull().alias("available"), detail(columns).alias("detail")) for kind, (source, columns) in EXTERNAL.items()]
+    return rows.select(key, F.inline(F.array(*kinds)))

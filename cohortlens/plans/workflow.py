@@ -14,7 +14,7 @@ from cohortlens.operators import cohort as C
 from cohortlens.operators import evidence as E
 from cohortlens.operators import panel as P
 from cohortlens.plans import contracts as K
-from cohortlens.sources import sinks, tables, vcf
+from cohortlens.sources import fasta, sinks, tables, vcf
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -72,7 +72,7 @@ def final_panel(ranked: DataFrame, matrix: DataFrame, k: int = P.MOST, min_gain:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cohortlens")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"cohort": ("cases", "controls", "output"), "segments": ("input", "output"), "maf": ("input", "output"), "features": ("input", "output"), "hashes": ("input", "output")}.items():
+    for name, args in {"cohort": ("cases", "controls", "output"), "segments": ("input", "output"), "maf": ("input", "output"), "features": ("input", "output"), "hashes": ("input", "output"), "normalize": ("input", "reference", "output")}.items():
         q = sub.add_parser(name)
         for a in args:
             q.add_argument(a)
@@ -94,6 +94,9 @@ def main(argv: list[str] | None = None) -> int:
         rows = tables.read_features(spark, a.input).withColumnRenamed("patient", "sample_id")
         rows = rows.withColumn("grp", F.col("group") if "group" in rows.columns else F.lit(None).cast("string"))
         sinks.write_parquet(C.exact_scan(rows, a.alpha), a.output)
+    elif a.command == "normalize":
+        report = vcf.normalize_batch(spark, a.input, fasta.read_fasta(spark, a.reference), f"{a.output}/files")
+        sinks.write_parquet(report, f"{a.output}/report")
     else:
         sinks.write_parquet(tables.file_hashes(spark, a.input), a.output)
     return 0

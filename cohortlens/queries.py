@@ -661,11 +661,37 @@ def primary_files(spark, sf_dir):
     return SEL.primary_files(o, ["F", "O"], ["x"]).select("case_id", "file_id")
 
 
-@query(EVIDENCE_SQL + " SELECT candidate_id, round(least(40.0, abs(recurrence) * 40) + CASE WHEN detectability IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN specificity IS NOT NULL THEN 15 ELSE 0 END, 6) AS score FROM s")
+@query(
+    f"WITH {OBS_SQL}{CARRIERS_SQL.format(feature='gene', depth=40)}{fisher_sql('t', 'feature', 'case_carriers', 'case_n - case_carriers', 'control_carriers', 'control_n - control_carriers')}, {RANKED_P.format(keys='feature')}, "
+    "q AS (SELECT feature, p, case_carriers / case_n - control_carriers / control_n AS d, min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS q FROM ranked), x AS (SELECT q.*, EXISTS (SELECT 1 FROM part WHERE p_brand = feature AND p_size > 45 AND p_type = 'ECONOMY') AS annotated, EXISTS (SELECT 1 FROM part WHERE p_brand = feature AND p_size = 1) AS functional FROM q), "
+    "w AS (SELECT feature, p, least(40.0, abs(d) * 40) + CASE WHEN q <= 0.05 THEN 30 WHEN q <= 0.1 THEN 15 ELSE 0 END + CASE WHEN annotated THEN 15 ELSE 0 END + CASE WHEN functional THEN 15 ELSE 0 END AS score FROM x) SELECT feature, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, round(p, 12), feature) AS rank FROM w"
+)
 def discovery_scores(spark, sf_dir):
-    """Discovery score of candidates with annotation and functional evidence."""
-    e = _evidence(spark, sf_dir)
-    return rounded(e.select("candidate_id", EV.discovery_score(F.col("recurrence"), F.lit(1.0), F.col("detectability").isNotNull(), F.col("specificity").isNotNull()).alias("score")))
+    """Genes scored and ranked by the difference of carriers, its q value, annotation and functional evidence."""
+    results = S.benjamini_hochberg(C.carrier_comparison(cohort(spark, sf_dir), _carriers(spark, sf_dir, "gene", 40)))
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "feature")
+    found = EV.discover(results, part.where("p_size > 45 and p_type = 'ECONOMY'").select("feature"), part.where("p_size = 1").select("feature"))
+    return rounded(found.select("feature", "score", "rank"))
+
+
+SOURCES_SQL = f"WITH {OBS_SQL}, long AS (SELECT gene AS region, 'healthy_plasma' AS source, CASE WHEN depth >= 45 THEN vaf END AS v FROM obs WHERE part % 7 < 3 UNION ALL SELECT gene, 'wbc', CASE WHEN depth < 5 THEN error_rate END FROM obs WHERE part % 7 < 3), b AS (SELECT region, source, count(v) AS n, avg(v) AS mean, max(v) AS maximum FROM long GROUP BY ALL), s AS (SELECT unnest(['healthy_plasma', 'wbc', 'pon']) AS source), c AS (SELECT p_partkey AS candidate, p_brand AS region FROM part)"
+
+
+@query(SOURCES_SQL + " SELECT candidate, c.region, s.source, coalesce(n, 0) AS n, round(mean, 6) AS mean, round(maximum, 6) AS maximum, CASE WHEN n > 0 THEN 'Available' ELSE 'Data unavailable' END AS status FROM c CROSS JOIN s LEFT JOIN b ON b.region = c.region AND b.source = s.source")
+def candidate_backgrounds(spark, sf_dir):
+    """Every candidate with what each background source has of its region."""
+    seen = observations(spark, sf_dir).where("part % 7 < 3").select(F.col("gene").alias("region"), F.when(F.col("depth") >= 45, F.col("vaf")).alias("blood_background"), F.when(F.col("depth") < 5, F.col("error_rate")).alias("wbc"))
+    sources = ("healthy_plasma", "wbc", "pon")
+    out = EV.with_background_sources(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate"), F.col("p_brand").alias("region")), C.background(seen, sources=sources[:2]), sources)
+    each = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"background_sources.{s}").alias("x")) for s in sources])
+    return rounded(out.select("candidate", "region", F.inline(each)).select("candidate", "region", "source", "x.*"))
+
+
+@query("SELECT p_partkey AS candidate_id, k AS kind, k IN ('clinical', 'population_identity') AND p_size % 3 = 0 OR k = 'cancer_specific' AND p_size > 10 AS available FROM part, (SELECT unnest(['functional', 'population_identity', 'clinical', 'cancer_specific', 'cfDNA_specific']) AS k)")
+def external_evidence(spark, sf_dir):
+    """Which kinds of external evidence each part has, of records that name others, are empty or say unavailable."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).alias("clinvar_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise("").alias("dbsnp_rsids"), F.when(F.col("p_size") > 10, F.col("p_retailprice").cast("string")).otherwise(T.UNAVAILABLE).alias("cancer_evidence_score"))
+    return EV.external_evidence(rows).select("candidate_id", "kind", "available")
 
 
 def _written_sequences(spark, sf_dir: str) -> str:

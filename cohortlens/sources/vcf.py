@@ -126,3 +126,34 @@ def subset_samples(spark: SparkSession, path: str, wanted: list[str]) -> DataFra
     places = list(range(9)) + [names.index(w) for w in wanted]
     cut = F.concat_ws("\t", *[F.get(F.split("line", "\t"), F.lit(i)) for i in places])
     return text.select("at", F.when(F.col("line").startswith("##"), F.col("line")).otherwise(cut).alias("line"))
+
+
+def normalize_batch(spark: SparkSession, paths: str | list[str], reference: DataFrame, output: str) -> DataFrame:
+    """Normalises many variant files in one job, each below output/name=<its name> in its own order; a row a file of what was done.
+
+    A record of several ALTs becomes a record each, trimmed and left-aligned against the reference (see fasta.normalize); of
+    equal ones in a file the first stays. A file's header lines come first, as they were, then its records by contig in
+    the order of the file's first record of each, by place and by line. Files are dealt by ranges of their lines, so a long
+    one is several tasks and parts. Report: file, records, expanded, written, mismatches, status (PASS, or CONDITIONAL with
+    mismatches or alleles that can't be placed).
+    """
+    from cohortlens.sources.fasta import normalize
+    from cohortlens.sources.sinks import staged
+
+    text = lines(spark, paths).where(F.trim("line") != "")
+    head = text.where(F.col("line").startswith("#")).select("file", F.lit(-1).cast("bigint").alias("block"), F.col("at.row").alias("row"), F.lit(0).cast("bigint").alias("pos"), "line")
+    data = fields(text).select("file", "at", "f", F.posexplode(F.split(F.col("f")[4], ",")).alias("nth", "alt"))
+    records = data.select("file", F.col("at.block").alias("block"), F.col("at.row").alias("row"), "nth", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), "alt", "f")
+    done = normalize(records, reference)
+    same = Window.partitionBy("file", "chrom", "pos", "ref", "alt").orderBy("block", "row", "nth")
+    done = staged(done.withColumn("first", F.row_number().over(same) == 1), "normalized")
+    report = done.groupBy("file").agg(F.count_if(F.col("nth") == 0).alias("records"), F.count("*").alias("expanded"), F.count_if("first").alias("written"), F.count_if(F.col("norm_status") == "REF_MISMATCH").alias("mismatches"), F.count_if(F.col("norm_status").isin("REF_MISMATCH", "NO_REFERENCE", "REPEAT")).alias("__odd"))
+    kept = done.where("first")
+    places = kept.groupBy(F.col("file").alias("__file"), F.col("chrom").alias("__chrom")).agg(F.min(F.struct("block", "row")).alias("__from"))
+    cells = F.array(F.col("f")[0], F.col("pos").cast("string"), F.col("f")[2], F.col("ref"), F.col("alt"))
+    line = F.concat_ws("\t", F.concat(cells, F.slice("f", 6, 1_000_000)))
+    body = kept.join(places, (F.col("file") == F.col("__file")) & (F.col("chrom") == F.col("__chrom"))).select("file", F.col("__from.block").alias("block"), F.col("__from.row").alias("row"), "pos", line.alias("line"), F.lit(1).alias("kind"))
+    out = head.withColumn("kind", F.lit(0)).unionByName(body).withColumn("name", F.regexp_extract("file", r"([^/]+)$", 1))
+    order = ["name", "file", "kind", "block", "row", "pos", "line"]  # the name first, or the writer sorts once more, by name only
+    out.repartitionByRange(*order).sortWithinPartitions(*order).select("name", "line").write.mode("overwrite").partitionBy("name").text(output)
+    return report.withColumn("status", F.when(F.col("__odd") > 0, "CONDITIONAL").otherwise("PASS")).drop("__odd")

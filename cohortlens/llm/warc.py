@@ -5,7 +5,8 @@ and checks framing, lengths and digests. After a failed check it searches for th
 member in its inflated bytes; later records are recovered and the bytes between are logged as a quarantined gap with its
 reason. A record that a search finds where the damaged one's stated length still runs, or away from a line's start, may
 be part of a payload and is marked suspect. Members are inflated as they are read, so memory is bounded by one record,
-and by MAX_RECORD whatever a header says.
+and by MAX_RECORD whatever a header says. The writer writes nothing that the reader would not take: what is beyond the
+bounds is an error of the job, and never a page that is missing.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK, PROBE = 1 << 16, 1 << 10
 ARCHIVE_BYTES = 256 << 20
-#: A record that states more is quarantined; headers are sought in so many bytes.
-MAX_RECORD, MAX_HEAD = 1 << 30, 1 << 20
+#: Bytes of a block and of headers, at most: the reader quarantines what states more, the writer refuses it.
+MAX_RECORD, MAX_HEAD = 1 << 30, 1 << 26
 _LENGTH = re.compile(r"[0-9]{1,18}")
 
 
@@ -42,7 +43,10 @@ def record(kind: str, record_id: str, uri: str, block: bytes, **headers: str) ->
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 2020-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", "Content-Type: application/http;msgtype=response"]
     lines += [f"{k.replace('_', '-')}: {v}" for k, v in headers.items()]
     lines += [f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+    head = "\r\n".join(lines).encode("utf-8", "surrogatepass")
+    if len(head) > MAX_HEAD or len(block) > MAX_RECORD:
+        raise ValueError(f"record {record_id} has {len(head)} bytes of headers and a block of {len(block)}: more than a reader takes")
+    return head + block + b"\r\n\r\n"
 
 
 def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -149,7 +153,7 @@ def _record(w: Window, room: int | None = None) -> tuple[dict[str, str], bytes,
     """Headers, block and size of the record that the window starts with; room: bytes that there are at most."""
     if not w.need(len(VERSION)) or w.take(0, len(VERSION)) != VERSION:
         raise Damaged("no version line")
-    end = w.find(b"\r\n\r\n", 0, MAX_HEAD)
+    end = w.find(b"\r\n\r\n", 0, MAX_HEAD + 4)
     if end < 0:
         raise Damaged(w.error or "headers without an end")
     headers, n = _headers(w.take(0, end))
@@ -397,7 +401,9 @@ def read_archives(listing: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    records = read_archives(write_archives(table(spark, sf_dir, "pages")), with_payload=False).where("reason is null")
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")), with_payload=False)
+    gap = F.raise_error(F.concat(F.lit("an archive of this job's own has a gap: "), F.col("reason"))).cast("boolean")
+    records = records.where(F.when(F.col("reason").isNotNull(), gap).otherwise(F.lit(True)))
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -131,3 +131,14 @@ def test_pages(spark):
     few = W.read_archives(W.write_archives(pages, revisit_min_bytes=5)).collect()
     assert {r.record_type for r in few} == {"response"}
     assert W.read_archives(W.write_archives(pages.limit(0))).count() == 0
+
+
+def test_long_heads_are_read_and_what_is_beyond_the_bounds_is_refused(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://" + "u" * (2 << 20), "text"), (2, "v", None)], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in W.op2(spark, str(tmp_path)).collect()) == [1, 2]
+    monkeypatch.setattr(W, "MAX_RECORD", 1000)
+    assert W.page_record(1, "u", b"x" * 900, None)
+    for url, payload in (("u", b"x" * 1000), ("u" * (W.MAX_HEAD + 1), b"")):
+        with pytest.raises(ValueError, match="more than a reader takes"):
+            W.page_record(1, url, payload, None)

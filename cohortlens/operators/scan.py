@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import stats as S
@@ -12,6 +14,8 @@ from cohortlens.sources.sinks import staged
 
 # The resolutions of the scan.
 LEVELS, RATES = (5_000_000, 1_000_000, 100_000, 10_000, 1_000), (1_000_000, 100_000, 10_000, 1_000, 100)
+#: The sweep cuts intervals at blocks of about so many of the least bins.
+BLOCK = 100_000
 
 
 def with_bins(df: DataFrame, size: int, name: str = "bin", start: str = "start", end: str = "end") -> DataFrame:
@@ -19,26 +23,89 @@ def with_bins(df: DataFrame, size: int, name: str = "bin", start: str = "start",
     return df.withColumn(name, F.explode(F.expr(f"sequence(({start} - 1) div {size}, ({end} - 1) div {size})")))
 
 
-def interval_join(a: DataFrame, b: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Pairs of overlapping closed intervals with equal keys: an equality join on bins with the overlap as a residual.
+#: Each level's bins of an interval join are 2 ** STEP times as wide as those of the level below.
+STEP = 3
+
+
+def _levelled(df: DataFrame, keys: tuple[str, ...], size: int, side: str) -> DataFrame:
+    """df with its columns prefixed by the side, __own: the first level whose bins are wider than the interval."""
+    df = df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys]).where(f"{side}_start <= {side}_end")
+    bits = f"if({side}_end - {side}_start < {size}, 0, length(bin(({side}_end - {side}_start) div {size})))"
+    return df.withColumn("__own", F.expr(f"cast(({bits} + {STEP - 1}) div {STEP} as int)"))
+
 
-    A pair that shares several bins comes once, from the bin of the later start. size is about a typical interval's
-    length: far smaller ones repeat rows, far larger ones compare too many.
+def _at_levels(df: DataFrame, levels: Column, size: int, side: str) -> DataFrame:
+    """A row a level and bin there that the interval covers, at most two a level of its own or above."""
+    rows = df.withColumn("__level", F.explode(levels)).withColumn("__width", F.expr(f"shiftleft({size}L, {STEP} * __level)"))
+    return rows.withColumn("__bin", F.explode(F.expr(f"sequence(({side}_start - 1) div __width, ({side}_end - 1) div __width)")))
+
+
+def interval_join(a: DataFrame, b: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Pairs of overlapping closed intervals with equal keys: equality joins on bins with the overlap as a residual.
+
+    Bins have levels, of size, 2 ** STEP times size and so on. A pair meets at the level of its longer interval, where either
+    covers two bins at most, so rows that are shuffled grow with intervals and levels and never with lengths: the longer
+    one is there once, and the shorter ones come up to the levels that the other side has, whose highest a small job finds
+    first. A pair that shares two bins
+    comes once, from the bin of the later start. size is about the least intervals' length. Null starts, ends or keys
+    and ends before starts have no pairs.
+    """
+    x, y = _levelled(a, keys, size, "a"), _levelled(b, keys, size, "b")
+    on = [*keys, "__level", "__bin"]
+    tops = x.select(F.lit("a").alias("side"), "__own").unionByName(y.select(F.lit("b").alias("side"), "__own")).groupBy("side").agg(F.max("__own"))
+    top = {"a": 0, "b": 0} | {r[0]: r[1] for r in tops.collect()}
+    pairs = None
+    for long, short, l, s, first in ((x, y, "a", "b", 0), (y, x, "b", "a", 1)):  # noqa: E741
+        if first > top[l]:
+            continue  # intervals of one level met in the first join
+        low = F.col("__own") + first
+        up = _at_levels(short, F.when(low <= top[l], F.sequence(low, F.lit(top[l]))), size, s).drop("__own", "__width")
+        own = _at_levels(long, F.array("__own"), size, l).drop("__own")
+        met = own.join(up, on).where("a_start <= b_end and b_start <= a_end and __bin = (greatest(a_start, b_start) - 1) div __width")
+        met = met.select(*keys, *[c for c in x.columns if c.startswith("a_")], *[c for c in y.columns if c.startswith("b_")])
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
+
+
+def rate_runs(rows: DataFrame, sizes: tuple[int, ...] = RATES) -> DataFrame:
+    """rows (sample_id, chrom, start, end, feature_type, status) -> runs of bins [first, last] with equal counts, of each size.
+
+    A sweep: an interval is +1 at its first bin and -1 after its last one, so what is shuffled grows with intervals and not
+    with their lengths. Intervals are cut at blocks of whole bins of all sizes, which spreads a patient or place with very
+    many; equal ones of a patient are counted before the shuffle. Within a patient's block, in order of starts, only what
+    lies beyond the earlier ones' greatest end is new, at all sizes alike: that is where the patient is counted. Events of
+    all patients are summed by place, and running sums within a block, over no more rows than it has bins, are the counts.
+
+    A null patient counts as rows only; rows without a start, or with one below 0, have no bins; an end before the start,
+    or none, is the start's bin. Bins that no row covers are in no run.
     """
-    x = with_bins(a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys]), size, "__bin", "a_start", "a_end")
-    y = with_bins(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]), size, "__bin", "b_start", "b_end")
-    out = x.join(y, [*keys, "__bin"]).where("a_start <= b_end and b_start <= a_end")
-    return out.where(f"__bin = (greatest(a_start, b_start) - 1) div {size}").drop("__bin")
+    block, at = math.lcm(*sizes) * max(1, BLOCK * min(sizes) // math.lcm(*sizes)), ["chrom", "feature_type", "block"]
+    long = rows.where("start >= 0").select("sample_id", "chrom", "feature_type", F.col("start").cast("bigint").alias("lo"), F.expr("greatest(start, end - 1)").cast("bigint").alias("hi"), T.observed(F.col("status")).alias("v"))
+    cut = long.withColumn("block", F.explode(F.expr(f"sequence(lo div {block}L, hi div {block}L)")))
+    cut = cut.select("sample_id", *at, F.greatest("lo", F.col("block") * block).alias("lo"), F.least("hi", F.col("block") * block + (block - 1)).alias("hi"), "v")
+    own = cut.groupBy("sample_id", *at, "lo", "hi").agg(F.count("*").alias("n"), F.count_if(F.col("v") == 1).alias("d"))
+    before = Window.partitionBy("sample_id", *at).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("seen", F.max("hi").over(before))
+    ends = [F.expr(f"named_struct('resolution', {s}L, 'first', lo div {s}, 'after', hi div {s} + 1, 'new', greatest(lo div {s}, coalesce(seen div {s} + 1, 0L)))") for s in sizes]
+    sized = own.select("sample_id", *at, "n", "d", F.explode(F.array(*ends)).alias("x")).select("sample_id", *at, "n", "d", "x.*")
+    sized = sized.withColumn("p", (F.col("sample_id").isNotNull() & (F.col("new") < F.col("after"))).cast("bigint"))
+    event = lambda place, n, d, p: F.struct(F.col(place).alias("first"), n.alias("n"), d.alias("d"), p.alias("p"))
+    n, d, p, zero = F.col("n"), F.col("d"), F.col("p"), F.lit(0).cast("bigint")
+    both = F.array(event("first", n, d, F.when(F.col("new") == F.col("first"), p).otherwise(zero)), event("after", -n, -d, -p))
+    later = F.array(event("new", zero, zero, p))
+    events = sized.select("resolution", *at, F.explode(F.when((F.col("new") > F.col("first")) & (p > 0), F.concat(both, later)).otherwise(both)).alias("e"))
+    places = events.groupBy("resolution", *at, "e.first").agg(*[F.sum(f"e.{c}").alias(c) for c in "ndp"])
+    w = Window.partitionBy("resolution", *at).orderBy("first")
+    sums = [F.sum(c).over(w).alias(name) for c, name in (("p", "patients"), ("n", "total"), ("d", "detected"))]
+    return places.select("resolution", "chrom", "feature_type", "first", (F.lead("first").over(w) - 1).alias("last"), *sums).where("total > 0")
 
 
 def multiresolution_rates(rows: DataFrame, sizes: tuple[int, ...] = RATES) -> DataFrame:
-    """rows (sample_id, chrom, start, end, feature_type, status) -> patients, rows, detected and rate of each resolution, bin and type.
+    """rate_runs as a row a bin, with the detection rate. Bins count from 0 at `start div size`.
 
-    One pass: a row is dealt to its bins of all sizes before one aggregation. Bins count from 0 at `start div size`.
+    Runs are opened after all shuffles; only here do rows grow with lengths.
     """
-    bins = [F.expr(f"transform(sequence(start div {s}, greatest(start div {s}, (end - 1) div {s})), b -> named_struct('resolution', {s}L, 'bin', b))") for s in sizes]
-    long = rows.select("sample_id", "chrom", "feature_type", T.observed(F.col("status")).alias("v"), F.explode(F.concat(*bins)).alias("x")).select("*", "x.*")
-    out = long.groupBy("resolution", "chrom", "bin", "feature_type").agg(F.count_distinct("sample_id").alias("patients"), F.count("*").alias("total"), F.count_if(F.col("v") == 1).alias("detected"))
+    out = rate_runs(rows, sizes).select("resolution", "chrom", F.explode(F.sequence("first", "last")).alias("bin"), "feature_type", "patients", "total", "detected")
     return out.withColumn("detection_rate", F.col("detected") / F.col("total"))
 
 

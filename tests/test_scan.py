@@ -87,3 +87,52 @@ def test_features_command(spark, tmp_path):
     got = {r.feature_type: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (got["SNV"].case_detected, got["SNV"].case_observed, got["SNV"].control_detected, got["SNV"].control_observed) == (4, 5, 0, 5)
     assert got["MITOCHONDRIAL"].effect == pytest.approx(0.5) and got["MITOCHONDRIAL"].p_value == pytest.approx(2 / math.comb(10, 5))
+
+
+def test_rates_of_long_intervals_against_loops(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        start = rng.randrange(0, 3000)
+        end = rng.choice([start, start - 5, start + rng.randrange(1, 40), start + rng.randrange(1000, 40000), None])
+        rows.append((rng.choice(["a", "b", "c", None]), rng.choice(["1", "2", None]), rng.choice([start, start, start, None]), end, rng.choice(["SNV", "CNV", None]), rng.choice(["Detected", "Not detected", "Data unavailable", None])))
+    rows += rows[:50]
+    sizes = (1000, 100, 7)
+    want = {}
+    for patient, chrom, start, end, kind, status in rows:
+        if start is not None:
+            for size in sizes:
+                for b in range(start // size, max(start // size, (end - 1) // size if end is not None and end > 0 else 0) + 1):
+                    seen = want.setdefault((size, chrom, b, kind), [set(), 0, 0])
+                    seen[0] |= {patient} - {None}
+                    seen[1] += 1
+                    seen[2] += status == "Detected"
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, start bigint, end bigint, feature_type string, status string")
+    got = {(r.resolution, r.chrom, r.bin, r.feature_type): [r.patients, r.total, r.detected] for r in SC.multiresolution_rates(df, sizes).collect()}
+    assert got == {k: [len(p), n, d] for k, (p, n, d) in want.items()}
+    assert SC.multiresolution_rates(df.limit(0), sizes).count() == 0
+
+
+def test_long_intervals_cost_few_rows(spark):
+    rows = [(f"p{i % 7}", "1", 1, 100_000_000 + i, "CNV", "Detected") for i in range(500)]
+    df = spark.createDataFrame(rows, "sample_id string, chrom string, start bigint, end bigint, feature_type string, status string")
+    runs = SC.rate_runs(df, (100,)).collect()
+    assert len(runs) == 10 + 5  # blocks, and last bins
+    assert all(r.patients == 7 and r.total == 500 for r in runs if r.first < 1_000_000)
+    assert sum(r["last"] - r.first + 1 for r in runs) == 1_000_005
+
+
+def test_joined_intervals_of_all_lengths(spark):
+    rng = random.Random(9)
+
+    def some(n):
+        out = [(rng.choice(["1", "2", None]), s, s + rng.choice([0, 3, 70, 600, 5_000, 90_000, 10**9, -4]), i) for i in range(n) for s in [rng.randrange(1, 200_000)]]
+        return [*out, ("1", None, 5, -1), ("1", 5, None, -2)]
+
+    a, b = some(150), some(120)
+    schema = "chrom string, start bigint, end bigint, id int"
+    got = sorted((r.a_id, r.b_id) for r in SC.interval_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 16).collect())
+    whole = lambda x: None not in x and x[1] <= x[2]
+    assert got == sorted((x[3], y[3]) for x in a for y in b if whole(x) and whole(y) and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    empty = spark.createDataFrame([], schema)
+    assert SC.interval_join(empty, spark.createDataFrame(b, schema), 16).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions import status as T
+
 
 def binary_metrics(df: DataFrame, threshold: float, score: str = "score", label: str = "label", empty: float | None = None) -> DataFrame:
     """One row of counts and rates at score >= threshold; empty denominators give `empty`."""
@@ -55,6 +57,32 @@ def best_threshold(df: DataFrame, score: str = "score", label: str = "label", ob
     return c.select(t.alias("threshold"), value.alias("value")).where("value is not null").orderBy(F.round("value", 12).desc(), "threshold").limit(1)
 
 
+def frozen_evaluation(df: DataFrame, patient: str = "patient_id", split: str = "split", score: str = "score", label: str = "label", objective: str = "f1") -> DataFrame:
+    """A row a held-out split, validation and test: status, leaked, threshold, its value, and rates at the threshold that discovery rows fit.
+
+    Only rows of the split `discovery` reach the fit, as a filter of the plan. Patients of more than one split are counted in the
+    same plan: if there are any, both rows have status FAIL and neither a threshold nor rates. A split without rows that have
+    a score and a label, or discovery rows that fit no threshold, are "Data unavailable", with NULLs. Rows without a
+    patient can't leak; rows of other splits, or none, count as neither.
+    """
+    known = df.where(F.col(split).isin("discovery", "validation", "test"))
+    leaked = known.where(F.col(patient).isNotNull()).groupBy(patient).agg(F.min(split).alias("a"), F.max(split).alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("leaked"))
+    fitted = best_threshold(known.where(F.col(split) == "discovery"), score, label, objective)
+    at = df.sparkSession.range(1).select(leaked.scalar().alias("leaked"), fitted.select("threshold").scalar().alias("threshold"), fitted.select("value").scalar().alias("fit_value"))
+    hit, pos = F.col(score) >= fitted.select("threshold").scalar(), F.col(label) == 1
+    seen = known.where((F.col(split) != "discovery") & F.col(score).isNotNull() & F.col(label).isNotNull())
+    n = seen.groupBy(F.col(split).alias("split")).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
+    out = at.withColumn("split", F.explode(F.array(F.lit("validation"), F.lit("test")))).join(n, "split", "left")
+    status = F.when(F.col("leaked") > 0, "FAIL").when(F.col("threshold").isNull() | F.col("tp").isNull(), T.UNAVAILABLE).otherwise("Available")
+    out = out.withColumn("status", status)
+    shown = lambda c: F.when(F.col("status") == "Available", c)
+    rate = lambda a, b: shown(F.try_divide(a, F.nullif(b, F.lit(0))))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    rates = {"sensitivity": rate(tp, tp + fn), "specificity": rate(tn, tn + fp), "precision": rate(tp, tp + fp), "accuracy": rate(tp + tn, tp + tn + fp + fn), "f1": rate(2 * tp, 2 * tp + fp + fn)}
+    fit = [F.when(F.col("leaked") == 0, F.col(c)).alias(c) for c in ("threshold", "fit_value")]
+    return out.select("split", "status", "leaked", *fit, *[shown(F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")], *[c.alias(k) for k, c in rates.items()])
+
+
 def duplicated_ids(df: DataFrame, key: str = "patient_id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 

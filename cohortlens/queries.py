@@ -461,6 +461,23 @@ def best_threshold(spark, sf_dir):
     return rounded(E.best_threshold(_predictions(spark, sf_dir)))
 
 
+FROZEN_SQL = """, q AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'test' WHEN id % 5 = 1 THEN 'validation' ELSE 'discovery' END AS split FROM p),
+s AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM q WHERE split = 'discovery' GROUP BY score),
+w AS (SELECT coalesce((lag(score) OVER (ORDER BY score) + score) / 2, score) AS th, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS n FROM s),
+f AS (SELECT th, 2 * tp / (tp + fp + n) AS v FROM w ORDER BY round(2 * tp / (tp + fp + n), 12) DESC, th LIMIT 1),
+c AS (SELECT split, count(*) FILTER (score >= th AND label = 1) AS tp, count(*) FILTER (score >= th AND label = 0) AS fp, count(*) FILTER (score < th AND label = 1) AS fn, count(*) FILTER (score < th AND label = 0) AS tn FROM q, f WHERE split <> 'discovery' GROUP BY split)
+SELECT split, 'Available' AS status, (SELECT count(*) FROM (SELECT id FROM q GROUP BY id HAVING count(DISTINCT split) > 1)) AS leaked, round(th, 6) AS threshold, round(v, 6) AS fit_value, tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity,
+round(tp / nullif(tp + fp, 0), 6) AS precision, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c, f"""
+
+
+@query(PRED_SQL + FROZEN_SQL)
+def frozen_evaluation(spark, sf_dir):
+    """Held-out metrics at the threshold that the discovery rows fit, with the leakage between the splits."""
+    fifth = F.col("id") % 5
+    split = F.when(fifth == 0, "test").when(fifth == 1, "validation").otherwise("discovery")
+    return rounded(E.frozen_evaluation(_predictions(spark, sf_dir).withColumn("split", split), patient="id"))
+
+
 @query("WITH c AS (SELECT c_custkey AS patient_id, c_mktsegment AS stratum FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || patient_id), patient_id) AS i, count(*) OVER (PARTITION BY stratum) AS n FROM c) SELECT patient_id, stratum, CASE WHEN i <= floor(n * 0.2) THEN 'test' WHEN i <= floor(n * 0.2) + floor(n * 0.2) THEN 'validation' ELSE 'discovery' END AS split FROM r")
 def stratified_split(spark, sf_dir):
     """Patients in test, validation and discovery, by strata."""

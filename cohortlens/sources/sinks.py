@@ -6,12 +6,12 @@ import html
 import json
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import status as T
+from cohortlens.sources.files import read_text, write_text
 
 VCF_HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
 
@@ -59,27 +59,26 @@ def write_report(path: str, title: str, summary: dict, df: DataFrame, columns: l
     """An HTML report of a summary and the first n rows."""
     rows = top_rows(df, n, *order).select(*columns).collect()
     items = "".join(f"<li>{html.escape(str(k))}: {html.escape(str(v))}</li>" for k, v in summary.items())
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{items}</ul>{html_table(rows, columns)}</body></html>")
+    write_text(df.sparkSession, path, f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><ul>{items}</ul>{html_table(rows, columns)}</body></html>")
 
 
 def append_section(path: str, title: str, summary: dict) -> None:
     """Puts a section at the end of a report's body."""
-    text = Path(path).read_text()
+    spark = SparkSession.active()
+    text = read_text(spark, path)
     items = "".join(f"<li>{html.escape(str(k))}: {html.escape(str(v))}</li>" for k, v in summary.items())
     section = f"<h2>{html.escape(title)}</h2><ul>{items}</ul>"
     at = text.rfind("</body>")
-    Path(path).write_text(text + section if at < 0 else text[:at] + section + text[at:])
+    write_text(spark, path, text + section if at < 0 else text[:at] + section + text[at:])
 
 
 def write_json(path: str, document) -> str:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(document, indent=2, sort_keys=True, default=str))
-    return path
+    """Through the file system that the path names, or Spark's default one, as tables are."""
+    return write_text(SparkSession.active(), path, json.dumps(document, indent=2, sort_keys=True, default=str))
 
 
 def read_json(path: str):
-    return json.loads(Path(path).read_text())
+    return json.loads(read_text(SparkSession.active(), path))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

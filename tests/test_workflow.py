@@ -54,6 +54,18 @@ def test_evaluation(spark):
     assert C.three_way_leakage(split, "id").count() == 0 and split.count() == 100
 
 
+def test_frozen_threshold(spark):
+    schema = "patient_id string, split string, score double, label int, tp int"
+    rows = [(f"d{i}", "discovery", i / 10, int(i > 4), 0) for i in range(10)] + [(None, "validation", 0.5, 1, 0), ("v1", "validation", 0.4, 0, 0), ("v2", "validation", 0.9, 0, 0), ("v3", "validation", None, 1, 0), ("o", "other", 0.9, 1, 0), ("d1", None, 0.9, 1, 0)]
+    got = {r.split: r for r in E.frozen_evaluation(spark.createDataFrame(rows, schema)).collect()}
+    v, t = got["validation"], got["test"]
+    assert (v.status, v.leaked, v.threshold, v.fit_value) == ("Available", 0, pytest.approx(0.45), 1.0) and (v.tp, v.fp, v.fn, v.tn, v.precision, v.sensitivity) == (1, 1, 0, 1, 0.5, 1.0)
+    assert t.status == "Data unavailable" and t.tp is None and t.f1 is None and t.threshold == v.threshold
+    got = E.frozen_evaluation(spark.createDataFrame([*rows, ("d3", "test", 0.1, 0, 0)], schema)).collect()
+    assert all((r.status, r.leaked, r.threshold, r.tp, r.accuracy) == ("FAIL", 1, None, None, None) for r in got) and len(got) == 2
+    assert [r.status for r in E.frozen_evaluation(spark.createDataFrame([], schema)).collect()] == ["Data unavailable"] * 2
+
+
 def test_resampling(spark):
     import numpy as np
 

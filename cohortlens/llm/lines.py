@@ -9,12 +9,13 @@ line only the least hashes, AHEAD a place on average, go on to the aggregate, as
 characters are as alike in bytes, and in ASCII the two are the same. Bands only propose: every link is an exact Jaccard of the two lines' character shingles.
 Linked lines are joined by distributed union-find, and of each component the first line stays.
 
-Scale. Only bands that two different lines share are kept. Each line meets two lines of its band, chosen by a hash that
-tasks find before they shuffle, so a band that holds a third of all lines costs two rows a line. A band whose lines are
-one component then is left; the lines of the others are dealt again by finer keys (longer runs of more minima, of another
-hash a level). There, bands of up to `small` lines pair all their lines of different components. In larger ones each line
-meets two of the band again, other ones in each of its many bands, at the last level as well: all pairs of a large band
-of lines that are nearly, but not quite, alike would grow with its square.
+Scale. Only bands that two different lines share are kept. Each line first meets two lines of its band, chosen by a hash
+that tasks find before they shuffle, so a band that holds a third of all lines costs two rows a line, and most bands are
+one component then. In the others every line outside the band's largest component meets every line of the band that is
+in another component, so each two lines of a band are compared or linked already, however large it is. Those pairs are
+no rows: the join's condition compares sketches, the parities of a line's shingles in SKETCH * 64 bits. In as many bits
+as sketches differ, sets differ at least, so none that is alike enough is passed over; what it lets through has its exact
+Jaccard. Large bands are dealt in blocks of lines that meet each other, so no band is one task.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from cohortlens.llm.base import free_names, named, table, written
 from cohortlens.llm.components import connected_components
 
 WINDOW, SIMILARITY = 8, 0.8
-#: Minima that follow each other in a key, and minima of a line, by level: a pair at 0.8 shares a key in about 98 % of cases.
-RUNS = ((3, 12), (4, 20), (6, 40), (10, 90))
+#: Minima that follow each other in a key, and minima of a line: a pair at 0.8 shares a key in about 98 % of cases.
+RUN, MINIMA = 3, 12
 #: Hashes of a line that are looked at for each minimum, on average; a place has none of them in 2 % of cases.
 AHEAD = 4
+#: Words of 64 bits of a line's sketch, and lines of a block of a large band. Joined rows of over 100 columns leave
+#: whole-stage code, in which a condition on that many words would be one method, too long to be compiled.
+SKETCH, BLOCK = 48, 4096
 
 
 def _normal(line: Column) -> Column:
@@ -52,17 +56,10 @@ def windows(line: Column) -> Column:
     return _hashes(F.encode(line, "UTF-16BE"), 2, 2 * WINDOW)
 
 
-def _with_minima(rows: DataFrame, hashes: Column, k: int) -> DataFrame:
-    """rows and m, the k least of hashes. Repeats are taken out of the least 4 k first, and out of all only where too few are left."""
-    own = rows.columns
-    least = rows.select(*own, F.sort_array(hashes).alias("s")).select(*own, "s", F.array_distinct(F.slice("s", 1, 4 * k)).alias("d"))
-    return least.select(*own, F.slice(F.when((F.size("d") < k) & (F.size("s") > 4 * k), F.array_distinct("s")).otherwise(F.col("d")), 1, k).alias("m"))
-
-
-def _bands(minima: Column, run: int, level: int) -> Column:
+def _bands(minima: Column, run: int) -> Column:
     """The keys of each `run` neighbouring minima; fewer minima have one key."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(minima) - (run - 1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(minima, i, F.lit(run)), F.lit(level)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(minima, i, F.lit(run)), F.lit(0)))
 
 
 def _lines(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
@@ -76,7 +73,7 @@ def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
 
     Lines of under WINDOW bytes are one shingle, which no other line has, and aren't there.
     """
-    run, k = RUNS[0]
+    run, k = RUN, MINIMA
     data = F.col("t").cast("binary")
     lines = _lines(docs, text_col).where(F.octet_length("t") >= WINDOW).select("line", data.alias("data"), (F.octet_length(data) - (WINDOW - 1)).alias("n"))
     most = AHEAD * k
@@ -87,59 +84,86 @@ def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
     minima = dealt.groupBy("line").agg(*[F.min(F.when(F.col("place") == x, F.col("h"))).alias(f"m{x}") for x in range(k)])
     ms = [F.col(f"m{x}") for x in range(k)]
     full = F.array(*[F.xxhash64(*ms[x : x + run], F.lit(0)) for x in range(k - run + 1)])  # what _bands gives, as generated code
-    some = _once(F.array_compact(F.array(*ms)), lambda m: _bands(m, run, 0))
+    some = _once(F.array_compact(F.array(*ms)), lambda m: _bands(m, run))
     return minima.select("line", F.when(sum(F.isnull(m).cast("int") for m in ms) == 0, full).otherwise(some).alias("keys"))
 
 
-def candidate_pairs(keyed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """keyed (band, line, c), c the line's component -> distinct pairs (a, b), a < b, that bands propose, and the lines
-    that stand in bands too large to be paired, of more than one component. Rows may repeat."""
+def shared_bands(keyed: DataFrame) -> DataFrame:
+    """keyed (band, line) -> (band, line, p0, p1), of bands that different lines share, p0 and p1 being two lines of it."""
     mixed = F.col("line").bitwiseXOR(F.col("band"))
     ends = keyed.groupBy("band").agg(F.min(mixed).alias("p0"), F.max(mixed).alias("p1")).where("p0 <> p1")
     ends = written(ends.select("band", *[F.col(p).bitwiseXOR(F.col("band")).alias(p) for p in ("p0", "p1")]), "line-bands")
-    some = written(keyed.join(ends.select("band"), "band").distinct(), "line-band-members")
-    sizes = some.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    sizes = written(sizes.select("band", "size").join(ends, "band"), "line-band-sizes")
-    more = written(some.join(sizes.where("size > 2"), "band"), "line-band-rest")
-    large = more.where(F.col("size") > small)
+    return written(keyed.join(ends, "band"), "line-band-members")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each line and the two lines of each of its bands."""
+    pairs = members.select("line", F.explode(F.array("p0", "p1")).alias("other")).where("line <> other")
+    return pairs.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+
+
+def mixed_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, line, c, main, size, most): the lines of bands of several components, each with its component c, the band's
+    largest one, and the lines of the band and of that. In bands of up to 3 lines all pairs are first pairs."""
+    own = members.select("band", "line").join(labels, "line", "left").select("band", "line", F.coalesce("component", "line").alias("c"))
+    own = written(own, "line-band-components")
+    largest = own.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("m"))
+    largest = largest.where("size > 3 and size > m.k").select("band", F.col("m.c").alias("main"), "size", F.col("m.k").alias("most"))
+    return written(own.join(largest, "band"), "line-bands-mixed")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(line, n, s0, s1, ...) of texts (line, t, n): word i's bit j is the parity of the shingles whose hash falls there."""
+    sets = texts.select("line", "n", F.explode(F.array_distinct(windows(F.col("t")))).alias("h"))
+    at = sets.select("line", "n", F.pmod(F.col("h"), F.lit(SKETCH)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
+    each = at.groupBy("line", "n", "w").agg(F.bit_xor("bit").alias("s"))
+    return each.groupBy("line", "n").agg(*[F.coalesce(F.max(F.when(F.col("w") == i, F.col("s"))), F.lit(0).cast("bigint")).alias(f"s{i}") for i in range(SKETCH)])
+
+
+def other_pairs(mixed: DataFrame, sketched: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of lines of one band and different components, without those whose sketches show
+    that they are not alike. A band's lines stand in blocks, and its blocks meet in twos."""
+    parts = {"i": F.ceil((F.col("size") - F.col("most")) / block).cast("int"), "j": F.ceil(F.col("size") / block).cast("int")}
+
+    def side(rows: DataFrame, own: str, other: str, names: dict) -> DataFrame:
+        dealt = rows.withColumn(own, F.pmod(F.xxhash64("line", F.lit(3)), parts[own]).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), parts[other] - 1)))
+        return dealt.join(sketched, "line").select("band", "i", "j", *[F.col(c).alias(names.get(c, f"{c}_b")) for c in ("line", "c", "n", *words)], *(["main"] if names else []))
 
-    some = more.where((F.col("size") > 3) & (F.col("size") <= small))
-    every = some.join(some.select("band", F.col("line").alias("other"), F.col("c").alias("d")), "band").where("line < other and c <> d").select("line", "other")
-    pairs = sizes.where("size = 2").select(F.col("p0").alias("line"), F.col("p1").alias("other"))
-    pairs = pairs.unionByName(more.select("line", F.explode(F.array("p0", "p1")).alias("other"))).unionByName(every)
-    pairs = pairs.where("line <> other").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
-    return pairs, large.select("line").distinct()
+    words = [f"s{i}" for i in range(SKETCH)]
+    a = side(mixed.where("c <> main"), "i", "j", {c: f"{c}_a" for c in ("line", "c", "n", *words)})
+    b = side(mixed, "j", "i", {})
+    n = F.col("n_a") + F.col("n_b")
+    apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("line_a") < F.col("line_b")))
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    on = (a["band"] == b["band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & apart & sized & (differ * (1 + similarity) <= (1 - similarity) * n + 1e-6)
+    return a.join(b, on).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
 def _texts(docs: DataFrame, text_col: str, lines: DataFrame) -> DataFrame:
     """(line, t, n) of lines (line), n the number of its shingles; different lines of one hash have none."""
-    found = _lines(docs, text_col).select("line", "line2", "t").join(lines, "line", "left_semi")
+    found = _lines(docs, text_col).select("line", "line2", "t").join(lines.hint("shuffle_hash"), "line", "left_semi")
     one = found.groupBy("line").agg(F.min("t").alias("t"), F.min("line2").alias("x"), F.max("line2").alias("y")).where("x = y")
     return written(one.select("line", "t", F.size(F.array_distinct(windows(F.col("t")))).alias("n")), "line-texts", compression="zstd")
 
 
-def links_of(docs: DataFrame, text_col: str, similarity: float, small: int) -> DataFrame:
-    """Links (a, b) between the lines of docs, of which each is exact; see the module's text for large bands."""
-    keyed = written(line_keys(docs, text_col), "line-signatures").select(F.explode("keys").alias("band"), "line", F.col("line").alias("c"))
-    pairs, large = candidate_pairs(keyed, 3)
-    pairs, large = written(pairs, "line-pairs"), written(large, "lines-large")
-    texts = _texts(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("line")).unionByName(large).distinct())
-    links, tested = written(similar(pairs, texts, similarity), "line-links"), pairs
-    for level, (run, minima) in enumerate(RUNS[1:], 1):
-        if large.isEmpty():
-            break
-        labels = connected_components(links).select(F.col("id").alias("line"), F.col("component"))
-        rows = texts.join(large, "line", "left_semi").join(labels, "line", "left")
-        hashes = F.transform(_hashes(F.col("t").cast("binary"), 1, WINDOW), lambda h: F.xxhash64(h, F.lit(level)))  # noqa: B023
-        rows = _with_minima(rows.select("line", "t", F.coalesce("component", "line").alias("c")), hashes, minima)
-        keyed = written(rows.select(F.explode(_bands(F.col("m"), run, level)).alias("band"), "line", "c"), "line-keys")
-        pairs, large = candidate_pairs(keyed, small)
-        ends = (labels.select(F.col("line").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        apart = pairs.join(next(ends), "a", "left").join(next(ends), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = written(apart.join(tested, ["a", "b"], "left_anti"), "line-pairs")
-        links = written(links.unionByName(similar(pairs, texts, similarity)), "line-links")
-        large, tested = written(large, "lines-large"), tested.unionByName(pairs)
-    return links
+def line_components(docs: DataFrame, text_col: str, similarity: float, block: int) -> DataFrame:
+    """(line, component) of the lines of docs that are linked to others: all links between lines that share a band count."""
+    keyed = written(line_keys(docs, text_col), "line-signatures").select(F.explode("keys").alias("band"), "line")
+    members = shared_bands(keyed)
+    pairs = written(first_pairs(members), "line-pairs")
+    texts = _texts(docs, text_col, members.select("line").distinct())
+    labels = connected_components(written(similar(pairs, texts, similarity), "line-links")).select(F.col("id").alias("line"), "component")
+    mixed = mixed_bands(members, labels)
+    sketched = written(sketches(texts.join(mixed.select("line").distinct(), "line", "left_semi")), "line-sketches")
+    others = written(other_pairs(mixed, sketched, similarity, block).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    more = written(similar(others, texts, similarity), "line-links")
+    ends = (labels.select(F.col("line").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    joined = more.join(next(ends), "a", "left").join(next(ends), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = connected_components(joined).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    whole = labels.join(over, "component", "left").select("line", F.coalesce("root", "component").alias("component"))
+    alone = over.join(labels, "component", "left_anti").select(F.col("component").alias("line"), F.col("root").alias("component"))
+    return written(whole.unionByName(alone), "line-components")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -154,7 +178,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.join(a.select("a", "ta"), "a").join(b.select("b", "tb"), "b").where(alike).select("a", "b")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(dk, id, drop): for each document with lines to drop, its key xxhash64(id, text), its id and the places of those lines.
 
     A line goes if an earlier line, by id (null first) and then place, is in its component; exact copies (case and edges
@@ -164,8 +188,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     places = _lines(docs, text_col, F.xxhash64(id_col, text_col).alias("dk"), F.col(id_col).alias("id")).drop("t")
     places = written(places, "line-places")
-    links = links_of(docs, text_col, similarity, small)
-    labels = connected_components(links).select(F.col("id").alias("line"), "component")
+    labels = line_components(docs, text_col, similarity, block)
     copies = places.groupBy("line", "line2").agg(F.count("*").alias("k"))
     groups = copies.join(labels, "line", "left").where("component is not null or k > 1").select("line", "line2", F.coalesce("component", F.xxhash64("line", "line2")).alias("component"))
     groups = written(groups, "line-groups")

@@ -161,3 +161,37 @@ def test_families_in_a_large_band(spark):
     got = {r.doc_id for r in L.dropped_lines(spark.createDataFrame([(i, t, "z") for i, t in enumerate(lines)], SCHEMA)).collect() if r.dropped}
     assert len(lines) > 1000 and len(want) > 600 and not got - want
     assert len(want - got) <= 0.01 * len(want)
+
+
+def test_every_pair_of_a_large_band(spark):
+    """300 pairs at 0.82 whose lines are at 0.78 to all others: of the pairs that share a band none may be lost, in whatever blocks."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = word(300)
+    pairs = [tuple(head + own + word(34) for _ in range(2)) for own in {x[:4]: x for x in (word(8) for _ in range(300))}.values()]
+    rows = [(i, t, "z") for i, t in enumerate(rng.sample([t for p in pairs for t in p], 2 * len(pairs)))]
+    docs, at = spark.createDataFrame(rows, SCHEMA), {t: i for i, t, _ in rows}
+    hashes = {r.t: r.line for r in L._lines(docs, "text").select("t", "line").collect()}
+    keys = {r.line: set(r["keys"]) for r in L.line_keys(docs, "text").collect()}
+    shared = [p for p in pairs if keys[hashes[p[0]]] & keys[hashes[p[1]]]]
+    sizes = {}
+    for k in (k for x in keys.values() for k in x):
+        sizes[k] = sizes.get(k, 0) + 1
+    assert len(shared) >= 290 and max(sizes.values()) > 100
+    want = {max(at[a], at[b]) for a, b in shared}
+    for options in ({}, {"block": 50}):
+        got = {r.doc_id for r in L.dropped_lines(docs, **options).collect() if r.dropped}
+        assert got == want
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(2)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    lines = [base[: rng.randrange(20, 700)].replace(rng.choice("abc"), rng.choice("xyz"), rng.randrange(4)) for _ in range(40)] + ["ab" * 300, "short"]
+    texts = spark.createDataFrame([(i, t, len(shingles(t))) for i, t in enumerate(lines)], "line bigint, t string, n int")
+    bits = {r.line: [r[f"s{i}"] for i in range(L.SKETCH)] for r in L.sketches(texts).collect()}
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a], bits[b], strict=True))
+    own = [len(shingles(t)) for t in lines]
+    assert all(sum((x & (2**64 - 1)).bit_count() for x in bits[i]) <= own[i] for i in bits)
+    assert all(differ(a, b) <= len(shingles(lines[a]) ^ shingles(lines[b])) for a in bits for b in bits)
+    assert all(differ(a, b) > 0 for a in bits for b in bits if shingles(lines[a]) != shingles(lines[b]) and len(shingles(lines[a]) ^ shingles(lines[b])) % 2)

@@ -125,3 +125,14 @@ def test_further_columns_pass_whole(spark, tmp_path):
         own = lambda r: tuple(r[c] for c in plain.columns)  # noqa: B023, E731
         assert Counter(map(own, rows)) == Counter(map(tuple, plain.collect()))
         assert all(r[n] == (n if r.doc_id is None else f"{n}|{r.doc_id}") for r in rows for n in NAMES)
+
+
+def test_line_stage_loses_no_link_of_a_large_band(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = word(300)
+    texts = [head + own + word(34) for own in {x[:4]: x for x in (word(8) for _ in range(300))}.values() for _ in range(2)]
+    docs = spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    kept = {r.doc_id for r in CP.lines(spark, docs, "").collect()}
+    assert kept >= set(range(0, len(texts), 2))
+    assert len(kept) <= 1.02 * len(texts) / 2  # each second line of a pair goes, but those that share no band

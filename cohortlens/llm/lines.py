@@ -13,13 +13,16 @@ Scale. Only bands that two different lines share are kept. Each line first meets
 that tasks find before they shuffle, so a band that holds a third of all lines costs two rows a line, and most bands are
 one component then. In the others every line outside the band's largest component meets every line of the band that is
 in another component, so each two lines of a band are compared or linked already, however large it is. Those pairs are
-no rows: the join's condition compares sketches, the parities of a line's shingles in SKETCH * 64 bits. In as many bits
-as sketches differ, sets differ at least, so none that is alike enough is passed over; what it lets through has its exact
+no rows: the join's condition compares sketches, the parities of a line's shingles in FOLDED * 64 bits and then in
+SKETCH * 64. In as many bits as sketches differ, sets differ at least, so none that is alike enough is passed over; what it lets through has its exact
 Jaccard. Large bands are dealt in blocks of lines that meet each other, so no band is one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,10 @@ WINDOW, SIMILARITY = 8, 0.8
 RUN, MINIMA = 3, 12
 #: Hashes of a line that are looked at for each minimum, on average; a place has none of them in 2 % of cases.
 AHEAD = 4
-#: Words of 64 bits of a line's sketch, and lines of a block of a large band. Joined rows of over 100 columns leave
-#: whole-stage code, in which a condition on that many words would be one method, too long to be compiled.
-SKETCH, BLOCK = 48, 4096
+#: Words of 64 bits of a line's sketch, words that these are folded to, and lines of a block of a large band. The words
+#: are an array and only the folded ones are columns: with a column a word, the JVM's compiler made 340 kB of one method of
+#: the aggregate, in 9 s and in memory that no heap bounds.
+SKETCH, FOLDED, BLOCK = 48, 16, 4096
 
 
 def _normal(line: Column) -> Column:
@@ -112,31 +116,47 @@ def mixed_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(own.join(largest, "band"), "line-bands-mixed")
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(line, n, s0, s1, ...) of texts (line, t, n): word i's bit j is the parity of the shingles whose hash falls there."""
-    sets = texts.select("line", "n", F.explode(F.array_distinct(windows(F.col("t")))).alias("h"))
-    at = sets.select("line", "n", F.pmod(F.col("h"), F.lit(SKETCH)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
+def sketched_words(texts: DataFrame) -> DataFrame:
+    """(line, n, words, f0, f1, ...) of texts (line, t, n): in word i of the array, bit j is the parity of the shingles whose
+    hash falls there; f0 and so on are the words at every FOLDED-th place in one, parities of fewer and larger parts."""
+    sets = texts.select("line", "n", F.array_distinct(windows(F.col("t"))).alias("hs"))  # beneath explode, which would compute it uncompiled
+    at = sets.select("line", "n", F.explode("hs").alias("h")).select("line", "n", F.pmod(F.col("h"), F.lit(SKETCH)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
     each = at.groupBy("line", "n", "w").agg(F.bit_xor("bit").alias("s"))
-    return each.groupBy("line", "n").agg(*[F.coalesce(F.max(F.when(F.col("w") == i, F.col("s"))), F.lit(0).cast("bigint")).alias(f"s{i}") for i in range(SKETCH)])
+    held = each.groupBy("line", "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("m"))
+    word = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0).cast("bigint"))
+    words = held.select("line", "n", _once(F.col("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: word(m, i))).alias("words"))
+    part = lambda ws, j: F.aggregate(F.sequence(j, F.lit(SKETCH - 1), F.lit(FOLDED)), F.lit(0).cast("bigint"), lambda x, i: x.bitwiseXOR(F.get(ws, i)))
+    folded = words.withColumn("f", F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda j: part(F.col("words"), j)))
+    return folded.select("line", "n", "words", *[F.get("f", F.lit(j)).alias(f"f{j}") for j in range(FOLDED)])
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(line, n, s0, s1, ...) of texts (line, t, n): the sketches with a column a word."""
+    return sketched_words(texts).select("line", "n", *[F.get("words", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)])
 
 
 def other_pairs(mixed: DataFrame, sketched: DataFrame, similarity: float, block: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of lines of one band and different components, without those whose sketches show
-    that they are not alike. A band's lines stand in blocks, and its blocks meet in twos."""
+    that they are not alike: the folded words first, then, where these let a pair through, all. A band's lines stand in
+    blocks, and its blocks meet in twos."""
     parts = {"i": F.ceil((F.col("size") - F.col("most")) / block).cast("int"), "j": F.ceil(F.col("size") / block).cast("int")}
 
     def side(rows: DataFrame, own: str, other: str, names: dict) -> DataFrame:
         dealt = rows.withColumn(own, F.pmod(F.xxhash64("line", F.lit(3)), parts[own]).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), parts[other] - 1)))
         return dealt.join(sketched, "line").select("band", "i", "j", *[F.col(c).alias(names.get(c, f"{c}_b")) for c in ("line", "c", "n", *words)], *(["main"] if names else []))
 
-    words = [f"s{i}" for i in range(SKETCH)]
+    folded = [f"f{j}" for j in range(FOLDED)]
+    words = ["words", *folded]
     a = side(mixed.where("c <> main"), "i", "j", {c: f"{c}_a" for c in ("line", "c", "n", *words)})
     b = side(mixed, "j", "i", {})
     n = F.col("n_a") + F.col("n_b")
     apart = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("line_a") < F.col("line_b")))
     sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    on = (a["band"] == b["band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & apart & sized & (differ * (1 + similarity) <= (1 - similarity) * n + 1e-6)
+    bits = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    near = lambda differ: differ * (1 + similarity) <= (1 - similarity) * n + 1e-6
+    few = near(reduce(add, (bits(F.col(f"{f}_a"), F.col(f"{f}_b")) for f in folded)))
+    every = near(F.aggregate(F.zip_with("words_a", "words_b", bits), F.lit(0), add))
+    on = (a["band"] == b["band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & apart & sized & few & every
     return a.join(b, on).select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b")).distinct()
 
 
@@ -155,7 +175,7 @@ def line_components(docs: DataFrame, text_col: str, similarity: float, block: in
     texts = _texts(docs, text_col, members.select("line").distinct())
     labels = connected_components(written(similar(pairs, texts, similarity), "line-links")).select(F.col("id").alias("line"), "component")
     mixed = mixed_bands(members, labels)
-    sketched = written(sketches(texts.join(mixed.select("line").distinct(), "line", "left_semi")), "line-sketches")
+    sketched = written(sketched_words(texts.join(mixed.select("line").distinct(), "line", "left_semi")), "line-sketches")
     others = written(other_pairs(mixed, sketched, similarity, block).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
     more = written(similar(others, texts, similarity), "line-links")
     ends = (labels.select(F.col("line").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")

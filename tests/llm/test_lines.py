@@ -195,3 +195,35 @@ def test_sketches_differ_in_no_more_bits_than_sets(spark):
     assert all(sum((x & (2**64 - 1)).bit_count() for x in bits[i]) <= own[i] for i in bits)
     assert all(differ(a, b) <= len(shingles(lines[a]) ^ shingles(lines[b])) for a in bits for b in bits)
     assert all(differ(a, b) > 0 for a in bits for b in bits if shingles(lines[a]) != shingles(lines[b]) and len(shingles(lines[a]) ^ shingles(lines[b])) % 2)
+
+
+def test_folded_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    lines = [base[: rng.randrange(20, 900)].replace(rng.choice("abc"), rng.choice("xyz"), rng.randrange(6)) for _ in range(30)] + ["ab" * 300, "short"]
+    rows = L.sketched_words(spark.createDataFrame([(i, t, len(shingles(t))) for i, t in enumerate(lines)], "line bigint, t string, n int")).collect()
+    folded = {r.line: [r[f"f{j}"] for j in range(L.FOLDED)] for r in rows}
+    assert len(rows) == len(lines) and all(len(r.words) == L.SKETCH for r in rows)
+    for r in rows:
+        whole = [0] * L.FOLDED
+        for i, w in enumerate(r.words):
+            whole[i % L.FOLDED] ^= w
+        assert whole == folded[r.line]
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(folded[a], folded[b], strict=True))
+    assert all(differ(a, b) <= len(shingles(lines[a]) ^ shingles(lines[b])) for a in folded for b in folded)
+
+
+def test_no_step_makes_a_column_of_each_word(spark, monkeypatch):
+    """An aggregate over 48 columns was compiled to a method of 340 kB, in memory that no heap bounds."""
+    plans, write = {}, L.written
+
+    def seen(df, name, *args, **options):
+        plans[name] = len(df.columns), df._jdf.queryExecution().optimizedPlan().toString().count("bit_count")
+        return write(df, name, *args, **options)
+
+    monkeypatch.setattr(L, "written", seen)
+    rng = random.Random(3)
+    head = "".join(rng.choice("abcdefghijklmnop") for _ in range(200))
+    lines = [head + "".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(12)]
+    L.dropped_lines(spark.createDataFrame([(i, t, "z") for i, t in enumerate(lines)], SCHEMA)).collect()
+    assert "line-sketches" in plans and all(columns <= 20 and counts <= 20 for columns, counts in plans.values()), plans

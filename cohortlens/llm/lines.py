@@ -69,7 +69,8 @@ def _bands(minima: Column, run: int) -> Column:
 def _lines(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
     """(columns..., pos, t, line, line2): lines that are not blank, lower-cased and trimmed, and two hashes of each."""
     raw = docs.select(*columns, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
-    return raw.withColumn("t", _normal(F.col("raw"))).where("t <> ''").drop("raw").withColumns({"line": F.xxhash64("t", F.lit(1)), "line2": F.xxhash64("t", F.lit(2))})
+    raw = raw.where(F.trim("raw") != "")  # not of t, as a filter's expressions are computed again above it, lower() too
+    return raw.withColumn("t", _normal(F.col("raw"))).drop("raw").withColumns({"line": F.xxhash64("t", F.lit(1)), "line2": F.xxhash64("t", F.lit(2))})
 
 
 def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
@@ -79,10 +80,10 @@ def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
     """
     run, k = RUN, MINIMA
     data = F.col("t").cast("binary")
-    lines = _lines(docs, text_col).where(F.octet_length("t") >= WINDOW).select("line", data.alias("data"), (F.octet_length(data) - (WINDOW - 1)).alias("n"))
+    lines = _lines(docs, text_col).select("line", data.alias("data"), F.greatest(F.lit(0), F.octet_length(data) - (WINDOW - 1)).alias("n"))
     most = AHEAD * k
-    share = (F.lit(float(most)) / F.col("n") * 2.0**64 - 2.0**63).cast("bigint")
-    at = lines.withColumn("most", F.when(F.col("n") <= most, F.lit(2**63 - 1)).otherwise(share)).select("line", "data", "most", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    share = F.coalesce((F.lit(float(most)) / F.col("n") * 2.0**64 - 2.0**63).cast("bigint"), F.lit(2**63 - 1))  # never null, or a filter of it goes beneath
+    at = lines.withColumn("most", F.when(F.col("n") <= most, F.lit(2**63 - 1)).otherwise(share)).select("line", "data", "most", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1), "n"))).alias("i"))
     least = at.select("line", "most", F.xxhash64(F.substring("data", F.col("i"), F.lit(WINDOW))).alias("h")).where("h <= most")
     dealt = least.select("line", "h", F.shiftright(F.col("h").bitwiseAND(F.lit(0xFFFF)) * k, 16).alias("place"))
     minima = dealt.groupBy("line").agg(*[F.min(F.when(F.col("place") == x, F.col("h"))).alias(f"m{x}") for x in range(k)])
@@ -93,11 +94,14 @@ def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def shared_bands(keyed: DataFrame) -> DataFrame:
-    """keyed (band, line) -> (band, line, p0, p1), of bands that different lines share, p0 and p1 being two lines of it."""
+    """keyed (band, line) -> (band, line, p0, p1), of bands that different lines share, p0 and p1 being two lines of it.
+
+    The few shared bands, each one row, are what is hashed: keyed, with ten rows a line, is not sorted for the join.
+    """
     mixed = F.col("line").bitwiseXOR(F.col("band"))
     ends = keyed.groupBy("band").agg(F.min(mixed).alias("p0"), F.max(mixed).alias("p1")).where("p0 <> p1")
     ends = written(ends.select("band", *[F.col(p).bitwiseXOR(F.col("band")).alias(p) for p in ("p0", "p1")]), "line-bands")
-    return written(keyed.join(ends, "band"), "line-band-members")
+    return written(keyed.join(ends.hint("shuffle_hash"), "band"), "line-band-members")
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
@@ -118,16 +122,20 @@ def mixed_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sketched_words(texts: DataFrame) -> DataFrame:
     """(line, n, words, f0, f1, ...) of texts (line, t, n): in word i of the array, bit j is the parity of the shingles whose
-    hash falls there; f0 and so on are the words at every FOLDED-th place in one, parities of fewer and larger parts."""
+    hash falls there; f0 and so on are the words at every FOLDED-th place in one, parities of fewer and larger parts.
+
+    FOLDED words at a time are columns of one aggregate, so a line has few rows there, and no row for each of its words.
+    """
     sets = texts.select("line", "n", F.array_distinct(windows(F.col("t"))).alias("hs"))  # beneath explode, which would compute it uncompiled
     at = sets.select("line", "n", F.explode("hs").alias("h")).select("line", "n", F.pmod(F.col("h"), F.lit(SKETCH)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
-    each = at.groupBy("line", "n", "w").agg(F.bit_xor("bit").alias("s"))
-    held = each.groupBy("line", "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("m"))
-    word = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0).cast("bigint"))
-    words = held.select("line", "n", _once(F.col("m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: word(m, i))).alias("words"))
-    part = lambda ws, j: F.aggregate(F.sequence(j, F.lit(SKETCH - 1), F.lit(FOLDED)), F.lit(0).cast("bigint"), lambda x, i: x.bitwiseXOR(F.get(ws, i)))
-    folded = words.withColumn("f", F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), lambda j: part(F.col("words"), j)))
-    return folded.select("line", "n", "words", *[F.get("f", F.lit(j)).alias(f"f{j}") for j in range(FOLDED)])
+    at = at.select("line", "n", F.floor(F.col("w") / FOLDED).cast("int").alias("part"), F.pmod("w", F.lit(FOLDED)).alias("j"), "bit")
+    none = F.lit(0).cast("bigint")
+    each = at.groupBy("line", "n", "part").agg(*[F.bit_xor(F.when(F.col("j") == x, F.col("bit"))).alias(f"x{x}") for x in range(FOLDED)])
+    parts = each.select("line", "n", F.struct("part", F.array(*[F.coalesce(f"x{x}", none) for x in range(FOLDED)]).alias("ws")).alias("p"))
+    held = parts.groupBy("line", "n").agg(F.map_from_entries(F.collect_list("p")).alias("m"))
+    words = held.select("line", "n", F.concat(*[F.coalesce(F.try_element_at("m", F.lit(p)), F.array_repeat(none, FOLDED)) for p in range(SKETCH // FOLDED)]).alias("words"))
+    fold = lambda j: reduce(lambda x, y: x.bitwiseXOR(y), [F.get("words", F.lit(i)) for i in range(j, SKETCH, FOLDED)])
+    return words.select("line", "n", "words", *[fold(j).alias(f"f{j}") for j in range(FOLDED)])
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -212,7 +220,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = places.groupBy("line", "line2").agg(F.count("*").alias("k"))
     groups = copies.join(labels, "line", "left").where("component is not null or k > 1").select("line", "line2", F.coalesce("component", F.xxhash64("line", "line2")).alias("component"))
     groups = written(groups, "line-groups")
-    found = written(places.join(groups, ["line", "line2"]).select("dk", "id", "pos", "component"), "line-found")
+    found = written(places.join(groups.hint("shuffle_hash"), ["line", "line2"]).select("dk", "id", "pos", "component"), "line-found")
     order = F.struct(F.col("id").isNotNull().alias("x"), "id", "dk", "pos")
     first = written(found.groupBy("component").agg(F.min(order).alias("f")).select("component", F.col("f.dk").alias("fdk"), F.col("f.pos").alias("fpos")), "line-first")
     drops = found.join(first, "component").where("not (dk = fdk and pos = fpos)")

@@ -227,3 +227,27 @@ def test_no_step_makes_a_column_of_each_word(spark, monkeypatch):
     lines = [head + "".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(12)]
     L.dropped_lines(spark.createDataFrame([(i, t, "z") for i, t in enumerate(lines)], SCHEMA)).collect()
     assert "line-sketches" in plans and all(columns <= 20 and counts <= 20 for columns, counts in plans.values()), plans
+
+
+def test_all_lines_are_lowered_once_and_not_sorted(spark, monkeypatch):
+    """lower() was computed again in each condition of a filter, and the keys of all lines were sorted to meet few bands."""
+    plans, write = {}, L.written
+
+    def seen(df, name, *args, **options):
+        plans.setdefault(name, df._jdf.queryExecution())
+        return write(df, name, *args, **options)
+
+    monkeypatch.setattr(L, "written", seen)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(["", "Too", "Short", *family(rng, 30)])], SCHEMA)
+    L.dropped_lines(docs).collect()
+    assert {name: plans[name].optimizedPlan().toString().count("lower(") for name in ("line-places", "line-signatures", "line-texts")} == {"line-places": 1, "line-signatures": 1, "line-texts": 1}
+    joins = {name: re.findall(r"(?<=  )Join \w+.*|(?<=- )Join \w+.*", plans[name].optimizedPlan().toString()) for name in ("line-band-members", "line-found")}
+    assert all(len(found) == 1 and "shuffle_hash" in found[0] for found in joins.values()), joins
+
+
+def test_lines_that_are_blank_or_shorter_than_a_window(spark):
+    docs = spark.createDataFrame([(1, " \n\nabcdefg\n  ABCDEFGH \nxabcdefghi", "z"), (2, "", "z"), (3, None, "z")], SCHEMA)
+    lines = {r.t: r.line for r in L._lines(docs, "text").collect()}
+    assert set(lines) == {"abcdefg", "abcdefgh", "xabcdefghi"}
+    assert {r.line for r in L.line_keys(docs, "text").collect()} == {lines["abcdefgh"], lines["xabcdefghi"]}

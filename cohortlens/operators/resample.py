@@ -115,8 +115,11 @@ def permutation_tests(values: DataFrame, *keys: str, draws: int = DRAWS, seed: i
     return rows.mapInArrow(lambda b: _tested(b, draws, seed), f"n_case bigint, n_control bigint, mean_difference double, {kinds}, p_value double")
 
 
-def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 42, key: str = "patient") -> DataFrame:
-    """(replicate, key, weight): Poisson(1) bootstrap counts from a seeded hash of id and replicate; no driver state, reruns agree."""
+def _drawn(rows: DataFrame, replicates: int, seed: int, key: str) -> DataFrame:
+    """rows once a replicate that draws their key, with replicate and weight, made where the rows are.
+
+    Joined to the rows afterwards, the draws could be broadcast: Spark's sizes are those from before they are opened.
+    """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     cuts, total, p = [], 0.0, float(np.exp(-1))
     for k in range(9):
@@ -124,13 +127,19 @@ def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 42, key: str
         cuts.append(total)
         p /= k + 1
     weight = sum(((u > c).cast("int") for c in cuts), F.lit(0))
-    return ids.select(key).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("weight", weight).where("weight > 0")
+    return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("weight", weight).where("weight > 0")
+
+
+def bootstrap_weights(ids: DataFrame, replicates: int, seed: int = 42, key: str = "patient") -> DataFrame:
+    """(replicate, key, weight): Poisson(1) bootstrap counts from a seeded hash of id and replicate; no driver state, reruns agree."""
+    return _drawn(ids.select(key).distinct(), replicates, seed, key)
 
 
 def rate_bootstrap(rows: DataFrame, value: str, replicates: int = 200, seed: int = 42, key: str = "patient") -> DataFrame:
     """One row: mean, least and greatest of the bootstrap means of a value in [0, 1]."""
-    per = rows.groupBy(key).agg(F.avg(value).alias("v")).where("v is not null")
-    w = bootstrap_weights(per, replicates, seed, key).join(per, key)
+    per = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias("v")).where("v is not null")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small and work is not: not to be coalesced
+    w = _drawn(per.repartition(tasks, key), replicates, seed, key)
     means = w.groupBy("replicate").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("m"))
     return means.agg(F.count("*").alias("replicates"), F.avg("m").alias("mean"), F.min("m").alias("least"), F.max("m").alias("greatest"))
 
@@ -141,9 +150,8 @@ def panel_stability(matrix: DataFrame, k: int, replicates: int = 200, seed: int
     Patients are counted by their sets of hits first; a replicate is one task's work over those counts, whose number is
     that of distinct hit sets of a panel's bounded candidates.
     """
-    hits = matrix.where("value > 0").groupBy(patient).agg(F.array_sort(F.collect_set(candidate)).alias("hits"))
-    weighted = bootstrap_weights(hits.select(F.col(patient).alias("patient")), replicates, seed).join(hits.withColumnRenamed(patient, "patient") if patient != "patient" else hits, "patient")
-    counted = weighted.groupBy("replicate", "hits").agg(F.sum("weight").alias("n"))
+    hits = matrix.where(F.col(patient).isNotNull() & (F.col("value") > 0)).groupBy(patient).agg(F.array_sort(F.collect_set(candidate)).alias("hits"))
+    counted = _drawn(hits, replicates, seed, patient).groupBy("replicate", "hits").agg(F.sum("weight").alias("n"))
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         left, chosen = [(set(h), int(n)) for h, n in zip(g["hits"], g["n"], strict=True)], []
@@ -167,7 +175,7 @@ def rank_stability(scored: DataFrame, k: int, replicates: int = 200, seed: int =
     """(key, frequency): share of bootstrap draws of candidates in which each is in the top k; a candidate counts once a draw."""
     from pyspark.sql import Window
 
-    drawn = bootstrap_weights(scored.where("score is not null"), replicates, seed, key).join(scored.select(key, "score"), key)
+    drawn = _drawn(scored.where(F.col(key).isNotNull() & F.col("score").isNotNull()).select(key, "score"), replicates, seed, key)
     top = drawn.withColumn("r", F.row_number().over(Window.partitionBy("replicate").orderBy(F.col("score").desc(), key))).where(F.col("r") <= k)
     return top.groupBy(key).agg((F.count("*") / replicates).alias("frequency"))
 

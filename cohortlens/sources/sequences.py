@@ -178,8 +178,8 @@ def fetch(intervals: DataFrame, contigs: DataFrame, contig: str = "contig", star
     or the interval ends beyond it, '' where it is empty; a negative start or an end before it is an error. Rows are read in
     the order of their places within each partition.
     """
-    names = contigs.select(F.col("contig").alias("__key"), F.lit(0).alias("__rank"), F.struct("path", "length", "offset", "line_bases", "line_width").alias("__x"))
-    names = names.unionByName(names.withColumn("__key", _other(F.col("__key"))).withColumn("__rank", F.lit(1)))
+    both = F.array(*[F.struct(name.alias("__key"), F.lit(rank).alias("__rank")) for rank, name in enumerate((F.col("contig"), _other(F.col("contig"))))])
+    names = contigs.select(F.inline(both), F.struct("path", "length", "offset", "line_bases", "line_width").alias("__x"))  # a union would read the files once more
     names = names.groupBy("__key").agg(F.min_by("__x", "__rank").alias("__x"))
     a, b = F.col(start).cast("bigint"), F.col(end).cast("bigint")
     fits = F.col("__x").isNotNull() & (b <= F.col("__x.length"))

@@ -125,3 +125,27 @@ def test_texts_are_written_whole(spark, tmp_path):
     for text in ("first", "sécond\nline"):
         assert files.write_text(spark, path, text) == path and files.read_text(spark, path) == text
     assert sorted(x for x in os.listdir(tmp_path / "deep") if not x.startswith(".")) == ["report.html"]
+
+
+def test_asked_intervals_meet_as_distinct_ones(spark):
+    """Rows of both tables may be equal in what is asked: pairs grow with what is distinct."""
+    from cohortlens.queries import _asked_intervals
+
+    part = spark.range(6000).selectExpr("concat('Brand#', id % 3) as p_brand", "cast(id % 2 as int) as p_size")
+    supplier = spark.range(7200).selectExpr("id as s_suppkey", "cast(id % 2 as int) as s_nationkey")
+    asked = _asked_intervals(part, supplier)
+    own = [(f"Brand_{b}", n) for b in range(3) for n in range(2)]
+    want = {(("chr" if s % 2 == 0 else "") + b, s * 7 % 400, s * 7 % 400 + s % 90) for b, n in own for s in range(7200) if s % 2 == n}
+    got = asked.collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    _, below = asked._jdf.queryExecution().optimizedPlan().toString().split("Join")
+    assert below.count("Aggregate") == 2
+
+
+def test_files_are_read_twice_for_intervals(spark, tmp_path, contigs):
+    """Once for lines, once for what each range leaves open: both forms of a name come from one index."""
+    (tmp_path / "a.fa").write_text(fasta_text(contigs, 60))
+    asked = spark.createDataFrame([("1", 3, 9)], "contig string, start bigint, end bigint")
+    found = sequences.fetch(asked, sequences.index(sequences.sequence_lines(spark, str(tmp_path))))
+    assert [r.sequence for r in found.collect()] == [contigs["chr1"][3:9].upper()]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("fasta_lines") == 2

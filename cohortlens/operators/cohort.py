@@ -60,17 +60,19 @@ def continuous_comparison(values: DataFrame, *keys: str) -> DataFrame:
     return out.withColumns({"mean_difference": F.col("case_mean") - F.col("control_mean"), "cohen_d": d}).drop("__case_var", "__control_var")
 
 
-def feature_stats(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows (sample_id, grp, feature_type, status, keys; value columns of status.MEASURES) -> a row a key and type.
+def feature_values(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (sample_id, grp, feature_type, status, keys; value columns of status.MEASURES) -> (sample_id, grp, keys, feature_type, o, m) of cases and controls.
 
-    Types that are detected or not compare rates among observed patients, measured types means of patients' means; a
-    type is upper case, SNV where blank. effect is the absolute difference, 0 where a group has no value. case_n and
-    control_n count patients with any row, case_events and control_events detected rows. Two partial aggregations, the
-    first by patient.
+    grp is case or control, feature_type upper case, SNV where blank, o 1, 0 or null as observed, m the number of a measured type.
     """
     kind = T.feature_type(F.col("feature_type"))
-    own = rows.select("sample_id", T.group_of(F.col("grp")).alias("grp"), *[k for k in keys], kind.alias("feature_type"), T.observed(F.col("status")).alias("o"), T.measure(kind, rows.columns).alias("m"))
-    per = own.where("grp is not null").groupBy("sample_id", "grp", "feature_type", *keys).agg(F.max("o").alias("o"), F.avg("m").alias("m"), F.count_if(F.col("o") == 1).alias("e"))
+    own = rows.select("sample_id", T.group_of(F.col("grp")).alias("grp"), *keys, kind.alias("feature_type"), T.observed(F.col("status")).alias("o"), T.measure(kind, rows.columns).alias("m"))
+    return own.where("grp is not null")
+
+
+def value_stats(values: DataFrame, *keys: str) -> DataFrame:
+    """feature_stats of feature_values."""
+    per = values.groupBy("sample_id", "grp", "feature_type", *keys).agg(F.max("o").alias("o"), F.avg("m").alias("m"), F.count_if(F.col("o") == 1).alias("e"))
     both = []
     for g in ("case", "control"):
         here = F.col("grp") == g
@@ -84,21 +86,36 @@ def feature_stats(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("effect", F.coalesce(difference, F.lit(0.0))).select(*keys, "feature_type", *[f"{g}_{x}" for x in ("n", "detected", "observed", "rate", "mean", "events") for g in ("case", "control")], "effect")
 
 
-def tested(rows: DataFrame, *keys: str, draws: int | None = None) -> DataFrame:
-    """feature_stats with p_value: Fisher's exact test, or the permutation test of means for measured types; 1 where a group has no value."""
+def feature_stats(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (sample_id, grp, feature_type, status, keys; value columns of status.MEASURES) -> a row a key and type.
+
+    Types that are detected or not compare rates among observed patients, measured types means of patients' means; a
+    type is upper case, SNV where blank. effect is the absolute difference, 0 where a group has no value. case_n and
+    control_n count patients with any row, case_events and control_events detected rows. Two partial aggregations, the
+    first by patient.
+    """
+    return value_stats(feature_values(rows, *keys), *keys)
+
+
+def tested_values(values: DataFrame, *keys: str, draws: int | None = None) -> DataFrame:
+    """tested of feature_values."""
     from cohortlens.operators import resample as R
 
-    out = feature_stats(rows, *keys)
-    kind = T.feature_type(F.col("feature_type"))
-    values = rows.select("sample_id", T.group_of(F.col("grp")).alias("grp"), *keys, kind.alias("feature_type"), T.measure(kind, rows.columns).alias("value")).where(kind.isin(*T.MEASURES))
-    p = R.permutation_tests(values, *keys, "feature_type", draws=draws or R.SCAN_DRAWS).select(*keys, "feature_type", F.col("p_value").alias("__p"))
+    out = value_stats(values, *keys)
+    measured = values.where(F.col("feature_type").isin(*T.MEASURES)).select("sample_id", "grp", *keys, "feature_type", F.col("m").alias("value"))
+    p = R.permutation_tests(measured, *keys, "feature_type", draws=draws or R.SCAN_DRAWS).select(*keys, "feature_type", F.col("p_value").alias("__p"))
     both = (F.col("case_observed") > 0) & (F.col("control_observed") > 0)
     exact = S.fisher_exact(F.col("case_detected"), F.col("case_observed") - F.col("case_detected"), F.col("control_detected"), F.col("control_observed") - F.col("control_detected"))
     value = F.when(F.col("feature_type").isin(*T.MEASURES), F.coalesce("__p", F.lit(1.0))).when(both, exact).otherwise(1.0)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Fisher's test is work on small rows, not to be coalesced
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # Fisher's test is work on small rows, not to be coalesced
     return out.join(p, [*keys, "feature_type"], "left").repartition(tasks).withColumn("p_value", value).drop("__p")
 
 
+def tested(rows: DataFrame, *keys: str, draws: int | None = None) -> DataFrame:
+    """feature_stats with p_value: Fisher's exact test, or the permutation test of means for measured types; 1 where a group has no value."""
+    return tested_values(feature_values(rows, *keys), *keys, draws=draws)
+
+
 def exact_scan(obs: DataFrame, alpha: float = 0.05, draws: int | None = None) -> DataFrame:
     """Every (region, feature_type) tested by what its type has, with q values and significance; alleles at one place merge."""
     return S.benjamini_hochberg(tested(obs, "region", draws=draws)).withColumn("significant", F.col("q_value") <= alpha)

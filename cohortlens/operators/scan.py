@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import stats as S
 from cohortlens.functions import status as T
-from cohortlens.operators.cohort import feature_stats, tested
+from cohortlens.operators.cohort import feature_values, tested_values, value_stats
 from cohortlens.sources.sinks import staged
 
 # The resolutions of the scan.
@@ -110,28 +110,27 @@ def multiresolution_rates(rows: DataFrame, sizes: tuple[int, ...] = RATES) -> Da
 
 
 def level_stats(binned: DataFrame, size: int) -> DataFrame:
-    """feature_stats of each bin of rows dealt to bins, of those that both groups have patients at, with the screening effect.
+    """value_stats of each bin of values dealt to bins, of those that both groups have patients at, with the screening effect.
 
     Where variants are counted, a difference of detected rows a megabase may raise it.
     """
-    out = feature_stats(binned, "chrom", "bin").where("case_n > 0 and control_n > 0")
+    out = value_stats(binned, "chrom", "bin").where("case_n > 0 and control_n > 0")
     density = F.abs(F.col("case_events") - F.col("control_events")) * F.lit(1e6) / F.lit(size)
     return out.withColumn("density_difference", F.when(F.col("feature_type").isin(*T.DENSE), density)).withColumn(
         "screening", F.greatest("effect", F.coalesce(F.col("density_difference") / (1 + F.col("density_difference")), F.lit(0.0)))
     )
 
 
-def coarse_to_fine(rows: DataFrame, threshold: float = 0.1, levels: tuple[int, ...] = LEVELS, neighbours: int = 1, tile: bool = False, alpha: float = 0.05, draws: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lineage, final): retained bins of every level with their parents, and the exact regions that overlap any of them.
+def scan_values(rows: DataFrame) -> DataFrame:
+    """feature_values of intervals, written once: each level and the regions read what they need of it."""
+    return staged(feature_values(rows, "chrom", "start", "end"), "scan-values")
 
-    The next level's bins are the 2k+1 bins around a retained bin's start, or with tile all that tile it. Each level's
-    retained bins are written, and only rows in the bins wanted next are aggregated, so a level reads the rows once and
-    finer levels aggregate less. Regions meet retained bins of a level by the bins of that size that they cover.
-    """
-    rows = rows.withColumn("feature_type", T.feature_type(F.col("feature_type")))
+
+def retained_bins(values: DataFrame, threshold: float = 0.1, levels: tuple[int, ...] = LEVELS, neighbours: int = 1, tile: bool = False) -> DataFrame:
+    """The lineage of coarse_to_fine: retained bins of every level of scan_values, with their parents."""
     lineage, wanted = None, None
     for k, size in enumerate(levels):
-        own = with_bins(rows, size)
+        own = with_bins(values, size).drop("start", "end")
         if wanted is not None:
             own = own.join(wanted.select("chrom", "feature_type", "bin"), ["chrom", "feature_type", "bin"], "left_semi")
         found = level_stats(own, size).where(F.col("screening") >= threshold).withColumn("resolution", F.lit(size).cast("bigint"))
@@ -142,11 +141,47 @@ def coarse_to_fine(rows: DataFrame, threshold: float = 0.1, levels: tuple[int, .
             child = levels[k + 1]
             bins = F.expr(f"sequence((bin * {size}L) div {child}, ((bin + 1) * {size}L - 1) div {child})") if tile else F.expr(f"filter(transform(sequence({-neighbours}, {neighbours}), i -> (bin * {size}L) div {child} + i), x -> x >= 0)")
             wanted = kept.select("chrom", "feature_type", F.col("bin").alias("parent"), F.explode(bins).alias("bin")).groupBy("chrom", "feature_type", "bin").agg(F.min("parent").alias("parent"))
-    regions = rows.select("chrom", "start", "end", "feature_type").distinct()
-    at = ["chrom", "start", "end", "feature_type"]
-    hits = None
-    for size in levels:
-        met = with_bins(regions, size).join(lineage.where(F.col("resolution") == size).select("chrom", "feature_type", "bin"), ["chrom", "feature_type", "bin"], "left_semi").select(*at)
-        hits = met if hits is None else hits.unionByName(met)
-    final = tested(rows.join(staged(hits.distinct(), "scan-regions"), at, "left_semi"), "chrom", "start", "end", draws=draws)
+            wanted = staged(wanted, f"scan-wanted-{child}")  # its size is known then, and values meet a small one without a shuffle
+    return lineage
+
+
+def in_bins(values: DataFrame, bins: DataFrame, block: int) -> DataFrame:
+    """The rows of values whose intervals overlap any of bins (chrom, feature_type, resolution, bin), each once.
+
+    Bins are merged to runs apart from each other. An interval meets those that start in its end's block by an equality join, and
+    of all that start before that block the greatest end: it overlaps one of these if that isn't before its start. A block
+    has at most half as many runs as it has of the least bins.
+    """
+    at = ["chrom", "feature_type"]
+    b, size = F.col("bin"), F.col("resolution")  # places below 1 are in the bins that with_bins gives them
+    spans = bins.select(*at, F.when(b > 0, b * size + 1).otherwise((b - 1) * size + 2).alias("lo"), F.when(b < 0, b * size + 1).otherwise((b + 1) * size).alias("hi"))
+    order = Window.partitionBy(*at).orderBy("lo")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True))
+    runs = spans.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(*at, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    started = runs.groupBy(*at, F.expr(f"lo div {block}L").alias("__block")).agg(F.collect_list(F.struct("lo", "hi")).alias("__runs"), F.max("hi").alias("__hi"))
+    values = values.where("start is not null and end is not null")
+    last = values.groupBy(*at).agg(F.max(F.greatest("start", "end")).alias("__last"))
+    after = F.coalesce(F.lead("__block").over(Window.partitionBy(*at).orderBy("__block")) - 1, F.greatest(F.expr(f"__last div {block}L"), F.col("__block")))
+    ends = started.join(last, at).withColumn("__to", after).withColumn("__past", F.max("__hi").over(Window.partitionBy(*at).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.col("__each") == F.col("__block")
+    blocks = ends.withColumn("__each", F.explode(F.sequence("__block", "__to"))).select(
+        *at, F.col("__each").alias("__block"), F.when(own, F.col("__runs")).otherwise(F.array().cast(started.schema["__runs"].dataType)).alias("__runs"), F.when(own, F.col("__past")).otherwise(F.greatest("__past", "__hi")).alias("__past")
+    )
+    met = values.withColumn("__block", F.expr(f"greatest(start, end) div {block}L")).join(staged(blocks, "scan-blocks"), [*at, "__block"])
+    lo, hi = F.least("start", "end"), F.greatest("start", "end")
+    hit = F.coalesce(F.col("__past") >= lo, F.lit(False)) | F.exists("__runs", lambda r: (r["lo"] <= hi) & (r["hi"] >= lo))
+    return met.where(hit).select(*values.columns)
+
+
+def coarse_to_fine(rows: DataFrame, threshold: float = 0.1, levels: tuple[int, ...] = LEVELS, neighbours: int = 1, tile: bool = False, alpha: float = 0.05, draws: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lineage, final): retained bins of every level with their parents, and the exact regions that overlap any of them.
+
+    The next level's bins are the 2k+1 bins around a retained bin's start, or with tile all that tile it. Rows are written
+    once; each level's retained bins are written, and only rows in the bins wanted next are aggregated, so a level reads the
+    rows once and finer levels aggregate less. Regions meet the union of retained bins of all levels.
+    """
+    values = scan_values(rows)
+    lineage = retained_bins(values, threshold, levels, neighbours, tile)
+    final = tested_values(staged(in_bins(values, lineage, max(levels)), "scan-regions"), "chrom", "start", "end", draws=draws)
     return lineage, S.benjamini_hochberg(final).withColumn("significant", F.col("q_value") <= alpha)

@@ -136,3 +136,36 @@ def test_joined_intervals_of_all_lengths(spark):
     assert got == sorted((x[3], y[3]) for x in a for y in b if whole(x) and whole(y) and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
     empty = spark.createDataFrame([], schema)
     assert SC.interval_join(empty, spark.createDataFrame(b, schema), 16).count() == 0
+
+
+def test_scan_computes_its_rows_once(spark):
+    """Each level and the regions read what was written of them, so what makes the rows (joins, say) is not done again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [row(f"p{i}", "case" if i < 6 else "control", f"chr{c}:{c}000001-{c}000010", "SNV", "Detected" if i < 6 else "Not detected") for i in range(12) for c in (1, 7)]
+    lineage, final = SC.coarse_to_fine(spark.createDataFrame(rows, SCHEMA).mapInArrow(counted, SCHEMA))
+    assert lineage.count() > 2 and final.count() == 2 and made.value == len(rows)
+
+
+def test_rows_in_bins_of_several_sizes_against_loops(spark):
+    rng = random.Random(4)
+    by = lambda p, size: int((p - 1) / size)  # noqa: E731  towards 0, as bins are dealt
+    bins = {(rng.choice("12"), rng.choice(["SNV", "CNV"]), size, rng.randrange(0, 20_000 // size + 1)) for size, n in ((1000, 8), (100, 20), (10, 60)) for _ in range(n)} | {("1", "SNV", 10, -3), ("2", "CNV", 10, 0)}
+    rows = [(i, rng.choice(["1", "2", "3", None]), s, s + rng.choice([0, 1, 9, 40, 700, 9000, -3, -300]), rng.choice(["SNV", "CNV"])) for i in range(1500) for s in [rng.choice([rng.randrange(-60, 60), rng.randrange(1, 25_000)])]]
+    rows += [(-1, "1", None, 5, "SNV"), (-2, "1", 5, None, "SNV"), rows[0]]
+    want = []
+    for x in rows:
+        i, chrom, s, e, kind = x
+        if None not in x and any((chrom, kind, size, b) in bins for size in (1000, 100, 10) for b in range(min(by(s, size), by(e, size)), max(by(s, size), by(e, size)) + 1)):
+            want.append(x)
+    values = spark.createDataFrame(rows, "id int, chrom string, start bigint, end bigint, feature_type string")
+    some = spark.createDataFrame(list(bins), "chrom string, feature_type string, resolution bigint, bin bigint")
+    for block in (1000, 64):
+        got = SC.in_bins(values, some, block)
+        assert got.columns == values.columns and sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < len(rows)
+    assert SC.in_bins(values, some.limit(0), 1000).count() == 0

@@ -16,6 +16,8 @@ from cohortlens.sources.sinks import staged
 LEVELS, RATES = (5_000_000, 1_000_000, 100_000, 10_000, 1_000), (1_000_000, 100_000, 10_000, 1_000, 100)
 #: The sweep cuts intervals at blocks of about so many of the least bins.
 BLOCK = 100_000
+#: Rows of a written table up to which a join broadcasts it.
+FEW = 100_000
 
 
 def with_bins(df: DataFrame, size: int, name: str = "bin", start: str = "start", end: str = "end") -> DataFrame:
@@ -121,6 +123,11 @@ def level_stats(binned: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _joined(small: DataFrame, n: int) -> DataFrame:
+    """A written table of n rows for a join: by its file, whose size is a small part of its rows', Spark may broadcast very many."""
+    return F.broadcast(small) if n <= FEW else small.hint("merge")
+
+
 def scan_values(rows: DataFrame) -> DataFrame:
     """feature_values of intervals, written once: each level and the regions read what they need of it."""
     return staged(feature_values(rows, "chrom", "start", "end"), "scan-values")
@@ -132,7 +139,7 @@ def retained_bins(values: DataFrame, threshold: float = 0.1, levels: tuple[int,
     for k, size in enumerate(levels):
         own = with_bins(values, size).drop("start", "end")
         if wanted is not None:
-            own = own.join(wanted.select("chrom", "feature_type", "bin"), ["chrom", "feature_type", "bin"], "left_semi")
+            own = own.join(wanted.drop("parent"), ["chrom", "feature_type", "bin"], "left_semi")
         found = level_stats(own, size).where(F.col("screening") >= threshold).withColumn("resolution", F.lit(size).cast("bigint"))
         found = found.withColumn("parent", F.lit(None).cast("bigint")) if wanted is None else found.join(wanted, ["chrom", "feature_type", "bin"])
         kept = staged(found, f"scan-{size}")
@@ -141,7 +148,8 @@ def retained_bins(values: DataFrame, threshold: float = 0.1, levels: tuple[int,
             child = levels[k + 1]
             bins = F.expr(f"sequence((bin * {size}L) div {child}, ((bin + 1) * {size}L - 1) div {child})") if tile else F.expr(f"filter(transform(sequence({-neighbours}, {neighbours}), i -> (bin * {size}L) div {child} + i), x -> x >= 0)")
             wanted = kept.select("chrom", "feature_type", F.col("bin").alias("parent"), F.explode(bins).alias("bin")).groupBy("chrom", "feature_type", "bin").agg(F.min("parent").alias("parent"))
-            wanted = staged(wanted, f"scan-wanted-{child}")  # its size is known then, and values meet a small one without a shuffle
+            wanted = staged(wanted, f"scan-wanted-{child}")
+            wanted = _joined(wanted, wanted.count())
     return lineage
 
 
@@ -168,7 +176,9 @@ def in_bins(values: DataFrame, bins: DataFrame, block: int) -> DataFrame:
     blocks = ends.withColumn("__each", F.explode(F.sequence("__block", "__to"))).select(
         *at, F.col("__each").alias("__block"), F.when(own, F.col("__runs")).otherwise(F.array().cast(started.schema["__runs"].dataType)).alias("__runs"), F.when(own, F.col("__past")).otherwise(F.greatest("__past", "__hi")).alias("__past")
     )
-    met = values.withColumn("__block", F.expr(f"greatest(start, end) div {block}L")).join(staged(blocks, "scan-blocks"), [*at, "__block"])
+    blocks = staged(blocks, "scan-blocks")
+    blocks = _joined(blocks, blocks.agg(F.sum(1 + F.size("__runs"))).first()[0] or 0)
+    met = values.withColumn("__block", F.expr(f"greatest(start, end) div {block}L")).join(blocks, [*at, "__block"])
     lo, hi = F.least("start", "end"), F.greatest("start", "end")
     hit = F.coalesce(F.col("__past") >= lo, F.lit(False)) | F.exists("__runs", lambda r: (r["lo"] <= hi) & (r["hi"] >= lo))
     return met.where(hit).select(*values.columns)

@@ -152,7 +152,7 @@ def test_scan_computes_its_rows_once(spark):
     assert lineage.count() > 2 and final.count() == 2 and made.value == len(rows)
 
 
-def test_rows_in_bins_of_several_sizes_against_loops(spark):
+def test_rows_in_bins_of_several_sizes_against_loops(spark, monkeypatch):
     rng = random.Random(4)
     by = lambda p, size: int((p - 1) / size)  # noqa: E731  towards 0, as bins are dealt
     bins = {(rng.choice("12"), rng.choice(["SNV", "CNV"]), size, rng.randrange(0, 20_000 // size + 1)) for size, n in ((1000, 8), (100, 20), (10, 60)) for _ in range(n)} | {("1", "SNV", 10, -3), ("2", "CNV", 10, 0)}
@@ -165,7 +165,9 @@ def test_rows_in_bins_of_several_sizes_against_loops(spark):
             want.append(x)
     values = spark.createDataFrame(rows, "id int, chrom string, start bigint, end bigint, feature_type string")
     some = spark.createDataFrame(list(bins), "chrom string, feature_type string, resolution bigint, bin bigint")
-    for block in (1000, 64):
+    for block, few in ((1000, SC.FEW), (64, 0)):
+        monkeypatch.setattr(SC, "FEW", few)
         got = SC.in_bins(values, some, block)
+        assert ("BroadcastHashJoin" if few else "SortMergeJoin") in got._jdf.queryExecution().sparkPlan().toString()
         assert got.columns == values.columns and sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < len(rows)
     assert SC.in_bins(values, some.limit(0), 1000).count() == 0
